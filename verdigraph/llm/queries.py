@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from verdigraph.llm.fingerprint import op6_fingerprint
 from verdigraph.llm.mix import OP1_SQL, op1_mix
+from verdigraph.llm.quality import OP3_SQL, op3_quality
 
-QUERIES = {"op1_mix": op1_mix}
-ORACLE_SQL = {"op1_mix": OP1_SQL}
+QUERIES = {"op1_mix": op1_mix, "op3_quality": op3_quality, "op6_fingerprint": op6_fingerprint}
+ORACLE_SQL = {"op1_mix": OP1_SQL, "op3_quality": OP3_SQL}
