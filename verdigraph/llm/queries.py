@@ -2,9 +2,25 @@
 
 from __future__ import annotations
 
+from verdigraph.llm.chat import OP7_SQL, op7_chat
 from verdigraph.llm.fingerprint import op6_fingerprint
+from verdigraph.llm.langid import op10_langid
+from verdigraph.llm.licenses import op8_licenses
 from verdigraph.llm.mix import OP1_SQL, op1_mix
 from verdigraph.llm.quality import OP3_SQL, op3_quality
+from verdigraph.llm.toxicity import op4_toxicity
 
-QUERIES = {"op1_mix": op1_mix, "op3_quality": op3_quality, "op6_fingerprint": op6_fingerprint}
-ORACLE_SQL = {"op1_mix": OP1_SQL, "op3_quality": OP3_SQL}
+QUERIES = {
+    "op1_mix": op1_mix,
+    "op3_quality": op3_quality,
+    "op4_toxicity": op4_toxicity,
+    "op6_fingerprint": op6_fingerprint,
+    "op7_chat": op7_chat,
+    "op8_licenses": op8_licenses,
+    "op10_langid": op10_langid,
+}
+ORACLE_SQL = {
+    "op7_chat": OP7_SQL,
+    "op1_mix": OP1_SQL,
+    "op3_quality": OP3_SQL,
+}
