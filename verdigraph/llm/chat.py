@@ -51,12 +51,15 @@ def chat_windows(turns: DataFrame, budget: int = 512, history: int = 2, history_
 
     zero = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<int>").alias("starts"))
     convs = convs.withColumn("starts", F.aggregate(F.sequence(F.lit(0), F.col("n") - 1), zero, step, lambda acc: acc["starts"]))
-    cuts = convs.select("conv_id", "turns", "first", "from", "n", "starts", F.posexplode("starts").alias("window", "start")).withColumn("end", F.coalesce(F.get("starts", F.col("window") + 1), F.col("n")))
-    kept = F.when((F.col("first") == 1) & (F.col("start") > 0), F.slice(t, 1, 1)).otherwise(F.slice(t, 1, 0))
-    past = F.get("from", F.col("start"))
-    context = F.concat(kept, F.slice(t, past + 1, F.col("start") - past))
     part = lambda x, new: F.struct(F.concat(F.lit(OPEN), escaped(x["role"]), F.lit(MID)).alias("head"), escaped(x["text"]).alias("body"), (F.lit(new) & (x["role"] == "assistant")).alias("learn"))
-    cuts = cuts.withColumn("n_context", F.size(context)).withColumn("parts", F.concat(F.transform(context, lambda x: part(x, False)), F.transform(F.slice(t, F.col("start") + 1, F.col("end") - F.col("start")), lambda x: part(x, True))))
+
+    def window(start, number):
+        end, past = F.coalesce(F.get("starts", number + 1), F.col("n")), F.get(F.col("from"), start)
+        context = F.concat(F.slice(t, F.lit(1), F.when(start > 0, F.col("first")).otherwise(F.lit(0))), F.slice(t, past + 1, start - past))
+        parts = F.concat(F.transform(context, lambda x: part(x, False)), F.transform(F.slice(t, start + 1, end - start), lambda x: part(x, True)))
+        return F.struct(number.alias("window"), F.size(context).alias("n_context"), parts.alias("parts"))
+
+    cuts = convs.select("conv_id", F.transform("starts", window).alias("windows")).select("conv_id", F.inline_outer("windows"))
 
     def span(acc, p):
         at = acc["at"] + F.length(p["head"])
