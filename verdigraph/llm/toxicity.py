@@ -179,12 +179,14 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = 3000, longest: int = 2
     """A model from a bounded sample of the labelled rows of ``docs(doc_id, text)``: about ``rows`` of at most ``longest`` code points, a half toxic if
     there are so many. Draws go by a hash of doc_id. Null texts and labels other than 0 and 1 teach nothing; of a doc_id with several labels, the largest counts."""
     one = labels.filter(F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    known = docs.select("doc_id", "text").filter(F.col("text").isNotNull() & (F.length("text") <= longest)).join(one, "doc_id")
     counts = {r["toxic"]: r["count"] for r in one.groupBy("toxic").count().collect()}
     share = {k: min(1.0, rows / 2 / max(n, 1)) for k, n in counts.items()}
     draw = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1_000_000))
     wanted = F.when(F.col("toxic") == 1, F.lit(share.get(1, 0.0))).otherwise(F.lit(share.get(0, 0.0))) * 1_000_000
-    sample = known.withColumn("_draw", draw).filter(F.col("_draw") < wanted).orderBy("_draw", "doc_id").limit(2 * rows).select("text", "toxic").collect()
+    picked = one.withColumn("_draw", draw).filter(F.col("_draw") < wanted).orderBy("_draw", "doc_id").limit(2 * rows)
+    # At most 2 * rows pairs of numbers, so the texts need no shuffle.
+    known = docs.select("doc_id", "text").filter(F.col("text").isNotNull() & (F.length("text") <= longest))
+    sample = known.join(F.broadcast(picked), "doc_id").orderBy("_draw", "doc_id", "text").limit(2 * rows).select("text", "toxic").collect()
     return fit([r["text"] for r in sample], [r["toxic"] for r in sample], [1 / share[r["toxic"]] for r in sample])
 
 
