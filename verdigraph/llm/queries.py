@@ -7,16 +7,22 @@ from verdigraph.llm.fingerprint import op6_fingerprint
 from verdigraph.llm.langid import op10_langid
 from verdigraph.llm.licenses import op8_licenses
 from verdigraph.llm.mix import OP1_SQL, op1_mix
+from verdigraph.llm.near import op2_near
+from verdigraph.llm.pieces import op5_pieces
 from verdigraph.llm.quality import OP3_SQL, op3_quality
+from verdigraph.llm.substrings import op9_substrings
 from verdigraph.llm.toxicity import op4_toxicity
 
 QUERIES = {
     "op1_mix": op1_mix,
+    "op2_near": op2_near,
     "op3_quality": op3_quality,
     "op4_toxicity": op4_toxicity,
+    "op5_pieces": op5_pieces,
     "op6_fingerprint": op6_fingerprint,
     "op7_chat": op7_chat,
     "op8_licenses": op8_licenses,
+    "op9_substrings": op9_substrings,
     "op10_langid": op10_langid,
 }
 ORACLE_SQL = {
