@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from verdigraph.plans import graph_queries
+from verdigraph.plans import answer_queries
+
+QUERIES = {**answer_queries.QUERIES, **graph_queries.QUERIES}
+ORACLE_SQL = {**answer_queries.ORACLE_SQL, **graph_queries.ORACLE_SQL}

@@ -7,6 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def pass_at_k(n: Column, c: Column, k: int) -> Column:
@@ -24,7 +25,7 @@ def mcnemar_statistic(b: Column, c: Column) -> Column:
     return F.when(b + c == 0, 0.0).otherwise(F.pow(F.abs(b - c) - 1.0, F.lit(2.0)) / (b + c))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def chi_square_tail(x: pd.Series) -> pd.Series:
     """P(chi-square with one degree of freedom > x)."""
     return x.map(lambda v: math.erfc(math.sqrt(v / 2)))
