@@ -19,9 +19,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
-#: Words that a task remembers between batches, and texts of which the words are walked together.
-REMEMBERED = 200_000
-TEXTS = 500
+#: Words and pairs of pieces that a task remembers between batches, and texts of which the words are walked together.
+REMEMBERED = 100_000
+TEXTS = 250
 
 
 class Vocabulary(NamedTuple):
@@ -58,7 +58,7 @@ class Encoder:
         self.v = load(model)
         self.longest = max(map(len, self.v.pieces), default=1)
         self.known: dict[str, tuple[int, ...]] = {}
-        self.apart: dict[tuple[str, str], bool] = {}
+        self.apart: dict[int, bool] = {}
         self.whole: dict[str, bool] = {}
         alphabet = set(chain.from_iterable(self.v.pieces))
         # Pieces don't go on from a word into the next mark, nor over characters that no piece has.
@@ -87,9 +87,9 @@ class Encoder:
         return self.whole[piece]
 
     def stay_apart(self, a: str, b: str) -> bool:
-        key = (a, b)
+        key = self.v.pieces[a] << 32 | self.v.pieces[b]
         if key not in self.apart:
-            if len(self.apart) > 4 * REMEMBERED:
+            if len(self.apart) > 2 * REMEMBERED:
                 self.apart.clear()
             self.apart[key] = self.merged(a + b) == [a, b]
         return self.apart[key]
@@ -205,11 +205,24 @@ def model_bytes(path: str | None = None) -> bytes:
 
 
 def encoded_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, n_chars, n_tokens, ids, round_trip for each row of ``docs(doc_id, text)``."""
+    """doc_id, n_chars, n_tokens, ids, round_trip for each row of ``docs(doc_id, text)``; a null text counts as empty. Other columns are not read.
+
+    Encodes and decodes in one pass, TEXTS rows at a time, so that a task holds few ids whatever the size of its batches.
+    """
     model = model_bytes(path)
-    text = F.coalesce("text", F.lit(""))
-    df = decode(encode(docs.select("doc_id", text.alias("text")), model), model)
-    return df.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.size("ids").cast("long").alias("n_tokens"), "ids", (F.col("decoded") == F.replace("text", F.lit(MARK), F.lit(" "))).alias("round_trip"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        encoder = _encoder(model)
+        for batch in batches:
+            for at in range(0, len(batch), TEXTS):
+                part = batch.iloc[at : at + TEXTS]
+                texts = part.text.tolist()
+                ids = encoder.encode(texts)
+                same = [encoder.decode(x) == t.replace(MARK, " ") for x, t in zip(ids, texts, strict=True)]
+                yield pd.DataFrame({"doc_id": part.doc_id, "n_chars": [len(t) for t in texts], "n_tokens": [len(x) for x in ids], "ids": pd.Series(ids, part.index, object), "round_trip": same})
+
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return rows.mapInPandas(run, f"doc_id {dict(rows.dtypes)['doc_id']}, n_chars long, n_tokens long, ids array<int>, round_trip boolean")
 
 
 def op5_pieces(spark, sf_dir):
