@@ -75,6 +75,7 @@ TEMPLATES = [
     ("address", 0.95, r"https?://(?:www\.)?{address}"),
     ("grant", 0.9, r"\b(?:licen[sc]ed|released|distributed|published|available|provided|redistributed) (?:\w+ ){{0,2}}under (?:the )?(?:terms of (?:the )?)?{name}\b(?: licen[sc]es?)?"),
     ("header", 0.8, r"\blicen[sc]e:\s*{name}\b"),
+    ("version", 0.7, r"\b{name}(?![\w.])"),
     ("title", 0.6, r"\b{name} licen[sc]e\b"),
 ]
 GATE = r"licen[sc]|spdx|creativecommons|gnu\.org|opensource\.org"
@@ -102,12 +103,13 @@ class Detection(NamedTuple):
 
 @cache
 def rules() -> list[Rule]:
-    """The rules in order of priority: by template, then as the licenses stand."""
+    """The rules in order of priority: by template, then versions before families, then as the licenses stand."""
+    ordered = sorted(LICENSES, key=lambda row: not any(map(str.isdigit, row[0])))
     return [
         Rule(label, place, confidence, keywords, re.compile(template.format(name=f"(?:{name})", spdx=f"(?:{spdx})", address=f"(?:{address})")))
         for place, (kind, confidence, template) in enumerate(TEMPLATES)
-        for label, keywords, name, spdx, address in LICENSES
-        if kind != "address" or address
+        for label, keywords, name, spdx, address in ordered
+        if (kind != "address" or address) and (kind != "version" or "license" in name)
     ]
 
 
