@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import cache
-from itertools import chain
+from itertools import chain, pairwise
 from typing import NamedTuple
 
 import numpy as np
@@ -22,6 +22,8 @@ MARK = "▁"
 #: Words and pairs of pieces that a task remembers between batches, and texts of which the words are walked together.
 REMEMBERED = 100_000
 TEXTS = 250
+SHORT = (2, 1)
+NEVER = float("-inf")
 
 
 class Vocabulary(NamedTuple):
@@ -56,74 +58,91 @@ def load(model: bytes) -> Vocabulary:
 class Encoder:
     def __init__(self, model: bytes):
         self.v = load(model)
-        self.longest = max(map(len, self.v.pieces), default=1)
+        self.score = {piece: self.v.scores[i] for piece, i in self.v.pieces.items()}
+        # A piece that its own merges don't lead to is never the last one of a prefix.
+        self.good = self.v.pieces if self.v.unigram else {piece: i for piece, i in self.v.pieces.items() if self.merged(piece) == [piece]}
+        # The lengths of the pieces that end in the same three characters, longest first; two and one are tried after them.
+        ends: dict[str, set[int]] = {}
+        for piece in self.good:
+            if len(piece) > 2:
+                ends.setdefault(piece[-3:], set()).add(len(piece))
+        self.lengths = {end: (*sorted(found, reverse=True), *SHORT) for end, found in ends.items()}
         self.known: dict[str, tuple[int, ...]] = {}
         self.apart: dict[int, bool] = {}
-        self.whole: dict[str, bool] = {}
         alphabet = set(chain.from_iterable(self.v.pieces))
         # Pieces don't go on from a word into the next mark, nor over characters that no piece has.
         alone = "".join(c for c in "\n\r\t" if c not in alphabet)
         self.unit = re.compile(f"{MARK}*[^{MARK}{alone}]+|{MARK}+" + (f"|[{alone}]+" if alone else ""))
         if any(MARK in p[len(p) - len(p.lstrip(MARK)) :] for p in self.v.pieces):
             raise ValueError("a piece goes over the end of a word")
+        self.of_byte = {i: b for b, i in enumerate(self.v.byte_ids or [])}
+        self.is_byte = np.isin(np.arange(len(self.v.texts)), list(self.of_byte))
         self.worst = min(self.v.scores.values(), default=0.0) - 10
 
     def merged(self, text: str) -> list[str]:
         """Plain merging: the adjacent pair that makes the best piece, the leftmost of equals, until none is left."""
-        parts = list(text)
-        while True:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                piece = self.v.pieces.get(parts[i] + parts[i + 1])
-                if piece is not None and (best is None or self.v.scores[piece] > best):
-                    best, at = self.v.scores[piece], i
-            if at < 0:
-                return parts
+        parts, score = list(text), self.score.get
+        pairs = [score(a + b, NEVER) for a, b in pairwise(parts)]
+        while pairs and (best := max(pairs)) > NEVER:
+            at = pairs.index(best)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
-
-    def is_whole(self, piece: str) -> bool:
-        if piece not in self.whole:
-            self.whole[piece] = self.merged(piece) == [piece]
-        return self.whole[piece]
-
-    def stay_apart(self, a: str, b: str) -> bool:
-        key = self.v.pieces[a] << 32 | self.v.pieces[b]
-        if key not in self.apart:
-            if len(self.apart) > 2 * REMEMBERED:
-                self.apart.clear()
-            self.apart[key] = self.merged(a + b) == [a, b]
+            del pairs[at]
+            if at:
+                pairs[at - 1] = score(parts[at - 1] + parts[at], NEVER)
+            if at < len(pairs):
+                pairs[at] = score(parts[at] + parts[at + 1], NEVER)
+        return parts
+
+    def stay_apart(self, a: str, b: str, key: int) -> bool:
+        if len(self.apart) > 2 * REMEMBERED:
+            self.apart.clear()
+        self.apart[key] = self.merged(a + b) == [a, b]
         return self.apart[key]
 
     def walk(self, words: list[str]) -> Iterator[tuple[str, tuple[int, ...]]]:
-        """(word, ids) for sorted distinct words. ``last[i]`` is the piece that ends the best way to the prefix of i characters, ``score[i]`` its sum."""
-        last, score, before = [""], [0.0], ""
-        pieces, scores = self.v.pieces, self.v.scores
+        """(word, ids) for sorted distinct words. ``last[i]`` is the piece that ends the best way to the prefix of i characters, ``score[i]`` its sum.
+
+        ``ident[i]`` is the id of that piece, None for a character that no piece has.
+        """
+        last, ident, score, before = [""], [None], [0.0], ""
+        known, good, scores, lengths, apart, unigram = self.v.pieces.get, self.good.get, self.v.scores, self.lengths.get, self.apart.get, self.v.unigram
         for word in words:
             i, n = 0, min(len(word), len(before))
             while i < n and word[i] == before[i]:
                 i += 1
-            del last[i + 1 :], score[i + 1 :]
+            del last[i + 1 :], ident[i + 1 :], score[i + 1 :]
             for end in range(i + 1, len(word) + 1):
-                best, top = word[end - 1], score[end - 1] + self.worst
-                if self.v.unigram:
-                    for start in range(max(0, end - self.longest), end):
-                        piece = pieces.get(word[start:end])
-                        if piece is not None and score[start] + scores[piece] > top:
-                            best, top = word[start:end], score[start] + scores[piece]
-                elif best in pieces:
-                    for start in range(max(0, end - self.longest), end):
-                        piece = word[start:end]
-                        if piece in pieces and self.is_whole(piece) and (not start or last[start] not in pieces or self.stay_apart(last[start], piece)):
-                            best = piece
-                            break
+                best = word[end - 1]
+                top, found = score[end - 1] + self.worst, known(best)
+                if unigram or found is not None:
+                    for n in lengths(word[end - 3 : end], SHORT) if end > 2 else SHORT:
+                        start = end - n
+                        if start < 0 or (i := good(piece := word[start:end])) is None:
+                            continue
+                        if unigram:
+                            if score[start] + scores[i] > top:
+                                best, top, found = piece, score[start] + scores[i], i
+                            continue
+                        if start and (prior := ident[start]) is not None:
+                            key = prior << 24 | i
+                            if (ok := apart(key)) is None:
+                                ok = self.stay_apart(last[start], piece, key)
+                            if not ok:
+                                continue
+                        best, found = piece, i
+                        break
                 last.append(best)
+                ident.append(found)
                 score.append(top)
             before = word
-            parts, end = [], len(word)
+            ids, end = [], len(word)
             while end:
-                parts.append(last[end])
+                if ident[end] is None:
+                    ids.extend(reversed(self.ids(last[end])))
+                else:
+                    ids.append(ident[end])
                 end -= len(last[end])
-            yield word, tuple(chain.from_iterable(self.ids(p) for p in reversed(parts)))
+            yield word, tuple(reversed(ids))
 
     def ids(self, piece: str) -> tuple[int, ...]:
         if piece in self.v.pieces:
@@ -147,8 +166,8 @@ class Encoder:
     def decode(self, ids: list[int] | np.ndarray | None) -> str | None:
         if ids is None:
             return None
-        if self.v.byte_ids is None or not hasattr(self, "of_byte"):
-            self.of_byte = {i: b for b, i in enumerate(self.v.byte_ids or [])}
+        if isinstance(ids, np.ndarray) and not self.is_byte[ids].any():
+            return self._shown("".join(map(self.v.texts.__getitem__, ids.tolist())))
         out, held = [], bytearray()
         for i in ids.tolist() if isinstance(ids, np.ndarray) else ids:
             if i in self.of_byte:
@@ -159,7 +178,10 @@ class Encoder:
                 held.clear()
             out.append(self.v.texts[i])
         out.append(held.decode("utf-8", "replace"))
-        text = "".join(out).replace(MARK, " ")
+        return self._shown("".join(out))
+
+    def _shown(self, text: str) -> str:
+        text = text.replace(MARK, " ")
         return text[1:] if self.v.dummy_prefix and text.startswith(" ") else text
 
 
