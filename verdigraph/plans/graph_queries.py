@@ -229,10 +229,10 @@ def graph_at_least(spark, d):
     return graph.relation(g, "c", "o", "placed").groupBy(F.col("c_id").alias("id")).agg(F.count("*").alias("orders")).filter("orders >= 12")
 
 
-@query("SELECT 'o' || l_orderkey AS id, round(sum(l_extendedprice / l_quantity), 3) AS units FROM lineitem WHERE l_quantity BETWEEN 10 AND 12 GROUP BY l_orderkey")
+@query("SELECT 'o' || l_orderkey AS id, round(sum(l_extendedprice / l_quantity), 6) AS units FROM lineitem WHERE l_quantity BETWEEN 10 AND 12 GROUP BY l_orderkey")
 def graph_arithmetic(spark, d):
     e = graph.relation(load(spark, d), "o", "p", "contains", "e").filter(F.col("e_quantity").between(10, 12))
-    return e.groupBy(F.col("o_id").alias("id")).agg(F.round(F.sum(F.col("e_price") / F.col("e_quantity")), 3).alias("units"))
+    return e.groupBy(F.col("o_id").alias("id")).agg(F.round(F.sum(F.col("e_price") / F.col("e_quantity")), 6).alias("units"))
 
 
 @query("SELECT 'n3' AS id, 'located_in' AS role, 'c' || c_custkey AS other, false AS forward FROM customer WHERE c_nationkey = 3 UNION ALL SELECT 'n3', 'located_in', 's' || s_suppkey, false FROM supplier WHERE s_nationkey = 3 UNION ALL SELECT 'n3', 'part_of', 'r' || n_regionkey, true FROM nation WHERE n_nationkey = 3")
