@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from verdigraph.llm.batches import small_batches
+
 #: ISO codes by family; a code that is missing is a family of its own.
 FAMILIES = {
     "germanic": ("de", "en", "nl", "sv", "da", "no", "nb", "nn", "is", "af", "fy", "lb", "yi"),
@@ -25,7 +27,7 @@ FAMILIES = {
 UNDETERMINED = "und"
 BITS = 13
 #: Code points that are put through at once, so that a very long text takes no more memory.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 
 def family(lang: str) -> str:
@@ -154,7 +156,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             yield pd.DataFrame([model.predict(t) for t in texts], columns=["lang_pred", "score"])
 
     found = F.pandas_udf(predict, "lang_pred string, score double")
-    return docs.withColumn("_found", found("text")).withColumn("lang_pred", F.col("_found.lang_pred")).withColumn("score", F.col("_found.score")).drop("_found")
+    return small_batches(docs).withColumn("_found", found("text")).withColumn("lang_pred", F.col("_found.lang_pred")).withColumn("score", F.col("_found.score")).drop("_found")
 
 
 def held_out() -> Column:

@@ -17,6 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from verdigraph.llm.batches import small_batches
 from verdigraph.llm.components import components
 from verdigraph.plans.lineage import cut
 
@@ -85,7 +86,7 @@ def with_classes(docs: DataFrame, bands: int, rows: int) -> DataFrame:
             yield pd.DataFrame(out, columns=["cls", "n_grams", "keys"])
 
     found = F.pandas_udf(sign, "cls binary, n_grams long, keys array<long>")("text")
-    return docs.withColumn("_c", found).select(*docs.columns, "_c.*")
+    return small_batches(docs).withColumn("_c", found).select(*docs.columns, "_c.*")
 
 
 def compare(members: pd.DataFrame, threshold: float, bands: int, rows: int) -> pd.DataFrame:
