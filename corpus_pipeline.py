@@ -15,7 +15,7 @@ from verdigraph.plans.lineage import cut
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can't be told (no text or no letter) go."""
     model = langid.train(docs.filter(~langid.held_out()))
-    found = langid.identify(docs.withColumn("_text", F.col("text")), model)
+    found = langid.identify(docs, model)
     return found.filter(F.col("lang_pred") != langid.UNDETERMINED).select(*docs.columns)
 
 
