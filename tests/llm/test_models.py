@@ -1,6 +1,7 @@
 """Trained operators by held-out accuracy, scans against plain loops."""
 
 import random
+from re import _parser
 
 import pandas as pd
 
@@ -59,3 +60,37 @@ def test_licenses(spark):
     assert "gpl-3.0" in got.loc[5].labels and len(licenses.rules()) > 200
     found = [licenses.Detection("a", 1, 0.5, 0, 9), licenses.Detection("b", 0, 0.9, 2, 5), licenses.Detection("c", 2, 0.4, 3, 8)]
     assert [d.label for d in licenses.resolve(found)] == ["b", "a"]
+
+
+def sample(rng, parsed):
+    """A text that the parsed regex matches, but for what its look-aheads forbid."""
+    out = ""
+    for op, arg in parsed:
+        match str(op):
+            case "LITERAL":
+                out += chr(arg)
+            case "IN":
+                kind, value = rng.choice(arg)
+                out += {"LITERAL": lambda: chr(value), "RANGE": lambda: chr(value[0]), "CATEGORY": lambda: " " if "SPACE" in str(value) else "1"}[str(kind)]()
+            case "BRANCH":
+                out += sample(rng, rng.choice(arg[1]))
+            case "SUBPATTERN":
+                out += sample(rng, arg[-1])
+            case "MAX_REPEAT":
+                out += "".join(sample(rng, arg[2]) for _ in range(rng.randint(arg[0], min(arg[1], arg[0] + 2))))
+    return out
+
+
+def test_gate_lets_all_rules_through(spark):
+    rng = random.Random(6)
+    texts = []
+    for r in licenses.rules():
+        own = [t for t in (sample(rng, _parser.parse(r.pattern.pattern)) for _ in range(40)) if r.pattern.search(t)]
+        assert own, r
+        texts += [f"é {t.upper() if rng.random() < 0.5 else t}, x" for t in own[:12]]
+    texts += ["Released under the GPL v3.", "available under mpl 2.0", "released under the MIT", "https://mozilla.org/MPL/2.0/", "https://www.eclipse.org/legal/epl-2.0/"]
+    got = licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    for r in got:
+        want = licenses.detections(texts[r.doc_id].translate(licenses.LOWER))
+        assert want and [tuple(s) for s in r.spans] == [(d.label, d.start, d.end) for d in want], texts[r.doc_id]
+    assert len(got) == len(texts) > 2000

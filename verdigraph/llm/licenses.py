@@ -78,7 +78,15 @@ TEMPLATES = [
     ("version", 0.7, r"\b{name}(?![\w.])"),
     ("title", 0.6, r"\b{name} licen[sc]e\b"),
 ]
-GATE = r"licen[sc]|spdx|creativecommons|gnu\.org|opensource\.org"
+#: What each match of a template holds, as a JVM regex. All base phrases hold that of titles.
+GATES = {
+    "tag": r"spdx-license-identifier:",
+    "address": r"://(?:www\.)?(?:{addresses})",
+    "grant": r"(?:licen[sc]ed|released|distributed|published|available|provided) (?:[^ ]+ ){{0,2}}under ",
+    "header": r"licen[sc]e:",
+    "version": r"(?<![a-z0-9_])(?:{versioned})",
+    "title": r"licen[sc]e",
+}
 #: The base phrases and their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -113,6 +121,14 @@ def rules() -> list[Rule]:
     ]
 
 
+@cache
+def gate() -> str:
+    """A JVM regex that is found in each text that a rule matches or that has a base phrase."""
+    addresses = "|".join(address for *_, address in LICENSES if address)
+    versioned = {re.escape(k) for _, keywords, name, *_ in LICENSES if "license" in name for k in keywords.split("|")}
+    return "(?i)" + "|".join(dict.fromkeys(GATES[kind].format(addresses=addresses, versioned="|".join(sorted(versioned))) for kind, *_ in TEMPLATES))
+
+
 def resolve(found: list[Detection]) -> list[Detection]:
     """Drops what lies inside another detection of no lower priority; of equal ranges the earlier rule stays."""
     kept: list[Detection] = []
@@ -169,12 +185,12 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
 
     A null or empty text has no words and no labels; first_word and last_word are then null and the score 0. The score is the greatest confidence of a
     detection, 0.5 for a base phrase alone. Repeated rows are scanned each; an empty table gives an empty result; other columns are not read.
-    Texts without a keyword of GATE never leave the JVM. Spans are code points of the text.
+    Texts in which gate() is not found never leave the JVM. Spans are code points of the text.
     """
     scan = F.pandas_udf(_scan, _RESULT)
     text = F.coalesce("text", F.lit(""))
     words = F.regexp_count(text, F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"))
-    rows = docs.select("doc_id", words.cast("long").alias("n_words"), F.when(text.rlike(f"(?i){GATE}"), text).alias("_text"))
+    rows = docs.select("doc_id", words.cast("long").alias("n_words"), F.when(text.rlike(gate()), text).alias("_text"))
     return rows.withColumn("_found", scan("_text")).select("doc_id", "n_words", "_found.*")
 
 
