@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from verdigraph.functions import stats, text
 from verdigraph.operators import answers
 from verdigraph.plans.skew import running_total, spread_join
+from verdigraph.streaming.ingest import group_stream
 
 
 def test_pass_at_k_is_the_combinatorial_form(spark):
@@ -39,3 +40,30 @@ def test_running_total_and_spread_join(spark):
     out = running_total(df, "k", "bucket", [F.col("id")], "one", "before")
     assert sorted(r.before for r in out.filter("k = 0").collect()) == list(range(500))
     assert spread_join(df, spark.range(2).withColumnRenamed("id", "k"), ["k"], F.col("id")).count() == 1000
+
+
+def test_answers_are_grouped_by_grammar(spark, tmp_path):
+    said = [
+        ("SemGIR", 'So: ```json\n{"b": [1, 2],\n "a": "É x"}\n```'),
+        ("SemGIR", '{"a":"\\u00c9 x","b":[1,2]}'),
+        ("SemGIR", '{"a": "É  x", "b": [1, 2]}'),
+        ("semgir_apo", '{"b": 1, "a": 2'),
+        ("semgir_apo", ' {"b":  1,\n"a": 2\u00a0'),
+        ("semgir_apo", '{"B": 1, "a": 2'),
+        ("semgir_apo", '"\\ud800"'),
+        ("squall", '{"b": 1, "a": 2}'),
+        ("squall", '{"a": 2, "b": 1}'),
+        ("squall", "```sparql\n{\"a\": 2,\u00a0 \"b\": 1}\n```"),
+        ("squall", None),
+        (None, "x"),
+        ("SemGIR", None),
+    ]
+    rows = [(i, g, "q", t) for i, (g, t) in enumerate(said)]
+    want = ['{"a":"É x","b":[1,2]}'] * 2 + ['{"a":"É  x","b":[1,2]}'] + ['{"b": 1, "a": 2'] * 2 + ['{"B": 1, "a": 2', '"\\ud800"', '{"b": 1, "a": 2}'] + ['{"a": 2, "b": 1}'] * 2 + ["", "x", ""]
+    df = spark.createDataFrame(rows, "run long, grammar string, qid string, response string")
+    assert [r.n for r in df.withColumn("n", text.normal_form(F.col("grammar"), F.col("response"))).orderBy("run").collect()] == want
+    df.write.parquet(f"{tmp_path}/runs")
+    stream = group_stream(spark, f"{tmp_path}/runs", df.schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "))
+    stream.writeStream.format("memory").queryName("grouped").outputMode("complete").option("checkpointLocation", f"{tmp_path}/at").trigger(availableNow=True).start().awaitTermination()
+    groups = {(r.grammar, r.first_run): r["size"] for r in spark.table("grouped").collect()}
+    assert groups == {("SemGIR", 0): 2, ("SemGIR", 2): 1, ("SemGIR", 12): 1, ("semgir_apo", 3): 2, ("semgir_apo", 5): 1, ("semgir_apo", 6): 1, ("squall", 7): 1, ("squall", 8): 2, ("squall", 10): 1, (None, 11): 1}

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,14 +26,44 @@ def output_key(grammar: Column, qid: Column, normal: Column) -> Column:
     return F.substring(F.sha1(F.concat_ws("|", grammar, qid, normal)), 1, 16)
 
 
-def code_blocks(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(r"(?i)```\w*\s*([\s\S]*?)\s*```"), F.lit(1))
+def code_blocks(text: Column, language: str = r"\w+") -> Column:
+    return F.regexp_extract_all(text, F.lit(rf"(?i)```(?:{language})?\s*([\s\S]*?)\s*```"), F.lit(1))
 
 
-def answer_text(text: Column) -> Column:
+def answer_text(text: Column, language: str = r"\w+") -> Column:
     """The last fenced block, or the whole text without white space at the ends; null counts as empty."""
     text = F.coalesce(text, F.lit(""))
-    return F.coalesce(F.try_element_at(code_blocks(text), F.lit(-1)), F.regexp_replace(text, r"^\s+|\s+$", ""))
+    return F.coalesce(F.try_element_at(code_blocks(text, language), F.lit(-1)), F.regexp_replace(text, r"^\s+|\s+$", ""))
+
+
+def _canonical(text: str) -> str:
+    try:
+        out = json.dumps(json.loads(text.strip()), sort_keys=True, ensure_ascii=False, separators=(",", ":"))
+        out.encode()
+    except (ValueError, RecursionError):  # broken JSON, half a surrogate pair, numbers too long or nesting too deep for the parser
+        return " ".join(text.split())
+    return out
+
+
+def canonical_json(text: Column) -> Column:
+    """JSON with sorted keys and no white space; other text with white space runs as one space, its case kept. Null stays null."""
+
+    def canonical(texts: pd.Series) -> pd.Series:
+        return texts.map(_canonical, na_action="ignore")
+
+    return F.pandas_udf(canonical, "string")(text)
+
+
+def is_semgir(grammar: Column) -> Column:
+    """Of SemGIR or a variant such as semgir_apo."""
+    return F.lower(grammar).rlike("sem_?gir")
+
+
+def normal_form(grammar: Column, response: Column) -> Column:
+    """The answer in a response, by which responses are grouped: canonical JSON for SemGIR, collapsed white space for code-like grammars."""
+    semgir = F.coalesce(is_semgir(grammar), F.lit(False))
+    # The null of other grammars passes the helper untouched.
+    return F.when(semgir, canonical_json(F.when(semgir, answer_text(response, "json")))).otherwise(collapse(answer_text(response), unicode_spaces=True))
 
 
 def content_words(text: Column) -> Column:

@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from verdigraph.functions.text import answer_text, collapse, output_key
+from verdigraph.functions.text import normal_form, output_key
 
 
 def group_stream(spark: SparkSession, path: str, schema: str, max_files: int = 100) -> DataFrame:
     """(grammar, qid, output_key) with size and first run of a file stream of run records; state grows with the number of distinct answers."""
     runs = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(path)
-    normal = collapse(answer_text(F.col("response")))
+    normal = normal_form(F.col("grammar"), F.col("response"))
     return runs.withColumn("output_key", output_key(F.col("grammar"), F.col("qid"), normal)).groupBy("grammar", "qid", "output_key").agg(F.count("*").alias("size"), F.min("run").alias("first_run"))
 
 
