@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from verdigraph.operators import graph
+from verdigraph.plans import graph_queries
 
 
 @pytest.fixture(scope="module")
@@ -48,3 +49,13 @@ def test_empty_graph(spark, g):
     none = graph.Graph(g.nodes.limit(0), g.edges.limit(0))
     assert rows(graph.relate(graph.entity(none, "a"), none, "a", "b")) == []
     assert rows(graph.nth_value(graph.entity(none, "a"), "a_v", 1)) == []
+
+
+def test_whole_graph_queries_leave_no_order_or_nation_out(spark):
+    d = "/root/testdata/sf0.001"
+    orders, lines = (spark.read.parquet(f"{d}/{name}.parquet") for name in ("orders", "lineitem"))
+    pairs = orders.join(lines, orders.o_orderkey == lines.l_orderkey).select("o_custkey", "l_suppkey").collect()
+    assert {(r.src, r.dst) for r in graph_queries.graph_construct_all(spark, d).collect()} == {(f"c{a}", f"s{b}") for a, b in pairs}
+    found = spark.read.parquet(f"{d}/supplier.parquet").collect()
+    mean = sum(s.s_acctbal for s in found) / len(found)
+    assert {r.id for r in graph_queries.graph_above_average_all(spark, d).collect()} == {f"s{s.s_suppkey}" for s in found if s.s_acctbal > mean}

@@ -179,6 +179,11 @@ def graph_above_average(spark, d):
     return graph.against(near, F.avg("s_amount"), F.col("s_amount") > F.col("_total")).select(F.col("s_id").alias("id"))
 
 
+@query("SELECT 's' || s_suppkey AS id FROM supplier WHERE s_acctbal > (SELECT avg(s_acctbal) FROM supplier)")
+def graph_above_average_all(spark, d):
+    return graph.against(graph.entity(load(spark, d), "s", "Supplier"), F.avg("s_amount"), F.col("s_amount") > F.col("_total")).select(F.col("s_id").alias("id"))
+
+
 @query("SELECT 's' || s_suppkey AS start_id, 'r' || n_regionkey AS end_id, 2 AS hops, ['s' || s_suppkey, 'n' || n_nationkey, 'r' || n_regionkey] AS nodes FROM supplier JOIN nation ON s_nationkey = n_nationkey")
 def graph_path(spark, d):
     g = load(spark, d)
@@ -211,6 +216,13 @@ def graph_construct(spark, d):
     return graph.constructed(o.join(lines, "o_id"), "c", "s", "traded_with")
 
 
+@query("SELECT DISTINCT 'traded_with' AS role, 'c' || o_custkey AS src, 's' || l_suppkey AS dst FROM orders JOIN lineitem ON o_orderkey = l_orderkey")
+def graph_construct_all(spark, d):
+    """The edges of all orders and lines; graph_construct keeps to the few that its SQL names."""
+    lines = table(spark, d, "lineitem").select(key("o", "l_orderkey").alias("o_id"), key("s", "l_suppkey").alias("s_id"))
+    return graph.constructed(graph.relation(load(spark, d), "c", "o", "placed").join(lines, "o_id"), "c", "s", "traded_with")
+
+
 @query("SELECT c_name AS name, count(o_orderkey) AS orders FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey, c_name")
 def graph_optional(spark, d):
     g = load(spark, d)
