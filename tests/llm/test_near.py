@@ -88,6 +88,13 @@ def test_one_of_each(spark, rows):
     assert sorted(r.doc_id for r in kept.collect()) == want
 
 
+def test_one_of_each_with_shared_and_null_ids(spark):
+    a, b, c = (" ".join(f"{p}{i}" for i in range(60)) for p in "abc")
+    rows = [(1, a), (1, b), (1, " "), (2, a + " x"), (None, b + " x"), (None, c), (None, c + " x"), (None, c), (None, None), (None, "")]
+    kept = near.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id or 0), (r.text or "").strip()[:1]) for r in kept) == [(0, ""), (0, "c"), (1, ""), (1, "a"), (1, "b")]
+
+
 def test_bands():
     for recall in (0.9, 0.99, 0.999):
         bands, r = near.bands_for(0.8, recall)

@@ -147,6 +147,11 @@ def near_join(docs: DataFrame, threshold: float = 0.8, recall: float = 0.999) ->
     A null text or one without words has no links and is its own class. Repeated rows are copies of each other. An empty table gives an empty result;
     null doc_ids are kept and never name a class that has others. Other columns are not read.
     """
+    return _joined(docs, threshold, recall).drop("component")
+
+
+def _joined(docs: DataFrame, threshold: float = 0.8, recall: float = 0.999) -> DataFrame:
+    """The rows of near_join with component, which names their class (null without words)."""
     bands, rows = bands_for(threshold, recall)
     text_hash = F.xxhash64(F.coalesce("text", F.lit("")))
     signed = cut(with_classes(docs.select("doc_id", text_hash.alias("text_hash"), "text"), bands, rows).drop("text"), "near-signed")
@@ -169,18 +174,17 @@ def near_join(docs: DataFrame, threshold: float = 0.8, recall: float = 0.999) ->
     reached = components(found.select(F.col("cls").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "cls")
     named = classes.select("cls", "copy_id", "copies").join(links, "cls", "left").join(reached, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     least = named.groupBy("component").agg(F.min("copy_id").alias("class_id"))
-    named = named.join(least, "component").select("cls", "copy_id", "class_id", F.col("copies").alias("n_copies"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    named = named.join(least, "component").select("cls", "component", "copy_id", "class_id", F.col("copies").alias("n_copies"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     out = signed.select("doc_id", "text_hash", "cls").join(named, "cls", "left")
     one = F.lit(1).cast("long")
-    return out.select("doc_id", "text_hash", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("copy_id", "doc_id").alias("copy_id"), F.coalesce("n_copies", one).alias("n_copies"), F.coalesce("n_links", one - 1).alias("n_links"))
+    return out.select("doc_id", "text_hash", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("copy_id", "doc_id").alias("copy_id"), F.coalesce("n_copies", one).alias("n_copies"), F.coalesce("n_links", one - 1).alias("n_links"), "component")
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` without all but one document of each class: its least doc_id, of repeated rows one. Rows without words or doc_id stay as they are."""
-    joined = near_join(docs, **options)
-    kept = joined.filter(F.col("doc_id").isNull() | (F.col("class_id") == F.col("doc_id"))).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
-    # Of several texts under one doc_id of the same class, that with the least hash.
-    kept = kept.filter("_id is not null").groupBy("_id").agg(F.min("_hash").alias("_hash")).unionByName(kept.filter("_id is null").distinct())
+    """``docs`` without all but one document of each class: its least doc_id (null comes last) and text hash, of repeated rows one. Rows without words stay."""
+    joined = _joined(docs, **options).select("component", F.col("doc_id").isNull().alias("_none"), F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+    best = joined.filter("component is not null").groupBy("component").agg(F.min(F.struct("_none", "_id", "_hash")).alias("_row")).select("_row._id", "_row._hash")
+    kept = best.unionByName(joined.filter("component is null").select("_id", "_hash").distinct())
     keyed = docs.withColumn("_h", F.xxhash64(F.coalesce("text", F.lit(""))))
     return keyed.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_hash"))).dropDuplicates(["_id", "_h"]).select(*docs.columns)
 
