@@ -27,6 +27,14 @@ def test_langid_edges(spark):
     assert langid.identify(docs.limit(0), model).count() == 0
 
 
+def test_langid_learns_all_languages(spark):
+    names = [f"q{chr(97 + i)}" for i in range(12)]
+    docs = spark.createDataFrame([(100 * i + j, chr(0x4E00 + i) * (j + 1), lang) for i, lang in enumerate(names) for j in range(30 if i else 90)], "doc_id long, text string, lang string")
+    model = langid.train(docs, rows=40)
+    assert sorted(v for langs in model.langs.values() for v in langs) == names
+    assert [model.predict(chr(0x4E00 + i) * 5)[0] for i in range(12)] == names
+
+
 def test_langid_long_texts_in_chunks(monkeypatch):
     text = "Élève où ça " * 500
     want = langid.features(text)

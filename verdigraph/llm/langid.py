@@ -131,17 +131,17 @@ def fit(texts: list[str], langs: list[str]) -> Model:
     return Model(families, np.array(weights), inside, pairs)
 
 
-def train(docs: DataFrame, rows: int = 2400, longest: int = 40_000, seed: int = 5) -> Model:
+def train(docs: DataFrame, rows: int = 2400, longest: int = 40_000, seed: int = 5, least: int = 20) -> Model:
     """A model from a bounded sample of ``docs(doc_id, text, lang)``: about ``rows`` rows, shared evenly by the languages, of texts of at most ``longest``
-    code points. The sample goes by a hash of doc_id, so it doesn't depend on the order of rows. Rows with a null text or lang teach nothing."""
+    code points. With many languages it grows, to about ``least`` rows (or all there are) for each. The sample goes by a hash of doc_id, so it doesn't depend on the order of rows. Rows with a null text or lang teach nothing."""
     known = docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.length("text") <= longest))
-    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count")).limit(rows // 10).collect()}
+    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy("lang").collect()}
     if not counts:
         return fit([], [])
-    each = max(1, rows // len(counts))
+    each = max(least, rows // len(counts))
     draw = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1_000_000))
     limits = F.create_map(*[F.lit(v) for lang, n in counts.items() for v in (lang, min(1_000_000, -(-1_000_000 * each // n)))])
-    sample = known.withColumn("_draw", draw).filter(F.col("_draw") < F.element_at(limits, F.col("lang"))).orderBy("_draw", "doc_id").limit(2 * rows).select("text", "lang").collect()
+    sample = known.withColumn("_draw", draw).filter(F.col("_draw") < F.element_at(limits, F.col("lang"))).orderBy("_draw", "doc_id").limit(2 * max(rows, each * len(counts))).select("text", "lang").collect()
     return fit([r["text"] for r in sample], [r["lang"] for r in sample])
 
 
