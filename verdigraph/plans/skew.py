@@ -29,3 +29,21 @@ def running_total(df: DataFrame, key: str, bucket: str, order: Sequence[Column],
     bases = sums.select(key, bucket, F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"))
     inside = Window.partitionBy(key, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return df.join(bases, [key, bucket]).withColumn(to, F.col("_base") + F.coalesce(F.sum(value).over(inside), F.lit(0))).drop("_base")
+
+
+#: Most keys that hub_join broadcasts, and the fewest rows of a key that is a hub.
+HUBS = 50_000
+LEAST = 500
+
+
+def hub_join(left: DataFrame, right: DataFrame, key: Sequence[str], count: str, total: int) -> DataFrame:
+    """Inner equi-join of ``left`` to ``right``, which has one row for each key and in ``count`` how many rows of ``left`` have it.
+
+    ``total`` is at least the sum of ``count``. Keys with at least total / HUBS rows are hubs: there can't be more than HUBS of them, so they
+    are broadcast and their rows stay where they are. Only rows of other keys are shuffled. Keys must not be null.
+    """
+    least = max(LEAST, -(-total // HUBS))
+    hubs = right.filter(F.col(count) >= least)
+    met = left.join(F.broadcast(hubs), list(key))
+    rest = left.join(F.broadcast(hubs.select(*key)), list(key), "left_anti").join(right.filter(F.col(count) < least), list(key))
+    return met.unionByName(rest)
