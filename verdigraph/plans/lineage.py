@@ -57,13 +57,18 @@ def cut(df: DataFrame, name: str, instead_of: DataFrame | None = None, outlive:
     out = spark.read.schema(df.schema).parquet(path)
     out._cut_path = path
     if instead_of is not None:
-        for written in _WRITTEN:
-            if old := [x for x in written if x[1] == instead_of._cut_path]:
-                written.remove(old[0])
-                _remove(old)
+        drop(instead_of)
     return out
 
 
+def drop(df: DataFrame) -> None:
+    """Removes what the cut that returned ``df`` wrote."""
+    for written in _WRITTEN:
+        if old := [x for x in written if x[1] == df._cut_path]:
+            written.remove(old[0])
+            _remove(old)
+
+
 @contextlib.contextmanager
 def scratch() -> Iterator[None]:
     """What is cut inside is removed at the end, so a result must be written, or cut with ``outlive``, before that."""

@@ -31,7 +31,7 @@ def running_total(df: DataFrame, key: str, bucket: str, order: Sequence[Column],
     return df.join(bases, [key, bucket]).withColumn(to, F.col("_base") + F.coalesce(F.sum(value).over(inside), F.lit(0))).drop("_base")
 
 
-#: Most keys that hub_join broadcasts, and the fewest rows of a key that is a hub.
+#: Most keys that hub_join broadcasts, and the fewest rows of a key that is a hub; a few times as many rows in all need no such care.
 HUBS = 50_000
 LEAST = 500
 
@@ -42,6 +42,8 @@ def hub_join(left: DataFrame, right: DataFrame, key: Sequence[str], count: str,
     ``total`` is at least the sum of ``count``. Keys with at least total / HUBS rows are hubs: there can't be more than HUBS of them, so they
     are broadcast and their rows stay where they are. Only rows of other keys are shuffled. Keys must not be null.
     """
+    if total < 4 * LEAST:
+        return left.join(right, list(key))
     least = max(LEAST, -(-total // HUBS))
     hubs = right.filter(F.col(count) >= least)
     met = left.join(F.broadcast(hubs), list(key))
