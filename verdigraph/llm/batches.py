@@ -1,18 +1,14 @@
-"""Arrow batches of texts."""
+"""Small parts of the batches that Python workers get."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
 
-KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
+import pandas as pd
 
 
-def small_batches(df: DataFrame, rows: int = 500) -> DataFrame:
-    """``df``, after the session's Arrow batches were brought down to ``rows`` rows, unless they have fewer already.
-
-    A batch of texts is held several times over (as rows that wait, as Arrow on both sides, as Python strings), and workers keep the memory they touched.
-    """
-    conf = df.sparkSession.conf
-    if not 0 < int(conf.get(KEY)) <= rows:
-        conf.set(KEY, str(rows))
-    return df
+def parts(batches: Iterator[pd.Series], rows: int = 250) -> Iterator[pd.Series]:
+    """Each batch in parts of at most ``rows`` rows, so that results of few texts are held at once, whatever the session's batches hold."""
+    for batch in batches:
+        for at in range(0, max(len(batch), 1), rows):
+            yield batch.iloc[at : at + rows]

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verdigraph.llm.batches import small_batches
+from verdigraph.llm.batches import parts
 
 #: ISO codes by family; a code that is missing is a family of its own.
 FAMILIES = {
@@ -39,43 +39,54 @@ def _letters() -> np.ndarray:
     return np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
 
 
-def _hashes(c: np.ndarray) -> np.ndarray:
-    """Buckets of the 1-, 2- and 3-grams of code points."""
+def _count(c: np.ndarray, n: int) -> np.ndarray:
+    """Counts of the hashed 1-, 2- and 3-grams of code points that begin at the first ``n`` places."""
     one = c * np.uint32(0x9E3779B1)
     two = one[:-1] ^ (c[1:] * np.uint32(0x85EBCA77))
     three = (two[:-1] * np.uint32(0x27D4EB2F)) ^ (c[2:] * np.uint32(0xC2B2AE3D))
-    return np.concatenate([one, two * np.uint32(0x165667B1), three * np.uint32(0x9E3779B1)]) >> np.uint32(32 - BITS)
+    grams = np.concatenate([one[:n], two[:n] * np.uint32(0x165667B1), three[:n] * np.uint32(0x9E3779B1)])
+    return np.bincount(grams >> np.uint32(32 - BITS), minlength=1 << BITS)
 
 
-def features(text: str | None) -> np.ndarray | None:
-    """Square roots of the shares of hashed 1- to 3-grams of the lower-cased letters, words padded by a space; None without a letter. The length is 1."""
+def features(text: str | None) -> tuple[np.ndarray, np.ndarray] | None:
+    """(buckets, values) of the hashed 1- to 3-grams of the lower-cased letters, words padded by a space; None without a letter.
+
+    Values are square roots of shares, so their length is 1. A text goes through in chunks, each with the last two places of the one before; the
+    result doesn't depend on where they end. A sigma at the end of a word counts as any other.
+    """
     if not text:
         return None
-    counts = np.zeros(1 << BITS)
-    any_letter = False
+    counts, held, any_letter = np.zeros(1 << BITS, np.int64), np.array([32], np.uint32), False
     for at in range(0, len(text), CHUNK):
-        c = np.frombuffer(text[max(0, at - 2) : at + CHUNK].lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+        c = np.frombuffer(text[at : at + CHUNK].lower().replace("ς", "σ").encode("utf-32-le", "surrogatepass"), np.uint32)
         known = _letters()[c]
         any_letter |= bool(known.any())
-        c = np.concatenate([[32], np.where(known, c, 32), [32]]).astype(np.uint32)
+        ends = [] if at + CHUNK < len(text) else [np.array([32], np.uint32)]
+        c = np.concatenate([held, np.where(known, c, np.uint32(32)), *ends])
         c = c[np.concatenate([[True], (c[1:] != 32) | (c[:-1] != 32)])]
-        counts += np.bincount(_hashes(c), minlength=1 << BITS)
-    return np.sqrt(counts / counts.sum()).astype(np.float32) if any_letter else None
+        n = len(c) if ends else max(0, len(c) - 2)
+        counts += _count(c, n)
+        held = c[n:]
+    if not any_letter:
+        return None
+    buckets = np.flatnonzero(counts)
+    return buckets.astype(np.uint16), np.sqrt(counts[buckets] / counts.sum()).astype(np.float32)
 
 
-def fit_svm(x: np.ndarray, y: np.ndarray, cost: float = 10.0, rounds: int = 12, seed: int = 3) -> np.ndarray:
+def fit_svm(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, cost: float = 10.0, rounds: int = 12, seed: int = 3) -> np.ndarray:
     """Weights (the last is the bias) of a linear machine with squared hinge loss for y in -1, 1: dual coordinate descent over the rows in random order."""
     rng = np.random.default_rng(seed)
-    w, bias = np.zeros(x.shape[1]), 0.0
-    alpha = np.zeros(len(x))
+    w, bias = np.zeros(1 << BITS), 0.0
+    alpha = np.zeros(len(rows))
     margin = 1 / (2 * cost)
-    norm = (x.astype(float) ** 2).sum(1) + 1 + margin
+    norm = np.array([float(values @ values) for _, values in rows]) + 1 + margin
     for _ in range(rounds):
-        for i in rng.permutation(len(x)):
-            step = (1 - y[i] * (x[i] @ w + bias) - margin * alpha[i]) / norm[i]
+        for i in rng.permutation(len(rows)):
+            buckets, values = rows[i]
+            step = (1 - y[i] * (w[buckets] @ values + bias) - margin * alpha[i]) / norm[i]
             new = max(0.0, alpha[i] + step)
             if new != alpha[i]:
-                w += (new - alpha[i]) * y[i] * x[i]
+                w[buckets] += (new - alpha[i]) * y[i] * values
                 bias += (new - alpha[i]) * y[i]
                 alpha[i] = new
     return np.append(w, bias).astype(np.float32)
@@ -89,11 +100,11 @@ class Model(NamedTuple):
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """(language, score): the score is how far the decisions are from even, from 0 to 1."""
-        x = features(text) if self.families else None
-        if x is None:
+        found = features(text) if self.families else None
+        if found is None:
             return UNDETERMINED, 0.0
-        x = np.append(x, np.float32(1))
-        margins = self.family_weights @ x
+        at, x = np.append(found[0].astype(np.int64), 1 << BITS), np.append(found[1], np.float32(1))
+        margins = self.family_weights[:, at] @ x
         best = int(margins.argmax())
         others = np.delete(margins, best)
         score = _sigmoid(2 * float(margins[best] - others.max())) if len(others) else 1.0
@@ -101,7 +112,7 @@ class Model(NamedTuple):
         votes, sums = dict.fromkeys(langs, 0), dict.fromkeys(langs, 0.0)
         for (a, b), w in self.pairs.items():
             if a in votes:
-                m = float(w @ x)
+                m = float(w[at] @ x)
                 votes[a if m > 0 else b] += 1
                 sums[a] += m
                 sums[b] -= m
@@ -114,26 +125,46 @@ def _sigmoid(x: float) -> float:
 
 
 def fit(texts: list[str], langs: list[str]) -> Model:
-    """Family machines against all other families, and a machine for each two languages of a family."""
-    got = [(f, lang) for t, lang in zip(texts, langs, strict=True) if (f := features(t)) is not None]
+    """A model from texts and their languages."""
+    return fit_features([features(t) for t in texts], langs)
+
+
+def fit_features(found: list[tuple[np.ndarray, np.ndarray] | None], langs: list[str]) -> Model:
+    """Family machines against all other families, and a machine for each two languages of a family. Rows without a letter teach nothing."""
+    got = [(f, lang) for f, lang in zip(found, langs, strict=True) if f is not None]
     if not got:
         return Model([], np.zeros((0, 0), np.float32), {}, {})
-    x, own = np.array([f for f, _ in got]), np.array([lang for _, lang in got])
+    rows, own = [f for f, _ in got], np.array([lang for _, lang in got])
     names = np.array([family(v) for v in own])
     families = sorted(set(names))
-    weights = [fit_svm(x, np.where(names == f, 1.0, -1.0)) if len(families) > 1 else np.zeros(x.shape[1] + 1, np.float32) for f in families]
+    weights = [fit_svm(rows, np.where(names == f, 1.0, -1.0)) if len(families) > 1 else np.zeros((1 << BITS) + 1, np.float32) for f in families]
     inside = {f: sorted(set(own[names == f])) for f in families}
     pairs = {}
     for two in inside.values():
         for a, b in combinations(two, 2):
-            rows = (own == a) | (own == b)
-            pairs[a, b] = fit_svm(x[rows], np.where(own[rows] == a, 1.0, -1.0))
+            at = np.flatnonzero((own == a) | (own == b))
+            pairs[a, b] = fit_svm([rows[i] for i in at], np.where(own[at] == a, 1.0, -1.0))
     return Model(families, np.array(weights), inside, pairs)
 
 
+def _packed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for texts in parts(batches):
+        found = [features(t) for t in texts]
+        yield pd.Series([None if f is None else f[1].tobytes() + f[0].tobytes() for f in found], dtype=object)
+
+
+def _unpacked(packed: bytes | None) -> tuple[np.ndarray, np.ndarray] | None:
+    if packed is None:
+        return None
+    n = len(packed) // 6
+    return np.frombuffer(packed, np.uint16, n, 4 * n), np.frombuffer(packed, np.float32, n)
+
+
 def train(docs: DataFrame, rows: int = 2400, longest: int = 40_000, seed: int = 5, least: int = 20) -> Model:
     """A model from a bounded sample of ``docs(doc_id, text, lang)``: about ``rows`` rows, shared evenly by the languages, of texts of at most ``longest``
-    code points. With many languages it grows, to about ``least`` rows (or all there are) for each. The sample goes by a hash of doc_id, so it doesn't depend on the order of rows. Rows with a null text or lang teach nothing."""
+    code points. With many languages it grows, to about ``least`` rows (or all there are) for each. The sample goes by a hash of doc_id, so it doesn't
+    depend on the order of rows. Features are computed where the texts are; only those of the sample come to the driver. Rows with a null text or lang
+    teach nothing; without any row the model knows no language."""
     known = docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.length("text") <= longest))
     counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy("lang").collect()}
     if not counts:
@@ -141,22 +172,26 @@ def train(docs: DataFrame, rows: int = 2400, longest: int = 40_000, seed: int =
     each = max(least, rows // len(counts))
     draw = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1_000_000))
     limits = F.create_map(*[F.lit(v) for lang, n in counts.items() for v in (lang, min(1_000_000, -(-1_000_000 * each // n)))])
-    sample = known.withColumn("_draw", draw).filter(F.col("_draw") < F.element_at(limits, F.col("lang"))).orderBy("_draw", "doc_id").limit(2 * max(rows, each * len(counts))).select("text", "lang").collect()
-    return fit([r["text"] for r in sample], [r["lang"] for r in sample])
+    drawn = known.select("doc_id", "text", "lang", draw.alias("draw")).filter(F.col("draw") < F.element_at(limits, F.col("lang")))
+    packed = drawn.select("draw", "doc_id", "lang", F.pandas_udf(_packed, "binary")("text").alias("found"))
+    sample = packed.orderBy("draw", "doc_id").limit(2 * max(rows, each * len(counts))).select("found", "lang").collect()
+    return fit_features([_unpacked(r["found"]) for r in sample], [r["lang"] for r in sample])
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with lang_pred and score. A null text or one without a letter is UNDETERMINED with score 0, as is all if the model knows no language.
 
-    Texts are read whole. Columns of those names are replaced; rows don't depend on each other, so repeated rows get equal results.
+    Texts are read whole, long ones in chunks. Columns of those two names are replaced, all others stay, whatever their names; rows don't depend on
+    each other, so repeated rows get equal results; an even vote goes to the larger sum, then to the later name. An empty table gives an empty result.
     """
 
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
+        for texts in parts(batches):
             yield pd.DataFrame([model.predict(t) for t in texts], columns=["lang_pred", "score"])
 
-    found = F.pandas_udf(predict, "lang_pred string, score double")
-    return small_batches(docs).withColumn("_found", found("text")).withColumn("lang_pred", F.col("_found.lang_pred")).withColumn("score", F.col("_found.score")).drop("_found")
+    found = F.pandas_udf(predict, "lang_pred string, score double")("text")
+    rest = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("doc"), found.alias("found")).select("doc.*", "found.*")
 
 
 def held_out() -> Column:

@@ -15,12 +15,14 @@ from verdigraph.plans.lineage import cut
 from verdigraph.plans.skew import running_total, spread_join
 
 #: A word, as Java and RE2 write it.
-WORD = r"[^\x20\x09-\x0D]+"
+WORD, SPACE = r"[^\x20\x09-\x0D]+", r"[\x20\x09-\x0D]"
 GOLDEN = 0.6180339887498949
-#: Slots of one chunk are ranked together; the fraction of GOLDEN * 2**20 steps from one run of 2**20 slots to the next.
+#: The fraction of GOLDEN * 2**20 steps from one run of 2**20 slots to the next.
 STEP = 2**20
 GOLDEN_STEP = (GOLDEN * STEP) % 1.0
-CELLS = 1024
+#: Slots that are ranked together, at least; cells of the cumulative shares for each source, and at least.
+CHUNK = 1024
+CELLS_EACH, CELLS = 4, 1024
 
 
 def source_key() -> Column:
@@ -33,12 +35,12 @@ def shuffle_key(seed: int) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 15), 16, 10).cast("long")
 
 
-def sized(docs: DataFrame, seed: int) -> DataFrame:
-    """row_id, doc_id, skey, source, size, h: each row with its number of words, written once so that row_id holds."""
-    return cut(
-        docs.select("doc_id", "source", source_key().alias("skey"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), shuffle_key(seed).alias("h")).withColumn("row_id", F.monotonically_increasing_id()),
-        "mix-sized",
-    )
+def sized(docs: DataFrame, seed: int, carry_text: bool) -> DataFrame:
+    """row_id, doc, skey, size, h: each row with its number of words, written once so that row_id holds. ``doc`` has the row's own columns."""
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns if carry_text or c != "text"]).alias("doc")
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")
+    rows = docs.select(own, source_key().alias("skey"), size, shuffle_key(seed).alias("h"))
+    return cut(rows.withColumn("row_id", F.monotonically_increasing_id()), "mix-sized")
 
 
 def targets(sizes: DataFrame, weights: Sequence[int], share: float, cap: float) -> DataFrame:
@@ -48,7 +50,7 @@ def targets(sizes: DataFrame, weights: Sequence[int], share: float, cap: float)
     by weight, stopping sources at their caps and sharing the rest again ends. With sources in the order of cap * size / weight, the level is the
     first rest / (weights from here on) that this source can take. ``cut`` is the target in whole words.
     """
-    per = sizes.groupBy("skey", "source").agg(F.sum("size").alias("source_size"))
+    per = sizes.groupBy("skey", F.col("doc.source").alias("source")).agg(F.sum("size").alias("source_size"))
     by_name = Window.orderBy(F.asc_nulls_last("source"))
     per = per.withColumn("pos", F.row_number().over(by_name)).withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), ((F.col("pos") - 1) % len(weights) + 1).cast("int")))
     limit = F.lit(cap) * F.col("source_size")
@@ -70,14 +72,14 @@ def schedule(goals: DataFrame, block_words: int) -> DataFrame:
     spark = goals.sparkSession
     total, sources = goals.agg(F.coalesce(F.sum("cut"), F.lit(0)), F.count("*")).first()
     slots = -(-total // block_words)
-    chunk = max(4096, int(slots**0.5))
+    chunk, n_cells = max(CHUNK, int(slots**0.5)), max(CELLS, CELLS_EACH * sources)
     upto = Window.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     ends = goals.withColumn("hi", F.sum("cut").over(upto) / F.lit(max(total, 1))).withColumn("lo", F.col("hi") - F.col("cut") / F.lit(max(total, 1)))
     ends = ends.filter("cut > 0").withColumn("lo", F.coalesce(F.lag("hi").over(Window.orderBy("pos")), F.lit(0.0)))
-    cells = ends.select("skey", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") * CELLS), F.least(F.floor(F.col("hi") * CELLS), F.lit(CELLS - 1).cast("long")))).alias("cell"))
+    cells = ends.select("skey", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") * n_cells), F.least(F.floor(F.col("hi") * n_cells), F.lit(n_cells - 1).cast("long")))).alias("cell"))
     point = (F.floor(F.col("slot") / STEP) * F.lit(GOLDEN_STEP) + (F.col("slot") % STEP) * F.lit(GOLDEN)) % F.lit(1.0)
-    points = spark.range(slots).select(F.col("id").alias("slot"), point.alias("u"), F.floor(F.col("id") / F.lit(chunk)).alias("chunk")).withColumn("cell", F.floor(F.col("u") * CELLS))
-    drawn = points.join(cells, "cell").filter("u >= lo and u < hi").select("slot", "chunk", "skey", F.lit(1).alias("one"))
+    points = spark.range(slots).select(F.col("id").alias("slot"), point.alias("u"), F.floor(F.col("id") / F.lit(chunk)).alias("chunk")).withColumn("cell", F.floor(F.col("u") * n_cells))
+    drawn = cut(points.join(cells, "cell").filter("u >= lo and u < hi").select("slot", "chunk", "skey", F.lit(1).alias("one")), "mix-drawn")
     ranked = running_total(drawn, "skey", "chunk", [F.col("slot")], "one", "rank")
     need = F.ceil(F.col("cut") / F.lit(block_words))
     wanted = goals.select("skey", "pos", need.alias("need"))
@@ -88,25 +90,28 @@ def schedule(goals: DataFrame, block_words: int) -> DataFrame:
     return natural.unionByName(late.select((F.lit(slots) + (F.col("rank") - F.col("had")) * F.lit(max(sources, 1)) + F.col("pos") - 1).alias("slot"), "skey", "rank"))
 
 
-def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, block_words: int = 256, seed: int = 17) -> tuple[DataFrame, DataFrame, DataFrame]:
+def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, block_words: int = 256, seed: int = 17, carry_text: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, sources, plan) of a mix of ``docs(doc_id, text, source)``.
 
-    ``plan`` has slot, skey, rank, row_id, first_word, words: the words of a document that a slot takes, counted from the document's start.
-    ``rows`` has each input row with its row_id, size and goal. A null source is a source; sources go by code point, the null one last, and weigh
-    ``weights`` in turn. A null or empty text has no words and is never taken. Repeated rows are taken as documents of their own. An empty table
-    gives empty results. Only doc_id, text and source are read; other columns don't matter. ``cap`` is the number of passes over a source's documents.
+    ``plan`` has slot, skey, rank, row_id, at, first_word, words: the words of a document that a slot takes, counted from the document's start, and
+    their place in the source's stream. ``rows`` has each input row with its row_id, size and goal, its own columns in ``doc``, the text
+    only if it is to be carried.
+    A null source is a source; sources go by code point, the null one last, and weigh ``weights`` in turn. A null or empty text has no words and is
+    never taken. Repeated rows are taken as documents of their own; equal shuffle keys go by row. An empty table gives empty results. Columns
+    besides doc_id, text and source have no influence, whatever their names. ``cap`` is the number of passes over a source's documents.
     """
-    rows = sized(docs, seed)
+    rows = sized(docs, seed, carry_text)
     goals = cut(targets(rows, weights, share, cap), "mix-targets")
     rows = spread_join(rows, goals.drop("source"), ["skey"], F.col("row_id"))
-    stream = running_total(rows.filter("size > 0").withColumn("bucket", F.shiftright("h", 50)), "skey", "bucket", [F.col("h"), F.col("row_id")], "size", "start")
+    stream = running_total(rows.drop("doc").filter("size > 0").withColumn("bucket", F.shiftright("h", 50)), "skey", "bucket", [F.col("h"), F.col("row_id")], "size", "start")
     passes = stream.select("*", F.explode(F.sequence(F.lit(0), F.lit(int(cap) - 1))).alias("pass")).withColumn("at", F.col("start") + F.col("pass") * F.col("source_size"))
     passes = passes.withColumn("end", F.least(F.col("at") + F.col("size"), F.col("cut"))).filter("at < end")
     block = F.lit(block_words)
-    pieces = passes.select("skey", "row_id", "at", "end", F.explode(F.sequence(F.floor(F.col("at") / block), F.floor((F.col("end") - 1) / block))).alias("rank"))
-    pieces = pieces.withColumn("first", F.greatest(F.col("at"), F.col("rank") * block))
-    pieces = pieces.select("skey", "rank", "row_id", (F.col("first") - F.col("at")).alias("first_word"), (F.least(F.col("end"), (F.col("rank") + 1) * block) - F.col("first")).alias("words"))
-    return rows, goals, schedule(goals, block_words).join(pieces, ["skey", "rank"])
+    blocks = passes.select("skey", "row_id", "at", "end", F.explode(F.sequence(F.floor(F.col("at") / block), F.floor((F.col("end") - 1) / block))).alias("rank"))
+    first = F.greatest(F.col("at"), F.col("rank") * block)
+    words = F.least(F.col("end"), (F.col("rank") + 1) * block) - first
+    blocks = cut(blocks.select("skey", "rank", "row_id", first.alias("at"), (first - F.col("at")).alias("first_word"), words.alias("words")), "mix-blocks")
+    return rows, goals, schedule(goals, block_words).join(blocks, ["skey", "rank"])
 
 
 def taken_words(rows: DataFrame, plan: DataFrame) -> DataFrame:
@@ -115,21 +120,26 @@ def taken_words(rows: DataFrame, plan: DataFrame) -> DataFrame:
     return rows.join(sums, "row_id", "left").withColumn("taken", F.coalesce("taken", F.lit(0).cast("long")))
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` in their proportions: each row as often as the mix takes most of its words, 0 to ``cap`` times.
+def mixed_blocks(docs: DataFrame, **options) -> DataFrame:
+    """slot, block_at, first_word, words, text, doc: the text of the mix, in the order of its slots, one row for each document's part of a slot.
 
-    At most one document of a source is taken in part; it counts as whole from half of its words on. A row without words can't be mixed and goes.
+    The parts of a slot, by block_at, are its block: ``block_words`` words of one source (the last block of a source may have fewer). A part has
+    ``text`` from the start of its first word to the start of the word after its last; white space before a document's first word and after its last
+    goes with those. So the parts of one pass over a document, put together, are the document. ``doc`` has the columns of the row it comes from.
+    A row without words can't be mixed and goes; repeated rows are rows of their own; an empty table gives an empty result.
     """
-    rows, _, plan = mix(docs, **options)
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0))
-    times = taken_words(rows, plan).groupBy(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_doc"), "skey", "size").agg(F.round(F.sum("taken") / F.sum("size")).cast("int").alias("_times")).filter("_times > 0").withColumnRenamed("skey", "_source").withColumnRenamed("size", "_size")
-    keyed = docs.withColumns({"_doc": F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "_source": source_key(), "_size": size.cast("long")})
-    return keyed.join(times, ["_doc", "_source", "_size"]).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    rows, _, plan = mix(docs, carry_text=True, **options)
+    takes = plan.groupBy("row_id").agg(F.collect_list(F.struct("slot", F.col("at").alias("block_at"), "first_word", "words")).alias("takes"))
+    split = F.regexp_extract_all("doc.text", F.lit(rf"(?:^{SPACE}+)?{WORD}(?:{SPACE}+|$)"), F.lit(0))
+    met = rows.select("row_id", "doc").join(takes, "row_id").select("doc", "takes", split.alias("split")).filter(F.size("split") > 0)
+    part = lambda t: F.struct(t["slot"].alias("slot"), t["block_at"].alias("block_at"), t["first_word"].alias("first_word"), t["words"].alias("words"), F.array_join(F.slice("split", (t["first_word"] + 1).cast("int"), t["words"].cast("int")), "").alias("text"))
+    parts = met.select("doc", F.inline(F.transform("takes", part)))
+    return parts.select("slot", "block_at", "first_word", "words", "text", "doc").repartitionByRange("slot").sortWithinPartitions("slot", "block_at")
 
 
 def op1_mix(spark, sf_dir):
     rows, _, plan = mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return taken_words(rows, plan).select("doc_id", "size", "source_size", "target", "taken")
+    return taken_words(rows, plan).select("doc.doc_id", "size", "source_size", "target", "taken")
 
 
 OP1_SQL = r"""

@@ -14,12 +14,13 @@ from functools import cache
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verdigraph.llm.batches import small_batches
+from verdigraph.llm.batches import parts
 from verdigraph.llm.components import components
 from verdigraph.plans.lineage import cut
+from verdigraph.plans.skew import hub_join
 
 SIZE = 5
 #: N-grams of one block of a cell: two blocks and their index stay within some hundred MB.
@@ -75,10 +76,10 @@ def _class(g: np.ndarray) -> bytes | None:
 
 
 def with_classes(docs: DataFrame, bands: int, rows: int) -> DataFrame:
-    """``docs`` with cls (null without words), n_grams and keys."""
+    """doc_id, row, cls (null without words), n_grams and keys for each row of ``docs(doc_id, text)``; ``row`` is row_key()."""
 
     def sign(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
+        for texts in parts(batches):
             out = []
             for text in texts:
                 g = grams(text)
@@ -86,7 +87,12 @@ def with_classes(docs: DataFrame, bands: int, rows: int) -> DataFrame:
             yield pd.DataFrame(out, columns=["cls", "n_grams", "keys"])
 
     found = F.pandas_udf(sign, "cls binary, n_grams long, keys array<long>")("text")
-    return small_batches(docs).withColumn("_c", found).select(*docs.columns, "_c.*")
+    return docs.select("doc_id", row_key().alias("row"), found.alias("found")).select("doc_id", "row", "found.*")
+
+
+def row_key() -> Column:
+    """A 128-bit digest of doc_id and text, the same for repeated rows only."""
+    return F.unhex(F.md5(F.concat(F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.lit("")), F.lit("|"), F.coalesce("text", F.lit("")))))
 
 
 def compare(members: pd.DataFrame, threshold: float, bands: int, rows: int) -> pd.DataFrame:
@@ -96,9 +102,9 @@ def compare(members: pd.DataFrame, threshold: float, bands: int, rows: int) -> p
     """
     got = {}
     for text, cls, copies, block in zip(members.text, members.cls, members.copies, members.block, strict=True):
-        cls = bytes(cls)
-        if cls not in got and _class(g := grams(text)) == cls:
-            got[cls] = (g, int(copies), int(block))
+        if _class(g := grams(text)) != bytes(cls):
+            raise ValueError("two rows have one key but different texts")
+        got[bytes(cls)] = (g, int(copies), int(block))
     names = sorted(got)
     sets, copies, block = [got[c][0] for c in names], np.array([got[c][1] for c in names]), np.array([got[c][2] for c in names])
     keys = np.array([signature(g, bands, rows) for g in sets], np.int64).reshape(len(names), bands)
@@ -139,55 +145,63 @@ def compare(members: pd.DataFrame, threshold: float, bands: int, rows: int) -> p
 
 
 def near_join(docs: DataFrame, threshold: float = 0.8, recall: float = 0.999) -> DataFrame:
-    """doc_id, text_hash, class_id, copy_id, n_copies, n_links: one row for each row of ``docs(doc_id, text)``.
+    """doc_id, class_id, copy_id, n_copies, n_links: one row for each row of ``docs(doc_id, text)``.
 
     Two documents are linked if the Jaccard similarity of their sets of 5-word runs (a shorter text is one run) is at least ``threshold``; equal sets have
     1. class_id is the least doc_id of all that links reach, copy_id the least with the same set, n_copies their number, n_links the number of other rows
     linked to this one, copies included. A pair just at the threshold is found with probability ``recall``, closer pairs with more.
-    A null text or one without words has no links and is its own class. Repeated rows are copies of each other. An empty table gives an empty result;
-    null doc_ids are kept and never name a class that has others. Other columns are not read.
+    A null text or one without words has no links and is its own class. Repeated rows are copies of each other. Long texts are read whole. An empty table
+    gives an empty result; null doc_ids are kept and never name a class that has others. Other columns are not read, whatever their names.
     """
-    return _joined(docs, threshold, recall).drop("component")
+    return _joined(docs, threshold, recall).drop("row", "component")
 
 
 def _joined(docs: DataFrame, threshold: float = 0.8, recall: float = 0.999) -> DataFrame:
-    """The rows of near_join with component, which names their class (null without words)."""
+    """The rows of near_join with row, their row_key(), and component, which names their class (null without words)."""
     bands, rows = bands_for(threshold, recall)
-    text_hash = F.xxhash64(F.coalesce("text", F.lit("")))
-    signed = cut(with_classes(docs.select("doc_id", text_hash.alias("text_hash"), "text"), bands, rows).drop("text"), "near-signed")
-    row = F.xxhash64("doc_id", "text_hash")
-    classes = cut(signed.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("copy_id"), F.count("*").alias("copies"), F.min(row).alias("row"), F.first("keys").alias("keys"), F.first("n_grams").alias("n_grams")), "near-classes")
+    signed = cut(with_classes(docs.select("doc_id", "text"), bands, rows), "near-signed")
+    by_class = signed.filter("cls is not null").groupBy("cls")
+    named_by = [F.min("doc_id").alias("copy_id"), F.count("*").alias("copies"), F.min("row").alias("row"), F.first("keys").alias("keys"), F.first("n_grams").alias("n_grams")]
+    classes = cut(by_class.agg(*named_by), "near-classes")
+    n_classes = classes.count()
     banded = classes.select("cls", F.posexplode("keys").alias("band", "key"))
-    first = banded.groupBy("band", "key").agg(F.min("cls").alias("b"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    ties = banded.join(first, ["band", "key"]).filter("cls <> b").select(F.col("cls").alias("a"), "b").distinct()
+    first = banded.groupBy("band", "key").agg(F.min("cls").alias("b"), F.count("*").alias("n")).filter("n > 1")
+    first = cut(first, "near-bands")
+    ties = hub_join(banded, first, ["band", "key"], "n", bands * n_classes).filter("cls <> b").select(F.col("cls").alias("a"), "b")
     clusters = components(ties).withColumnRenamed("node", "cls")
     members = clusters.join(classes.drop("keys"), "cls")
     blocks = members.groupBy("component").agg(F.sum("n_grams").alias("total")).withColumn("blocks", F.ceil(F.col("total") / BLOCK))
     members = members.join(blocks.drop("total"), "component").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")))
     # A class goes by the text of one of its rows; a repeated row comes once.
-    texts = docs.select("doc_id", "text", text_hash.alias("text_hash")).select("text", row.alias("row"))
-    placed = texts.join(members.select("row", "cls", "copies", "component", "block", "blocks"), "row").dropDuplicates(["row", "cls"]).drop("row")
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumn("left", F.least("block", "other")).withColumn("right", F.greatest("block", "other"))
-    found = placed.groupBy("component", "left", "right").applyInPandas(lambda pdf: compare(pdf, threshold, bands, rows), "cls binary, root binary, links long")
-    found = cut(found, "near-found")
+    texts = docs.select("doc_id", "text").select("text", row_key().alias("row"))
+    placed = texts.join(members.select("row", "cls", "copies", "component", "block", "blocks"), "row").dropDuplicates(["row"]).drop("row")
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    placed = placed.withColumn("other", other).withColumn("left", F.least("block", "other")).withColumn("right", F.greatest("block", "other"))
+    cells = placed.groupBy("component", "left", "right")
+    found = cut(cells.applyInPandas(lambda pdf: compare(pdf, threshold, bands, rows), "cls binary, root binary, links long"), "near-found")
     links = found.groupBy("cls").agg(F.sum("links").alias("links"))
     reached = components(found.select(F.col("cls").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "cls")
     named = classes.select("cls", "copy_id", "copies").join(links, "cls", "left").join(reached, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     least = named.groupBy("component").agg(F.min("copy_id").alias("class_id"))
-    named = named.join(least, "component").select("cls", "component", "copy_id", "class_id", F.col("copies").alias("n_copies"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    out = signed.select("doc_id", "text_hash", "cls").join(named, "cls", "left")
+    n_links = F.coalesce("links", F.lit(0)) + F.col("copies") - 1
+    named = named.join(least, "component").select("cls", "component", "copy_id", "class_id", F.col("copies").alias("n_copies"), n_links.alias("n_links"))
+    out = signed.select("doc_id", "row", "cls").join(named, "cls", "left")
     one = F.lit(1).cast("long")
-    return out.select("doc_id", "text_hash", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("copy_id", "doc_id").alias("copy_id"), F.coalesce("n_copies", one).alias("n_copies"), F.coalesce("n_links", one - 1).alias("n_links"), "component")
+    ids = [F.coalesce(c, "doc_id").alias(c) for c in ("class_id", "copy_id")]
+    return out.select("doc_id", *ids, F.coalesce("n_copies", one).alias("n_copies"), F.coalesce("n_links", one - 1).alias("n_links"), "row", "component")
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` without all but one document of each class: its least doc_id (null comes last) and text hash, of repeated rows one. Rows without words stay."""
-    joined = _joined(docs, **options).select("component", F.col("doc_id").isNull().alias("_none"), F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
-    best = joined.filter("component is not null").groupBy("component").agg(F.min(F.struct("_none", "_id", "_hash")).alias("_row")).select("_row._id", "_row._hash")
-    kept = best.unionByName(joined.filter("component is null").select("_id", "_hash").distinct())
-    keyed = docs.withColumn("_h", F.xxhash64(F.coalesce("text", F.lit(""))))
-    return keyed.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_hash"))).dropDuplicates(["_id", "_h"]).select(*docs.columns)
+    """``docs`` without all but one document of each class: of its least doc_id (null comes last) the one with the least row_key().
+
+    Rows without words stay, of repeated ones one. Columns keep their names, whatever they are. An empty table gives an empty result.
+    """
+    joined = _joined(docs, **options).select("component", F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    best = joined.filter("component is not null").groupBy("component").agg(F.min(F.struct("none", "doc_id", "row")).alias("best")).select("best.row")
+    kept = best.unionByName(joined.filter("component is null").select("row")).distinct()
+    keyed = docs.select(row_key().alias("row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    return keyed.join(kept, "row").groupBy("row").agg(F.first("doc").alias("doc")).select("doc.*")
 
 
 def op2_near(spark, sf_dir):
-    return near_join(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("text_hash")
+    return near_join(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -1,7 +1,8 @@
 """Substring dedup: content-defined chunks cut by a gear rolling hash, deduplicated by digest.
 
-A cut depends on the last 20 bytes only, so a passage is cut alike wherever it stands, but for its edges. Chunks are short and end with a word; text goes
-only where a run of chunks that stand elsewhere before is long enough, so shared phrases and headings stay.
+A cut depends on the last 32 bytes only, so a passage is cut alike wherever it stands, but for its edges. Chunks are short and end with a word, or with
+a character where there is no white space; text goes only where a run of chunks that stand elsewhere before is long enough, so shared phrases and
+headings stay.
 """
 
 from __future__ import annotations
@@ -11,15 +12,19 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from verdigraph.llm.batches import parts
 from verdigraph.plans.lineage import cut
+from verdigraph.plans.skew import hub_join
 
-#: One in CUT_EVERY word ends is a cut; no chunk is longer than LONGEST bytes. A run is removed from MIN_RUN words on.
+#: One in CUT_EVERY word ends is a cut. After BARE bytes without white space, one in BARE_EVERY ends of characters is.
 CUT_EVERY = 5
-LONGEST = 512
+BARE, BARE_EVERY = 32, 32
+#: A run is removed from MIN_RUN words on; where words are longer than that on average, each WORD_BYTES bytes count as a word.
 MIN_RUN = 18
+WORD_BYTES = 16
 BLOCK = 1 << 20
 GEAR = np.random.default_rng(2024).integers(0, 1 << 32, 256, dtype=np.uint32)
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
@@ -34,32 +39,33 @@ def _gear(b: np.ndarray) -> np.ndarray:
 
 
 def chunk_ends(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(end of each chunk in bytes, words that begin in it). A very long text goes through in blocks that overlap by the window."""
+    """(end of each chunk in bytes, its length in words). A very long text goes through in blocks that overlap by the window.
+
+    Words are those that begin in the chunk, or its bytes by WORD_BYTES if that is more.
+    """
     if not data:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     whole = np.frombuffer(data, np.uint8)
     cuts, starts = [], []
     for at in range(0, len(whole), BLOCK):
-        low = max(0, at - 32)
-        b = whole[low : at + BLOCK]
+        low = max(0, at - 64)
+        b = whole[low : at + BLOCK + 1]
+        n = min(BLOCK, len(whole) - at)
         space = _SPACE[b]
-        hit = space & ((_gear(b) >> np.uint32(12) & np.uint32(0xFF)) % np.uint32(CUT_EVERY) == 0)
+        h = _gear(b)
+        hit = space & ((h >> np.uint32(12) & np.uint32(0xFF)) % np.uint32(CUT_EVERY) == 0)
+        spaces = np.cumsum(space, dtype=np.int32)
+        bare = np.zeros(len(b), bool)
+        bare[BARE - 1 :] = spaces[BARE - 1 :] == np.concatenate([[0], spaces[:-BARE]]) if len(b) >= BARE else False
+        whole_character = np.concatenate([b[1:] & 0xC0 != 0x80, [True]])
+        hit |= bare & whole_character & (h >> np.uint32(12) & np.uint32(BARE_EVERY - 1) == 0)
         first = np.concatenate([[low == 0], space[:-1]]) & ~space
-        cuts.append(np.flatnonzero(hit[at - low :]) + at + 1)
-        starts.append(np.flatnonzero(first[at - low :]) + at)
+        cuts.append(np.flatnonzero(hit[at - low : at - low + n]) + at + 1)
+        starts.append(np.flatnonzero(first[at - low : at - low + n]) + at)
     ends = np.concatenate([*cuts, [len(whole)]])
     ends = ends[np.concatenate([[True], ends[1:] != ends[:-1]])]
-    gaps = np.diff(ends, prepend=0)
-    if (gaps > LONGEST).any():
-        more = []
-        for end, gap in zip(ends[gaps > LONGEST], gaps[gaps > LONGEST], strict=True):
-            for x in range(end - gap + LONGEST, end, LONGEST):
-                while x < end and whole[x] & 0xC0 == 0x80:  # not inside a character
-                    x += 1
-                more.append(x)
-        ends = np.unique(np.concatenate([ends, np.array(more, np.int64)]))
-    words = np.searchsorted(np.concatenate(starts), ends)
-    return ends, np.diff(words, prepend=0)
+    words = np.diff(np.searchsorted(np.concatenate(starts), ends), prepend=0)
+    return ends, np.maximum(words, np.diff(ends, prepend=0) // WORD_BYTES)
 
 
 def digests(data: bytes, ends: np.ndarray) -> list[int]:
@@ -97,17 +103,24 @@ def without_runs(text: str, elsewhere: set[int], min_run: int = MIN_RUN) -> tupl
     return "".join([*kept, data[at:].decode("utf-8", "surrogatepass")]), removed, spans
 
 
+def document_order(docs: DataFrame) -> Column:
+    """A number for each document: its doc_id where ids are whole numbers, a hash of other ids; null ids come last, by a hash of the text."""
+    kind = dict(docs.dtypes)["doc_id"]
+    number = F.col("doc_id").cast("long") if kind in ("tinyint", "smallint", "int", "bigint") else F.shiftright(F.xxhash64("doc_id"), 2)
+    return F.coalesce(number, F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64(F.coalesce("text", F.lit(""))), 2))
+
+
 def dedup_substrings(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
-    """``docs`` with text cut down and removed_words, removed_spans: passages that a smaller doc_id has, or that stand earlier in the text, go.
+    """``docs`` with text cut down and removed_words, removed_spans: passages that an earlier document has, or that stand earlier in the text, go.
 
-    Each chunk stays in the smallest doc_id that has it, at its first place there; a run of at least ``min_run`` words of other chunks is removed whole.
-    Rows of one doc_id count as one document, null doc_ids as the last. A null text stays null, an empty one empty. An empty table gives an empty
-    result. Columns of those two names are replaced, all others kept. Digests are counted with partial sums; the digests that several documents
-    share are written out, so that the join that finds them again can split a hot one.
+    Each chunk stays in the first document that has it, at its first place there; a run of at least ``min_run`` words of other chunks is removed whole.
+    Documents go by document_order(): by doc_id, null ones last. Rows of one doc_id count as one document, as do rows without one that have equal texts.
+    A null text stays null, an empty one empty; long ones are read whole. An empty table gives an empty result. Columns of those two names are replaced,
+    all others kept, whatever their names. Digests are counted with partial sums; those that very many documents share are not shuffled.
     """
 
     def chunk(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
+        for texts in parts(batches):
             out = []
             for text in texts:
                 data = (text or "").encode("utf-8", "surrogatepass")
@@ -119,21 +132,28 @@ def dedup_substrings(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
 
     def clean(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for texts, elsewhere in batches:
-            yield pd.DataFrame([without_runs(t, set(e.tolist()), min_run) if e is not None else (t, 0, []) for t, e in zip(texts, elsewhere, strict=True)], columns=["text", "removed_words", "removed_spans"])
+            for at in range(0, len(texts), 250):
+                pairs = zip(texts.iloc[at : at + 250], elsewhere.iloc[at : at + 250], strict=True)
+                rows = [without_runs(t, set(e.tolist()), min_run) if e is not None and t is not None else (None, 0, []) for t, e in pairs]
+                yield pd.DataFrame(rows, columns=["text", "removed_words", "removed_spans"])
 
-    who = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
-    chunks = cut(docs.select(who.alias("who"), F.pandas_udf(chunk, "digests array<long>, again boolean")("text").alias("c")).select("who", "c.*"), "chunks")
+    who = document_order(docs).alias("who")
+    chunks = cut(docs.select(who, F.pandas_udf(chunk, "digests array<long>, again boolean")("text").alias("c")).select("who", "c.*"), "chunks")
     each = chunks.select("who", F.explode("digests").alias("digest"))
-    shared = cut(each.groupBy("digest").agg(F.count("*").alias("n"), F.min("who").alias("owner")).filter("n > 1").drop("n"), "shared-chunks")
-    marks = each.join(shared, "digest").filter("who > owner").select("who", "digest").unionByName(chunks.filter("again").select("who", F.lit(None).cast("long").alias("digest")))
-    marks = marks.groupBy("who").agg(F.collect_set("digest").alias("_elsewhere"))
+    shared = cut(each.groupBy("digest").agg(F.count("*").alias("n"), F.min("who").alias("owner")).filter("n > 1"), "shared-chunks")
+    total = shared.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    marks = hub_join(each, shared, ["digest"], "n", total).filter("who > owner").select("who", "digest")
+    marks = marks.unionByName(chunks.filter("again").select("who", F.lit(None).cast("long").alias("digest")))
+    marks = marks.groupBy("who").agg(F.collect_set("digest").alias("elsewhere"))
     rest = [c for c in docs.columns if c not in ("text", "removed_words", "removed_spans")]
-    joined = docs.select(*rest, "text", who.alias("_who")).join(marks.withColumnRenamed("who", "_who"), "_who", "left")
-    found = F.pandas_udf(clean, "text string, removed_words long, removed_spans array<struct<start:int,end:int>>")(F.when(F.col("_elsewhere").isNotNull(), F.col("text")), F.when(F.col("text").isNotNull(), F.col("_elsewhere")))
-    out = joined.withColumn("_r", found)
-    changed = F.col("_elsewhere").isNotNull() & F.col("text").isNotNull()
-    columns = {"text": F.when(changed, F.col("_r.text")).otherwise(F.col("text")), "removed_words": F.coalesce("_r.removed_words", F.lit(0).cast("long")), "removed_spans": F.coalesce("_r.removed_spans", F.array().cast("array<struct<start:int,end:int>>"))}
-    return out.select(*[columns.get(c, F.col(c)).alias(c) for c in [*[c for c in docs.columns if c in rest or c == "text"], "removed_words", "removed_spans"]])
+    joined = docs.select(who, "text", F.struct(*[F.col(f"`{c}`") for c in rest]).alias("doc")).join(marks, "who", "left")
+    # Only texts that may lose something go to Python.
+    found = F.pandas_udf(clean, "text string, removed_words long, removed_spans array<struct<start:int,end:int>>")(F.when(F.col("elsewhere").isNotNull(), F.col("text")), "elsewhere")
+    out = joined.select("doc", "text", found.alias("r"), (F.col("elsewhere").isNotNull() & F.col("text").isNotNull()).alias("changed"))
+    text = F.when(F.col("changed"), F.col("r.text")).otherwise(F.col("text"))
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    columns = [text.alias("text") if c == "text" else F.col(f"doc.`{c}`") for c in docs.columns if c == "text" or c in rest]
+    return out.select(*columns, F.coalesce("r.removed_words", F.lit(0).cast("long")).alias("removed_words"), F.coalesce("r.removed_spans", none).alias("removed_spans"))
 
 
 def op9_substrings(spark, sf_dir):
