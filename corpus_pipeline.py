@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdigraph.llm import langid, mix, near, pieces, substrings
-from verdigraph.plans.lineage import cut
+from verdigraph.plans.lineage import cut, scratch
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,8 +33,12 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them, at most twice."""
-    return mix.mixed_documents(docs)
+    """The blocks of the mix in the order of its slots: one row for each document's part of a block, with that part as its text. n_chars follows it.
+
+    A document comes in parts of up to 256 words, as often as its source is taken. A row without words goes, as no slot can hold it.
+    """
+    new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return mix.mixed_blocks(docs).select(*[(new[c] if c in new else F.col(f"doc.`{c}`")).alias(c) for c in docs.columns])
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,5 +61,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir), f"stage-{name}")
+        with scratch():
+            docs = cut(stage(spark, docs, sf_dir), f"stage-{name}", outlive=True)
     return STAGES[-1][1](spark, docs, sf_dir)
