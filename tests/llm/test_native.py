@@ -105,6 +105,9 @@ def test_fingerprint(spark, rows):
         assert r.near_edited == pytest.approx(like(text, edited), abs=1e-9 if len(grams(text)) < 120 else 0.2)
         assert r.near_next == pytest.approx(like(text, after), abs=1e-9 if len(grams(text) | grams(after)) < 120 else 0.2)
         assert len(r.fingerprint) == 16 * min(128, len(grams(text)))
+        own = grams(text)
+        assert r.contained == pytest.approx(len(own & grams(edited)) / len(own) if own else 1.0, abs=1e-9 if len(own) < 120 else 0.25)
+        assert r.n_shingles == pytest.approx(len(own), rel=1e-9 if len(own) < 128 else 0.35)
     assert fingerprint.fingerprint_edits(docs.limit(0)).count() == 0
 
 
@@ -112,3 +115,30 @@ def test_sketches_merge(spark):
     parts = spark.range(4000).select((F.col("id") % 2).alias("k"), F.array(F.xxhash64("id"), F.xxhash64(F.col("id") % 100)).alias("s"))
     got = fingerprint.merge_sketches(parts, ["k"], "s", 64).withColumn("n", fingerprint.distinct_shingles(F.col("s"), 64)).collect()
     assert all(len(r.s) == 64 and 1200 < r.n < 3200 for r in got)
+
+
+def test_merged_sketch_is_that_of_the_whole(spark):
+    rng = random.Random(8)
+    rows = [(rng.choice([None, "a", "b"]), [rng.randint(-(2**40), 2**40) for _ in range(rng.randint(0, 30))]) for _ in range(80)] + [("empty", []), ("none", None), ("a", None)]
+    parts = spark.createDataFrame(rows, "rank string, h array<bigint>")
+    got = {r["rank"]: list(r.h) for r in fingerprint.merge_sketches(parts, ["rank"], "h", 16, 4).collect()}
+    want = {k: sorted({x for key, xs in rows if key == k for x in xs or []})[:16] for k, _ in rows}
+    assert got == want and len(got[None]) == 16
+    assert fingerprint.merge_sketches(parts.limit(0), ["rank"], "h").count() == 0
+
+
+@pytest.mark.parametrize("most", [1 << 19, 3])
+def test_next_rows_in_many_buckets(spark, monkeypatch, most):
+    """Null, equal and far doc_ids, in buckets of a few rows, broadcast or not."""
+    monkeypatch.setattr(fingerprint, "SMALL", 300)
+    monkeypatch.setattr(fingerprint, "LARGE", 400)
+    monkeypatch.setattr(fingerprint, "MOST_BROADCAST", most)
+    rng = random.Random(3)
+    ids = [rng.choice([rng.randint(0, 400), rng.randint(0, 10**12), -5]) for _ in range(150)] + [None] * 40 + [7, 7]
+    rows = [(i, words(rng, rng.randint(0, 40))) for i in ids] + [(None, None), (7, "x"), (7, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("head", F.lit(1)).withColumn("to", F.lit(1))
+    got = fingerprint.fingerprint_edits(docs).select("doc_id", "edited", "near_next").collect()
+    hashes = {r.text: r.h for r in spark.createDataFrame([(t or "",) for _, t in rows], "text string").select("text", F.xxhash64("text").alias("h")).collect()}
+    order = sorted([(i, t or "") for i, t in rows], key=lambda r: (r[0] is not None, r[0] or 0, hashes[r[1]] if r[0] is None else 0, r[1]))
+    want = [(i, t[: len(t) - len(t) // 4] + after[: len(t) // 4]) for (i, t), (_, after) in zip(order, [*order[1:], order[0]], strict=True)]
+    assert sorted((repr(r.doc_id), r.edited) for r in got) == sorted((repr(i), e) for i, e in want)
