@@ -49,9 +49,23 @@ def test_mix(spark, tmp_path, rows):
     agree(got, mix.OP1_SQL, documents=frame(rows, ["doc_id", "text", "source"]))
     sums = got.join(spark.createDataFrame(rows, "doc_id long, text string, source string").drop("text"), "doc_id").groupBy("source").agg(F.sum("taken").alias("t"), F.first("target").alias("g"), F.max(F.col("taken") - 2 * F.col("size")).alias("over")).collect()
     assert all(abs(r.t - r.g) <= 1 and r.over <= 0 for r in sums)
-    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("skey", F.lit(1)).withColumn("h", F.lit(2))
-    assert mix.mixed_documents(docs).columns == docs.columns
-    assert mix.mixed_documents(docs.limit(0)).count() == 0
+    docs = spark.createDataFrame([*rows, rows[3]], "doc_id long, text string, source string")
+    for name in ("skey", "h", "slot", "size", "_size", "row_id", "takes", "split", "doc"):
+        docs = docs.withColumn(name, F.lit("clash"))
+    parts = mix.mixed_blocks(docs, block_words=16).collect()
+    blocks = {}
+    for r in parts:
+        blocks.setdefault(r.slot, []).append(r)
+        assert len(r.text.split()) == r.words and r.doc.doc == r.doc.slot == r.doc._size == "clash"
+    assert len({r.slot for r in parts}) == len(blocks) and [r.slot for r in parts] == sorted(r.slot for r in parts)
+    short = [s for s, own in blocks.items() if sum(r.words for r in own) != 16]
+    assert all(len({r.doc.source for r in own}) == 1 for own in blocks.values()) and len(short) <= 6
+    for i, text, source in rows:
+        own = sorted((r.block_at, r.first_word, r.text) for r in parts if r.doc.doc_id == i)
+        if own and i != rows[3][0]:
+            passes = "".join(t for _, _, t in own)
+            assert passes.startswith(text) or text.startswith(passes) or text.startswith(passes[len(text) :])
+    assert mix.mixed_blocks(docs.limit(0)).count() == 0
 
 
 def test_slots_follow_the_shares(spark, tmp_path, rows):
@@ -79,8 +93,28 @@ def test_chat(spark, tmp_path):
     turns += [(50, 0, None, "x"), (50, 0, "assistant", "tie"), (50, 0, "assistant", "tie")]
     d = stored(spark, tmp_path, "conversations", turns, "conv_id long, turn long, role string, text string")
     agree(chat.op7_chat(spark, d), chat.OP7_SQL, conversations=frame(turns, ["conv_id", "turn", "role", "text"]))
-    windows = chat.chat_windows(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))
-    assert windows.groupBy("conv_id").count().agg(F.max("count")).first()[0] > 1
+    table = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    windows = chat.chat_windows(table.withColumn("sums", F.lit(1)).withColumn("opened", F.lit(1))).collect()
+    assert max(r.window for r in windows) >= 3 and any(r.n_context > 1 for r in windows)
+    for r in windows:
+        parts = r.formatted.split("</s>")[:-1]
+        tokens = [len(p.split("[/INST]", 1)[1].replace("\\", "").split()) + 3 for p in parts]
+        assert len(tokens) == 1 + r.n_context or r.n_tokens <= 512
+        assert r.n_tokens <= 512 or len(tokens) == 1
+    assert chat.chat_windows(table.limit(0)).count() == 0 and chat.read_back(chat.chat_windows(table.limit(0))).count() == 0
+
+
+def test_chat_keeps_its_budget(spark):
+    turns = [(1, 0, "system", words(random.Random(1), 450))] + [(1, i, "assistant" if i % 2 == 0 else "user", words(random.Random(i), 300)) for i in (1, 2, 3)]
+    turns += [(2, 0, "system", "be kind"), (2, 1, "user", words(random.Random(1), 900)), (2, 2, "assistant", "short"), (2, 3, "user", words(random.Random(4), 400))]
+    got = chat.chat_windows(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).orderBy("conv_id", "window").collect()
+    assert [(r.conv_id, r.n_tokens, r.n_context) for r in got] == [(1, 453, 0), (1, 303, 0), (1, 303, 0), (1, 303, 0), (2, 5, 0), (2, 903, 0), (2, 412, 1)]
+
+
+def test_chat_long_conversation(spark):
+    rows = spark.range(20000).selectExpr("3L as conv_id", "id as turn", "if(id % 2 = 0, 'user', 'assistant') as role", "repeat('word ', 40) as text")
+    got = chat.read_back(chat.chat_windows(rows)).select("n_turns", F.length("loss").alias("n")).collect()
+    assert [tuple(r) for r in got] == [(20000, 10000 * 200)]
 
 
 def test_fingerprint(spark, rows):

@@ -22,14 +22,16 @@ def unescaped(text: Column) -> Column:
 
 
 def chat_windows(turns: DataFrame, budget: int = 512, history: int = 2, history_budget: int = 128, overhead: int = 3) -> DataFrame:
-    """conv_id, window, formatted, n_context, spans for ``turns(conv_id, turn, role, text)``: one row for each window of a conversation.
+    """conv_id, window, formatted, n_context, n_tokens, spans for ``turns(conv_id, turn, role, text)``: one row for each window of a conversation.
 
-    Tokens are words plus ``overhead`` for a turn's marks. A window takes the next turns while their prefix sum stays within ``budget``; a single turn
-    beyond it has a window of its own. From the second window on, ``n_context`` turns come first that earlier windows had: the system turn, if the
-    conversation starts with one, and at most ``history`` turns of at most ``history_budget`` tokens. ``spans`` are the code point ranges of
-    ``formatted`` under the loss mask: the escaped texts of the assistant turns that are new in this window.
+    Tokens are words plus ``overhead`` for a turn's marks. A window takes the next turns while all it holds stays within ``budget``; a turn that is
+    beyond it on its own has a window of its own, without context. Any other window from the second on begins with ``n_context`` turns that earlier
+    windows had, as far as they leave room for its first new turn: the system turn, if the conversation starts with one, then of the turns before it the
+    last ``history`` or fewer that have ``history_budget`` tokens at most. ``spans`` are the code point ranges of ``formatted`` under the loss mask: the
+    escaped texts of the assistant turns that are new in this window.
     Turns go by number; equal numbers by role and text, repeated rows are turns of their own. Null roles and texts are empty, a null conv_id is one
-    conversation, null turns come first. An empty table gives an empty result. Other columns are not read. A conversation's turns meet in one row.
+    conversation, null turns come first. An empty table gives an empty result. Other columns are not read, whatever their names. A conversation's turns
+    meet in one row, so a conversation may have as many code points as one value can, some hundred million.
     """
     rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("tokens", F.regexp_count("text", F.lit(WORD)).cast("long") + overhead)
@@ -37,27 +39,33 @@ def chat_windows(turns: DataFrame, budget: int = 512, history: int = 2, history_
     rows = rows.withColumn("before", F.coalesce(F.sum("tokens").over(before), F.lit(0)))
     convs = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "before", "role", "text", "tokens"))).alias("turns"))
     t = F.col("turns")
-    convs = convs.withColumn("n", F.size(t)).withColumn("first", F.when(F.get(t, F.lit(0))["role"] == "system", 1).otherwise(0)).withColumn("kept_tokens", F.when(F.col("first") == 1, F.get(t, F.lit(0))["tokens"]).otherwise(F.lit(0)))
+    system = F.get(t, F.lit(0))
+    convs = convs.withColumn("n", F.size(t)).withColumn("first", F.when(system["role"] == "system", 1).otherwise(0)).withColumn("system_tokens", F.when(F.col("first") == 1, system["tokens"]).otherwise(F.lit(0)))
     sums = F.col("sums")
     convs = convs.withColumn("sums", F.concat(F.transform(t, lambda x: x["before"]), F.array(F.element_at(t, -1)["before"] + F.element_at(t, -1)["tokens"])))
+    turn_tokens = lambda i: F.get(sums, i + 1) - F.get(sums, i)
+    keeps = lambda i: (i > 0) & (F.col("first") == 1) & (F.col("system_tokens") + turn_tokens(i) <= budget)
+    room = lambda i: F.least(F.lit(history_budget), F.greatest(F.lit(0), budget - turn_tokens(i) - F.when(keeps(i), F.col("system_tokens")).otherwise(F.lit(0))))
     reach = lambda i: F.greatest(F.least(i, F.col("first")), i - history)
-    convs = convs.withColumn("from", F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.get(F.filter(F.sequence(reach(i), i), lambda j: F.get(sums, i) - F.get(sums, j) <= history_budget), F.lit(0))))
+    opened = lambda i: F.struct(keeps(i).alias("system"), F.get(F.filter(F.sequence(reach(i), i), lambda j: F.get(sums, i) - F.get(sums, j) <= room(i)), F.lit(0)).alias("from"))
+    convs = convs.withColumn("opened", F.transform(F.sequence(F.lit(0), F.col("n") - 1), opened))
 
     def step(acc, i):
-        tokens = F.get(sums, i + 1) - F.get(sums, i)
-        again = F.when(i > 0, F.col("kept_tokens")).otherwise(F.lit(0)) + F.get(sums, i) - F.get(sums, F.get(F.col("from"), i))
-        opens = (i == 0) | ((i > F.col("first")) & (acc["used"] + tokens > budget))
-        return F.struct(F.when(opens, again + tokens).otherwise(acc["used"] + tokens).alias("used"), F.when(opens, F.concat(acc["starts"], F.array(i))).otherwise(acc["starts"]).alias("starts"))
+        o = F.get("opened", i)
+        again = F.when(o["system"], F.col("system_tokens")).otherwise(F.lit(0)) + F.get(sums, i) - F.get(sums, o["from"])
+        opens = (i == 0) | (acc["used"] + turn_tokens(i) > budget)
+        return F.struct((F.when(opens, again).otherwise(acc["used"]) + turn_tokens(i)).alias("used"), F.when(opens, F.concat(acc["starts"], F.array(i))).otherwise(acc["starts"]).alias("starts"))
 
     zero = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<int>").alias("starts"))
     convs = convs.withColumn("starts", F.aggregate(F.sequence(F.lit(0), F.col("n") - 1), zero, step, lambda acc: acc["starts"]))
     part = lambda x, new: F.struct(F.concat(F.lit(OPEN), escaped(x["role"]), F.lit(MID)).alias("head"), escaped(x["text"]).alias("body"), (F.lit(new) & (x["role"] == "assistant")).alias("learn"))
 
     def window(start, number):
-        end, past = F.coalesce(F.get("starts", number + 1), F.col("n")), F.get(F.col("from"), start)
-        context = F.concat(F.slice(t, F.lit(1), F.when(start > 0, F.col("first")).otherwise(F.lit(0))), F.slice(t, past + 1, start - past))
+        end, past, kept = F.coalesce(F.get("starts", number + 1), F.col("n")), F.get("opened", start)["from"], F.get("opened", start)["system"]
+        context = F.concat(F.slice(t, F.lit(1), kept.cast("int")), F.slice(t, past + 1, start - past))
+        tokens = F.get(sums, end) - F.get(sums, past) + F.when(kept, F.col("system_tokens")).otherwise(F.lit(0))
         parts = F.concat(F.transform(context, lambda x: part(x, False)), F.transform(F.slice(t, start + 1, end - start), lambda x: part(x, True)))
-        return F.struct(number.alias("window"), F.size(context).alias("n_context"), parts.alias("parts"))
+        return F.struct(number.alias("window"), F.size(context).alias("n_context"), tokens.alias("n_tokens"), parts.alias("parts"))
 
     cuts = convs.select("conv_id", F.transform("starts", window).alias("windows")).select("conv_id", F.inline_outer("windows"))
 
@@ -67,7 +75,7 @@ def chat_windows(turns: DataFrame, budget: int = 512, history: int = 2, history_
         return F.struct((to + len(END)).alias("at"), F.when(p["learn"], F.concat(acc["spans"], F.array(F.struct(at.alias("start"), to.alias("end"))))).otherwise(acc["spans"]).alias("spans"))
 
     none = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
-    return cuts.select("conv_id", "window", F.array_join(F.transform("parts", lambda p: F.concat(p["head"], p["body"], F.lit(END))), "").alias("formatted"), "n_context", F.aggregate("parts", none, span, lambda acc: acc["spans"]).alias("spans"))
+    return cuts.select("conv_id", "window", F.array_join(F.transform("parts", lambda p: F.concat(p["head"], p["body"], F.lit(END))), "").alias("formatted"), "n_context", "n_tokens", F.aggregate("parts", none, span, lambda acc: acc["spans"]).alias("spans"))
 
 
 def read_back(windows: DataFrame) -> DataFrame:
@@ -105,15 +113,18 @@ kept AS (
          max(CASE WHEN i = 0 AND role = 'system' THEN chars ELSE 0 END) AS chars FROM sized GROUP BY conv_id),
 turns AS (SELECT s.*, k.first, k.tokens AS kept_tokens, k.chars AS kept_chars, coalesce(sum(s.tokens) OVER (PARTITION BY s.conv_id ORDER BY s.i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
           FROM sized s JOIN kept k USING (conv_id)),
+fits AS (
+  SELECT *, CASE WHEN i > 0 AND first = 1 AND kept_tokens + tokens <= 512 THEN 1 ELSE 0 END AS keeps FROM turns),
+room AS (SELECT *, least(128, greatest(0, 512 - tokens - keeps * kept_tokens)) AS room FROM fits),
 past AS (
-  SELECT t.conv_id, t.i, min(p.i) AS j FROM turns t JOIN turns p ON p.conv_id = t.conv_id AND p.i <= t.i AND p.i >= greatest(least(t.i, t.first), t.i - 2) AND t.before - p.before <= 128 GROUP BY t.conv_id, t.i),
+  SELECT t.conv_id, t.i, min(p.i) AS j FROM room t JOIN turns p ON p.conv_id = t.conv_id AND p.i <= t.i AND p.i >= greatest(least(t.i, t.first), t.i - 2) AND t.before - p.before <= t.room GROUP BY t.conv_id, t.i),
 context AS (
-  SELECT t.conv_id, t.i, (CASE WHEN t.i > 0 THEN t.kept_tokens ELSE 0 END) + coalesce(sum(p.tokens), 0) AS tokens, (CASE WHEN t.i > 0 THEN t.kept_chars ELSE 0 END) + coalesce(sum(p.chars), 0) AS chars
-  FROM turns t JOIN past USING (conv_id, i) LEFT JOIN turns p ON p.conv_id = t.conv_id AND p.i >= past.j AND p.i < t.i GROUP BY t.conv_id, t.i, t.kept_tokens, t.kept_chars),
+  SELECT t.conv_id, t.i, t.keeps * t.kept_tokens + coalesce(sum(p.tokens), 0) AS tokens, t.keeps * t.kept_chars + coalesce(sum(p.chars), 0) AS chars
+  FROM room t JOIN past USING (conv_id, i) LEFT JOIN turns p ON p.conv_id = t.conv_id AND p.i >= past.j AND p.i < t.i GROUP BY t.conv_id, t.i, t.keeps, t.kept_tokens, t.kept_chars),
 walk AS (
   SELECT conv_id, i, (c.tokens + t.tokens)::BIGINT AS used, true AS opens FROM turns t JOIN context c USING (conv_id, i) WHERE i = 0
   UNION ALL
-  SELECT t.conv_id, t.i, (CASE WHEN t.i > t.first AND w.used + t.tokens > 512 THEN c.tokens ELSE w.used END + t.tokens)::BIGINT, t.i > t.first AND w.used + t.tokens > 512
+  SELECT t.conv_id, t.i, (CASE WHEN w.used + t.tokens > 512 THEN c.tokens ELSE w.used END + t.tokens)::BIGINT, w.used + t.tokens > 512
   FROM walk w JOIN turns t ON t.conv_id = w.conv_id AND t.i = w.i + 1 JOIN context c ON c.conv_id = t.conv_id AND c.i = t.i)
 SELECT t.conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
        coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '')) AS loss_sha256,
