@@ -10,11 +10,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from verdigraph.llm.batches import parts
+
 BITS = 17
 SIZES = (3, 4, 5, 6)
 WINDOW = 8
+#: Places of a text at which n-grams are read at once; results don't depend on it.
 CHUNK = 1 << 18
 SPACE = np.uint32(32)
+#: Parts of the sample, each scored by a model of the others to set the curve.
+FOLDS = 3
 _MULTIPLIERS = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1, 0x9E3779B9)
 
 
@@ -25,41 +30,44 @@ def _codes(text: str) -> np.ndarray:
     return c[np.concatenate([[True], (c[1:] != SPACE) | (c[:-1] != SPACE)])]
 
 
-def subwords(text: str) -> tuple[np.ndarray, np.ndarray, int]:
-    """(buckets, number of the word of each, words): character n-grams of all words with their marks, and each whole word.
+def subwords(text: str) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """(buckets, number of the word of each, words of the text): character n-grams of all words with their marks, and each whole word, part by part.
 
     An n-gram may begin or end with the space beside a word but has none inside. A word that only repeats the one before it is left out.
     """
     c = _codes(text)
     space = c == SPACE
-    words = int(space.sum()) - 1
-    if words <= 0:
-        return np.zeros(0, np.uint32), np.zeros(0, np.int64), 0
-    word = np.cumsum(space) - 1
-    buckets, owner = [], []
-    h = c * np.uint32(_MULTIPLIERS[0])
-    ends = np.cumsum(space)
-    for n in range(2, max(SIZES) + 1):
-        if len(c) < n:
-            break
-        h = (h[:-1] ^ (c[n - 1 :] * np.uint32(_MULTIPLIERS[n - 1]))) * np.uint32(0x01000193)
-        if n in SIZES:
-            first, last = np.arange(len(c) - n + 1), np.arange(n - 1, len(c))
-            inner = ends[last - 1] - ends[first]
-            ok = inner == 0
-            mixed = h[ok]
-            buckets.append((mixed ^ (mixed >> np.uint32(15))) * np.uint32(0x9E3779B1) >> np.uint32(32 - BITS))
-            owner.append(word[first[ok]])
     at = np.flatnonzero(space)
+    words = len(at) - 1
+    if words <= 0:
+        return
+    whole = np.zeros(words, np.uint64)
     mixed = c.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    mixed = np.cumsum((mixed ^ (mixed >> np.uint64(29))) * (np.arange(len(c)) - at[word] + 1).astype(np.uint64), dtype=np.uint64)
+    ends = np.cumsum(space, dtype=np.int32)
+    mixed = np.cumsum((mixed ^ (mixed >> np.uint64(29))) * (np.arange(len(c)) - at[ends - 1] + 1).astype(np.uint64), dtype=np.uint64)
     whole = mixed[at[1:] - 1] - mixed[at[:-1]]
-    buckets.append(((whole ^ (whole >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - BITS)).astype(np.uint32))
-    owner.append(np.arange(words))
     fresh = np.concatenate([[True], whole[1:] != whole[:-1]])
-    buckets, owner = np.concatenate(buckets), np.concatenate(owner)
-    kept = fresh[owner]
-    return buckets[kept], (np.cumsum(fresh) - 1)[owner[kept]], int(fresh.sum())
+    number, n_words = np.cumsum(fresh) - 1, int(fresh.sum())
+    yield ((whole ^ (whole >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - BITS)).astype(np.uint32)[fresh], number[fresh], n_words
+    for low in range(0, len(c), CHUNK):
+        part, marks = c[low : low + CHUNK + max(SIZES) - 1], ends[low : low + CHUNK + max(SIZES) - 1]
+        h = part * np.uint32(_MULTIPLIERS[0])
+        for n in range(2, max(SIZES) + 1):
+            if len(part) < n:
+                break
+            h = (h[:-1] ^ (part[n - 1 :] * np.uint32(_MULTIPLIERS[n - 1]))) * np.uint32(0x01000193)
+            if n in SIZES:
+                first = np.flatnonzero(marks[n - 2 : len(part) - 1][:CHUNK] == marks[: len(part) - n + 1][:CHUNK])
+                word = marks[first] - 1
+                kept = fresh[word]
+                mixed = h[first[kept]]
+                yield (mixed ^ (mixed >> np.uint32(15))) * np.uint32(0x9E3779B1) >> np.uint32(32 - BITS), number[word[kept]], n_words
+
+
+def _windows(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first word, last + 1) of each window of WINDOW words, half a window apart; a shorter text is one window."""
+    start = np.arange(0, max(1, n - WINDOW // 2), WINDOW // 2)
+    return start, np.minimum(start + WINDOW, n)
 
 
 class Model(NamedTuple):
@@ -70,96 +78,121 @@ class Model(NamedTuple):
     slope: float
     shift: float
 
-    def window_logits(self, text: str) -> np.ndarray:
-        """The logit of each window of WINDOW words, half a window apart; a shorter text is one window."""
-        b, w, n = subwords(text)
-        if not n:
-            return np.array([self.bias])
-        each = np.bincount(w, self.bucket_logits[b], n) / np.maximum(np.bincount(w, minlength=n), 1)
-        sums = np.concatenate([[0.0], np.cumsum(each)])
-        start = np.arange(0, max(1, n - WINDOW // 2), WINDOW // 2)
-        end = np.minimum(start + WINDOW, n)
-        return (sums[end] - sums[start]) / WINDOW + self.bias
-
     def logit(self, text: str | None) -> float:
-        """The largest window's; a long text goes in chunks of whole words."""
-        text = text or ""
-        best, at = -np.inf, 0
-        while at < len(text) or at == 0:
-            end = at + CHUNK
-            if end < len(text):
-                cut = text.rfind(" ", at + CHUNK // 2, end)
-                end = cut if cut > 0 else end
-            best = max(best, float(self.window_logits(text[at:end]).max()))
-            at = max(end, at + 1)
-        return best
+        """The largest window's."""
+        sums = counts = None
+        for buckets, word, n in subwords(text or ""):
+            if sums is None:
+                sums, counts = np.zeros(n), np.zeros(n)
+            sums += np.bincount(word, self.bucket_logits[buckets], n)
+            counts += np.bincount(word, minlength=n)
+        if sums is None:
+            return self.bias
+        upto = np.concatenate([[0.0], np.cumsum(sums / np.maximum(counts, 1))])
+        start, end = _windows(len(sums))
+        return float((upto[end] - upto[start]).max()) / WINDOW + self.bias
 
     def score(self, text: str | None) -> float:
         return float(1 / (1 + np.exp(-np.clip(self.slope * self.logit(text) + self.shift, -40, 40))))
 
 
-def _windows(text: str) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(buckets, weights) of each window: the weights average a word's buckets, then the words."""
-    b, w, n = subwords(text)
-    if not n:
-        return []
-    share = 1 / np.bincount(w, minlength=n)[w] / WINDOW
-    order = np.argsort(w, kind="stable")
-    b, w, share = b[order], w[order], share[order]
-    starts = np.arange(0, max(1, n - WINDOW // 2), WINDOW // 2)
-    lo, hi = np.searchsorted(w, starts), np.searchsorted(w, np.minimum(starts + WINDOW, n))
-    return [(b[i:j], share[i:j]) for i, j in zip(lo, hi, strict=True)]
-
-
-def fit(texts: list[str], toxic: list[int], weights: list[float] | None = None, dim: int = 8, epochs: int = 6, rate: float = 0.5, seed: int = 11) -> Model:
+class Bag(NamedTuple):
+    """The buckets of a text in the order of its words, where each word's begin (one more than words), how many it has, and the text's windows."""
+
+    buckets: np.ndarray
+    starts: np.ndarray
+    sizes: np.ndarray
+    windows: tuple[np.ndarray, np.ndarray]
+
+    @classmethod
+    def of(cls, text: str) -> Bag | None:
+        parts = list(subwords(text))
+        if not parts:
+            return None
+        word = np.concatenate([w for _, w, _ in parts])
+        order = np.argsort(word, kind="stable")
+        starts = np.searchsorted(word[order], np.arange(parts[0][2] + 1))
+        return cls(np.concatenate([b for b, _, _ in parts])[order], starts, np.diff(starts), _windows(parts[0][2]))
+
+    def best(self, logits: np.ndarray) -> tuple[int, float]:
+        """(number of the window with the largest logit, that logit)."""
+        each = np.add.reduceat(logits[self.buckets], self.starts[:-1]) / self.sizes
+        upto = np.concatenate([[0.0], np.cumsum(each)])
+        start, end = self.windows
+        sums = (upto[end] - upto[start]) / WINDOW
+        return int(sums.argmax()), float(sums.max())
+
+    def window(self, number: int | None) -> tuple[np.ndarray, np.ndarray]:
+        """(buckets, weights) of one window, or of the mean of all: the weights average a word's buckets, then the words."""
+        n, (start, end) = len(self.sizes), self.windows
+        if number is None:
+            held = np.bincount(np.concatenate([start, end]), np.repeat([1.0, -1.0], len(start)), n + 1).cumsum()[:n] / WINDOW / len(start)
+            low, high = 0, n
+        else:
+            low, high = int(start[number]), int(end[number])
+            held = np.full(high - low, 1 / WINDOW)
+        size = self.sizes[low:high]
+        return self.buckets[self.starts[low] : self.starts[high]], np.repeat(held / size, size)
+
+
+def fit(texts: list[str], toxic: list[int], weights: list[float] | None = None, **options) -> Model:
     """Embeddings and softmax trained together on the window of each text that scores highest so far, then a logistic curve through the texts' logits.
 
-    Of the texts, each fifth is kept from the embeddings and sets the curve, weighed by ``weights``, which undoes an uneven sample.
+    The curve is set by logits that a text gets from a model that hasn't seen it: one for each of FOLDS parts of the texts. ``weights`` undo an uneven sample.
     """
     y = np.asarray(toxic, int)
     weights = np.ones(len(y)) if weights is None else np.asarray(weights, float)
+    if not len(y) or y.min() == y.max():
+        rate_of = float(y[0]) if len(y) else 0.0
+        return Model(np.zeros(1 << BITS, np.float32), 0.0, 1.0, 6.0 if rate_of else -6.0)
+    bags = [Bag.of(t) for t in texts]
+    fold = np.random.default_rng(23).permutation(len(y)) % FOLDS
+    logit = np.zeros(len(y))
+    for k in range(FOLDS):
+        logits, bias = _embed(bags, y, np.flatnonzero(fold != k), **options)
+        for i in np.flatnonzero(fold == k):
+            logit[i] = (bags[i].best(logits)[1] if bags[i] else 0.0) + bias
+    return Model(*_embed(bags, y, np.arange(len(y)), **options), **_curve(logit, y, weights))
+
+
+def _embed(bags: list[Bag | None], y: np.ndarray, rows: np.ndarray, dim: int = 8, epochs: int = 8, rate: float = 1.0, batch: int = 16, decay: float = 1.0, seed: int = 11) -> tuple[np.ndarray, float]:
+    """(bucket_logits, bias) of embeddings and a softmax over them, by batches with steps that shrink as a bucket has been met (Adagrad)."""
     rng = np.random.default_rng(seed)
     e = rng.normal(0, 0.1, (1 << BITS, dim)).astype(np.float32)
     u = rng.normal(0, 0.1, (dim, 2)).astype(np.float32)
     bias = np.zeros(2, np.float32)
-    if not len(y) or y.min() == y.max():
-        rate_of = float(y[0]) if len(y) else 0.0
-        return Model(np.zeros(1 << BITS, np.float32), 0.0, 1.0, 6.0 if rate_of else -6.0)
-    bags = [_windows(t) for t in texts]
-    order = rng.permutation(len(y))
-    fitted, curve = order[len(y) // 5 :], order[: len(y) // 5]
-    ge, gu = np.full((1 << BITS, 1), 1e-2, np.float32), np.full((dim, 2), 1e-2, np.float32)
+    ge, gu = np.full(1 << BITS, 1e-2, np.float32), np.full((dim, 2), 1e-2, np.float32)
+    rows = np.array([i for i in rows if bags[i]], int)
     for epoch in range(epochs):
-        logits = e @ (u[:, 1] - u[:, 0])
-        for n, i in enumerate(rng.permutation(fitted)):
-            if not bags[i]:
-                continue
-            if n % 256 == 0 and n:
+        order = rng.permutation(rows)
+        for at in range(0, len(order), batch):
+            if at % (8 * batch) == 0:
                 logits = e @ (u[:, 1] - u[:, 0])
-            if epoch == 0:
-                b = np.concatenate([x[0] for x in bags[i]])
-                s = np.concatenate([x[1] for x in bags[i]]) / len(bags[i])
-                picks = [(b, s * min(4.0, len(bags[i])))]
-            else:
-                best = max(bags[i], key=lambda x: float(logits[x[0]] @ x[1]))
-                picks = [best] if y[i] else [best, bags[i][rng.integers(len(bags[i]))]]
-            for b, s in picks:
-                z = s.astype(np.float32) @ e[b]
-                p = z @ u + bias
-                p = np.exp(p - p.max())
-                p /= p.sum()
-                p[y[i]] -= 1
-                gz = u @ p
-                step = np.outer(z, p)
-                gu += step * step
-                u -= rate * 0.2 * step / np.sqrt(gu)
-                bias -= 0.01 * p
-                ids, back = np.unique(b, return_inverse=True)
-                pull = np.bincount(back, s)[:, None] * gz[None, :] + 1e-6 * e[ids]
-                ge[ids] += (pull * pull).mean(1, keepdims=True)
-                e[ids] -= rate * pull / np.sqrt(ge[ids])
-    model = Model((e @ (u[:, 1] - u[:, 0])).astype(np.float32), float(bias[1] - bias[0]), 1.0, 0.0)
-    return model._replace(**_curve(np.array([model.logit(texts[i]) for i in curve]), y[curve], weights[curve]))
+            picks = []
+            for i in order[at : at + batch]:
+                if epoch == 0:
+                    picks.append((*bags[i].window(None), y[i]))
+                    continue
+                picks.append((*bags[i].window(bags[i].best(logits)[0]), y[i]))
+                if not y[i]:
+                    picks.append((*bags[i].window(int(rng.integers(len(bags[i].windows[0])))), 0))
+            sizes = np.array([len(b) for b, _, _ in picks])
+            ids, s = np.concatenate([b for b, _, _ in picks]), np.concatenate([w for _, w, _ in picks]).astype(np.float32)
+            z = np.add.reduceat(e[ids] * s[:, None], np.concatenate([[0], np.cumsum(sizes)[:-1]]))
+            p = z @ u + bias
+            p = np.exp(p - p.max(1, keepdims=True))
+            p /= p.sum(1, keepdims=True)
+            p[np.arange(len(picks)), [k for _, _, k in picks]] -= 1
+            pull = np.repeat(p @ u.T, sizes, 0) * s[:, None]
+            met, back = np.unique(ids, return_inverse=True)
+            pull = np.stack([np.bincount(back, pull[:, d], len(met)) for d in range(dim)], 1).astype(np.float32) + decay * e[met] / len(rows)
+            ge[met] += (pull * pull).mean(1)
+            e[met] -= rate * pull / np.sqrt(ge[met])[:, None]
+            step = z.T @ p
+            gu += step * step
+            u -= rate * 0.2 * step / np.sqrt(gu)
+            bias -= 0.01 * p.sum(0)
+    return (e @ (u[:, 1] - u[:, 0])).astype(np.float32), float(bias[1] - bias[0])
 
 
 def _curve(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> dict[str, float]:
@@ -177,7 +210,8 @@ def _curve(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> dict[str, float]:
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = 3000, longest: int = 20_000, seed: int = 5) -> Model:
     """A model from a bounded sample of the labelled rows of ``docs(doc_id, text)``: about ``rows`` of at most ``longest`` code points, a half toxic if
-    there are so many. Draws go by a hash of doc_id. Null texts and labels other than 0 and 1 teach nothing; of a doc_id with several labels, the largest counts."""
+    there are so many. Draws go by a hash of doc_id. Null texts and labels other than 0 and 1 teach nothing; of a doc_id with several labels, the largest counts; of
+    one with several texts, each does. Without labels of both kinds all texts get one score, of the kind there is (none: not toxic)."""
     one = labels.filter(F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     counts = {r["toxic"]: r["count"] for r in one.groupBy("toxic").count().collect()}
     share = {k: min(1.0, rows / 2 / max(n, 1)) for k, n in counts.items()}
@@ -191,16 +225,18 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = 3000, longest: int = 2
 
 
 def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with score (0 to 1) and predicted (1 from 0.5 on). Texts are read whole; a null text counts as empty and has the score of no evidence.
-
-    Columns of those names are replaced; rows don't depend on each other.
+    """``docs`` with score (0 to 1) and predicted (1 from 0.5 on). Texts are read whole, long ones part by part; a null text counts as empty and has the
+    score of no evidence. Columns of those two names are replaced, all others stay, whatever their names; rows don't depend on each other, so repeated
+    ones get equal scores. An empty table gives an empty result.
     """
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
+        for texts in parts(batches):
             yield pd.Series([model.score(t) for t in texts], dtype=float)
 
-    return docs.withColumn("score", F.pandas_udf(run, "double")("text")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    rest = [c for c in docs.columns if c not in ("score", "predicted")]
+    scored = docs.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("doc"), F.pandas_udf(run, "double")("text").alias("score"))
+    return scored.select("doc.*", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def held_out() -> Column:
