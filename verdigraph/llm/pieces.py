@@ -1,8 +1,9 @@
-"""SentencePiece encoding and decoding with a forward pass that shares prefixes.
+"""SentencePiece encoding and decoding with a forward pass (Viterbi) that shares prefixes.
 
-The distinct marked words of a batch are sorted, which is a depth-first walk of their trie; the state of each prefix stands on a stack and is reused by all
-words that begin with it. For a unigram model the state is the best score (Viterbi). Scores of a BPE model are only the order of its merges and their best
-sum isn't its encoding, so there the state of a prefix is the last piece of its encoding: the one piece that ends there and stays apart from the piece before.
+The distinct marked words of a batch are sorted, which is a depth-first walk of their trie; the forward scores of each prefix stand on a stack and are
+reused by all words that begin with it. A unigram model brings the scores of its pieces. Those of a BPE model only order its merges; for it, pieces get the
+logarithm of their probability under Zipf's law by that order, so its vocabulary serves as a unigram model. ``MERGES`` encodes as a BPE model itself
+does: the state of a prefix is then the last piece of its encoding, the one piece that ends there and stays apart from the piece before.
 """
 
 from __future__ import annotations
@@ -11,19 +12,25 @@ import re
 from collections.abc import Iterator
 from functools import cache
 from itertools import chain, pairwise
+from math import log
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from verdigraph.llm.batches import parts
+
 MARK = "▁"
-#: Words and pairs of pieces that a task remembers between batches, and texts of which the words are walked together.
-REMEMBERED = 100_000
+#: Words that a task remembers between batches, of which the first ones stay when it begins anew, and texts of which the words are walked together.
+REMEMBERED, STAYING = 120_000, 40_000
 TEXTS = 250
 SHORT = (2, 1)
 NEVER = float("-inf")
+VITERBI, MERGES = "viterbi", "merges"
+#: Added to a piece's place in the order of merges, so that the first isn't certain.
+ZIPF_SHIFT = 2
 
 
 class Vocabulary(NamedTuple):
@@ -38,8 +45,9 @@ class Vocabulary(NamedTuple):
 
 
 @cache
-def load(model: bytes) -> Vocabulary:
-    """The vocabulary of a serialised model. Refused with an error: user-defined symbols, normalisation rules, and models other than BPE and unigram."""
+def load(model: bytes, mode: str = VITERBI) -> Vocabulary:
+    """The vocabulary of a serialised model. Refused with an error: user-defined symbols, normalisation rules, models other than BPE and unigram, and
+    MERGES with a model that isn't BPE."""
     from sentencepiece import sentencepiece_model_pb2 as pb
 
     proto = pb.ModelProto()
@@ -52,26 +60,43 @@ def load(model: bytes) -> Vocabulary:
     unknown = next(i for i, p in enumerate(proto.pieces) if p.type == kind.UNKNOWN)
     texts = ["" if p.type == kind.CONTROL else p.piece for p in proto.pieces]
     texts[unknown] = proto.trainer_spec.unk_surface
-    return Vocabulary(normal, {i: proto.pieces[i].score for i in normal.values()}, texts, [held[f"<0x{b:02X}>"] for b in range(256)] if len(held) == 256 else None, unknown, proto.trainer_spec.model_type == 1, proto.normalizer_spec.add_dummy_prefix, proto.normalizer_spec.remove_extra_whitespaces)
+    own = {i: proto.pieces[i].score for i in normal.values()}
+    if proto.trainer_spec.model_type == 1:
+        if mode == MERGES:
+            raise ValueError("a unigram model has no merges")
+    elif mode == VITERBI:
+        own = {i: -log(place + ZIPF_SHIFT) for place, i in enumerate(sorted(own, key=lambda i: (-own[i], i)))}
+    byte_ids = [held[f"<0x{b:02X}>"] for b in range(256)] if len(held) == 256 else None
+    return Vocabulary(normal, own, texts, byte_ids, unknown, mode == VITERBI, proto.normalizer_spec.add_dummy_prefix, proto.normalizer_spec.remove_extra_whitespaces)
 
 
 class Encoder:
-    def __init__(self, model: bytes):
-        self.v = load(model)
+    def __init__(self, model: bytes, mode: str = VITERBI):
+        self.v = load(model, mode)
         self.score = {piece: self.v.scores[i] for piece, i in self.v.pieces.items()}
-        # A piece that its own merges don't lead to is never the last one of a prefix.
-        self.good = self.v.pieces if self.v.unigram else {piece: i for piece, i in self.v.pieces.items() if self.merged(piece) == [piece]}
-        # The lengths of the pieces that end in the same three characters, longest first; two and one are tried after them.
-        ends: dict[str, set[int]] = {}
-        for piece in self.good:
-            if len(piece) > 2:
-                ends.setdefault(piece[-3:], set()).add(len(piece))
-        self.lengths = {end: (*sorted(found, reverse=True), *SHORT) for end, found in ends.items()}
-        self.known: dict[str, tuple[int, ...]] = {}
+        #: Each ending of a piece; (id, score) if it is a piece itself.
+        self.endings: dict[str, tuple[int, float] | None] = {}
+        self.good, self.lengths = {}, {}
+        if self.v.unigram:
+            for piece in self.v.pieces:
+                self.endings.update((piece[i:], None) for i in range(1, len(piece)) if piece[i:] not in self.endings)
+                self.endings[piece] = (self.v.pieces[piece], self.score[piece])
+        else:
+            # A piece that its own merges don't lead to is never the last one of a prefix.
+            self.good = {piece: i for piece, i in self.v.pieces.items() if self.merged(piece) == [piece]}
+            # The lengths of the pieces that end in the same three characters, longest first; two and one are tried after them.
+            ends: dict[str, set[int]] = {}
+            for piece in self.good:
+                if len(piece) > 2:
+                    ends.setdefault(piece[-3:], set()).add(len(piece))
+            self.lengths = {end: (*sorted(found, reverse=True), *SHORT) for end, found in ends.items()}
+        #: The ids of words, as the bytes of 32-bit numbers.
+        self.known: dict[str, bytes] = {}
+        self.staying: dict[str, bytes] = {}
         self.apart: dict[int, bool] = {}
         alphabet = set(chain.from_iterable(self.v.pieces))
         # Pieces don't go on from a word into the next mark, nor over characters that no piece has.
-        alone = "".join(c for c in "\n\r\t" if c not in alphabet)
+        alone = self.alone = "".join(c for c in "\n\r\t" if c not in alphabet)
         self.unit = re.compile(f"{MARK}*[^{MARK}{alone}]+|{MARK}+" + (f"|[{alone}]+" if alone else ""))
         if any(MARK in p[len(p) - len(p.lstrip(MARK)) :] for p in self.v.pieces):
             raise ValueError("a piece goes over the end of a word")
@@ -105,35 +130,13 @@ class Encoder:
         ``ident[i]`` is the id of that piece, None for a character that no piece has.
         """
         last, ident, score, before = [""], [None], [0.0], ""
-        known, good, scores, lengths, apart, unigram = self.v.pieces.get, self.good.get, self.v.scores, self.lengths.get, self.apart.get, self.v.unigram
+        forward = self._by_score if self.v.unigram else self._by_merges
         for word in words:
             i, n = 0, min(len(word), len(before))
             while i < n and word[i] == before[i]:
                 i += 1
             del last[i + 1 :], ident[i + 1 :], score[i + 1 :]
-            for end in range(i + 1, len(word) + 1):
-                best = word[end - 1]
-                top, found = score[end - 1] + self.worst, known(best)
-                if unigram or found is not None:
-                    for n in lengths(word[end - 3 : end], SHORT) if end > 2 else SHORT:
-                        start = end - n
-                        if start < 0 or (i := good(piece := word[start:end])) is None:
-                            continue
-                        if unigram:
-                            if score[start] + scores[i] > top:
-                                best, top, found = piece, score[start] + scores[i], i
-                            continue
-                        if start and (prior := ident[start]) is not None:
-                            key = prior << 24 | i
-                            if (ok := apart(key)) is None:
-                                ok = self.stay_apart(last[start], piece, key)
-                            if not ok:
-                                continue
-                        best, found = piece, i
-                        break
-                last.append(best)
-                ident.append(found)
-                score.append(top)
+            forward(word, i, last, ident, score)
             before = word
             ids, end = [], len(word)
             while end:
@@ -144,6 +147,43 @@ class Encoder:
                 end -= len(last[end])
             yield word, tuple(reversed(ids))
 
+    def _by_score(self, word: str, done: int, last: list, ident: list, score: list) -> None:
+        """Forward scores of the prefixes of ``word`` with more than ``done`` characters: the best sum over all pieces that end there."""
+        endings = self.endings.get
+        for end in range(done + 1, len(word) + 1):
+            top, best, found, start = NEVER, end - 1, None, end - 1
+            while start >= 0 and (entry := endings(word[start:end], False)) is not False:
+                if entry is not None and (total := score[start] + entry[1]) >= top:
+                    top, best, found = total, start, entry[0]
+                start -= 1
+            if (alone := score[end - 1] + self.worst) > top:
+                top, best, found = alone, end - 1, None
+            last.append(word[best:end])
+            ident.append(found)
+            score.append(top)
+
+    def _by_merges(self, word: str, done: int, last: list, ident: list, score: list) -> None:
+        """The last piece of the encoding of each prefix of ``word`` with more than ``done`` characters; scores stay 0."""
+        known, good, lengths, apart = self.v.pieces.get, self.good.get, self.lengths.get, self.apart.get
+        for end in range(done + 1, len(word) + 1):
+            best = word[end - 1]
+            if (found := known(best)) is not None:
+                for n in lengths(word[end - 3 : end], SHORT) if end > 2 else SHORT:
+                    start = end - n
+                    if start < 0 or (i := good(piece := word[start:end])) is None:
+                        continue
+                    if start and (prior := ident[start]) is not None:
+                        key = prior << 24 | i
+                        if (ok := apart(key)) is None:
+                            ok = self.stay_apart(last[start], piece, key)
+                        if not ok:
+                            continue
+                    best, found = piece, i
+                    break
+            last.append(best)
+            ident.append(found)
+            score.append(0.0)
+
     def ids(self, piece: str) -> tuple[int, ...]:
         if piece in self.v.pieces:
             return (self.v.pieces[piece],)
@@ -154,14 +194,24 @@ class Encoder:
             text = " ".join(text.split(" ")).strip(" ") if "  " not in text else re.sub(" +", " ", text).strip(" ")
         if not text:
             return []
+        if text[0] != " " and "  " not in text and MARK not in text:
+            # The same units by plain splitting.
+            text = (MARK if self.v.dummy_prefix else "") + text.replace(" ", f" {MARK}")
+            for c in self.alone:
+                text = text.replace(c, f" {c} ")
+            return list(filter(None, text.split(" ")))
         return self.unit.findall((MARK if self.v.dummy_prefix else "") + text.replace(" ", MARK))
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         split = [self.units(t) for t in texts]
+        if not self.staying and len(self.known) > STAYING:
+            self.staying = dict(self.known)
         if len(self.known) > REMEMBERED:
-            self.known.clear()
-        self.known.update(self.walk(sorted({w for units in split for w in units if w not in self.known})))
-        return [np.fromiter(chain.from_iterable(map(self.known.__getitem__, units)), np.int32) for units in split]
+            self.known = dict(self.staying)
+        known = self.known
+        fresh = set(chain.from_iterable(split)).difference(known)
+        known.update((w, np.array(ids, np.int32).tobytes()) for w, ids in self.walk(sorted(fresh)))
+        return [np.frombuffer(b"".join(map(known.__getitem__, units)), np.int32) for units in split]
 
     def decode(self, ids: list[int] | np.ndarray | None) -> str | None:
         if ids is None:
@@ -186,34 +236,40 @@ class Encoder:
 
 
 @cache
-def _encoder(model: bytes) -> Encoder:
-    return Encoder(model)
+def _encoder(model: bytes, mode: str) -> Encoder:
+    return Encoder(model, mode)
+
+
+def _beside(df: DataFrame, to: str, made: Column) -> DataFrame:
+    """``df`` with ``made`` as its column ``to``, in place of one of that name."""
+    rest = [c for c in df.columns if c != to]
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("doc"), made.alias("made")).select("doc.*", F.col("made").alias(to))
 
 
-def encode(docs: DataFrame, model: bytes, text: str = "text", to: str = "ids") -> DataFrame:
+def encode(docs: DataFrame, model: bytes, text: str = "text", to: str = "ids", mode: str = VITERBI) -> DataFrame:
     """``docs`` with ``to``: the ids of each whole text; none for a null or empty text. Rows don't depend on each other. A column of that name is replaced.
 
     ``model`` is the content of a model file, a few MB at most, which goes to the tasks with the plan. Very long words cost as their length times that of
-    the longest piece.
+    the longest piece. Of segmentations with equal scores that with the longer last piece is taken, at each step.
     """
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encoder = _encoder(model)
-        for texts in batches:
-            yield pd.Series([x for at in range(0, len(texts), TEXTS) for x in encoder.encode(texts.iloc[at : at + TEXTS].tolist())], dtype=object)
+        encoder = _encoder(model, mode)
+        for texts in parts(batches, TEXTS):
+            yield pd.Series(encoder.encode(texts.tolist()), dtype=object)
 
-    return docs.withColumn(to, F.pandas_udf(run, "array<int>")(text))
+    return _beside(docs, to, F.pandas_udf(run, "array<int>")(text))
 
 
 def decode(df: DataFrame, model: bytes, ids: str = "ids", to: str = "decoded") -> DataFrame:
     """``df`` with ``to``: the text of ``ids``; null for null, empty for none. A text comes back as it was, but that U+2581, the mark of a space, is a space."""
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encoder = _encoder(model)
-        for each in batches:
+        encoder = _encoder(model, VITERBI)
+        for each in parts(batches, TEXTS):
             yield pd.Series([encoder.decode(x) for x in each], dtype=object)
 
-    return df.withColumn(to, F.pandas_udf(run, "string")(ids))
+    return _beside(df, to, F.pandas_udf(run, "string")(ids))
 
 
 def model_bytes(path: str | None = None) -> bytes:
@@ -226,15 +282,16 @@ def model_bytes(path: str | None = None) -> bytes:
         return f.read()
 
 
-def encoded_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, n_chars, n_tokens, ids, round_trip for each row of ``docs(doc_id, text)``; a null text counts as empty. Other columns are not read.
+def encoded_documents(docs: DataFrame, path: str | None = None, mode: str = VITERBI) -> DataFrame:
+    """doc_id, n_chars, n_tokens, ids, round_trip for each row of ``docs(doc_id, text)``; a null text counts as empty and has no ids. Other columns are
+    not read, whatever their names. Repeated rows get equal results, an empty table an empty one.
 
     Encodes and decodes in one pass, TEXTS rows at a time, so that a task holds few ids whatever the size of its batches.
     """
     model = model_bytes(path)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = _encoder(model)
+        encoder = _encoder(model, mode)
         for batch in batches:
             for at in range(0, len(batch), TEXTS):
                 part = batch.iloc[at : at + TEXTS]
