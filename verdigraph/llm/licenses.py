@@ -1,16 +1,24 @@
-"""License scans: ordered signature rules behind a keyword prefilter; priority and containment decide between overlapping detections."""
+"""License scans: ordered signature rules behind a keyword prefilter; priority and containment decide between overlapping detections.
+
+Signatures of license texts are in license_texts.py; the rules for names, identifiers and addresses of licenses come from the table here.
+"""
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import cache
 from typing import NamedTuple
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from verdigraph.llm.batches import parts
+from verdigraph.llm.license_texts import SIGNATURES
+
 #: Label, keywords of which a text must hold one, regex of the name, SPDX identifiers (regex), part of its address (regex or None).
 LICENSES = [
     ("mit", "mit", r"(?:the )?mit", r"mit", r"opensource\.org/licenses/mit"),
@@ -73,24 +81,18 @@ LICENSES = [
 TEMPLATES = [
     ("tag", 1.0, r"spdx-license-identifier:\s*{spdx}(?![\w.+-])"),
     ("address", 0.95, r"https?://(?:www\.)?{address}"),
+    ("text", 0.92, None),
     ("grant", 0.9, r"\b(?:licen[sc]ed|released|distributed|published|available|provided|redistributed) (?:\w+ ){{0,2}}under (?:the )?(?:terms of (?:the )?)?{name}\b(?: licen[sc]es?)?"),
     ("header", 0.8, r"\blicen[sc]e:\s*{name}\b"),
     ("version", 0.7, r"\b{name}(?![\w.])"),
     ("title", 0.6, r"\b{name} licen[sc]e\b"),
 ]
-#: What each match of a template holds, as a JVM regex. All base phrases hold that of titles.
-GATES = {
-    "tag": r"spdx-license-identifier:",
-    "address": r"://(?:www\.)?(?:{addresses})",
-    "grant": r"(?:licen[sc]ed|released|distributed|published|available|provided) (?:[^ ]+ ){{0,2}}under ",
-    "header": r"licen[sc]e:",
-    "version": r"(?<![a-z0-9_])(?:{versioned})",
-    "title": r"licen[sc]e",
-}
+#: What a space in a signature stands for, and one with a question mark.
+GAP, ANY_GAP = r"[\s*#/]+", r"[\s*#/]*"
 #: The base phrases and their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+_WORD_BYTES = np.array([chr(i).isdigit() or chr(i).islower() or i >= 0x80 for i in range(256)])
 
 
 class Rule(NamedTuple):
@@ -111,72 +113,92 @@ class Detection(NamedTuple):
 
 @cache
 def rules() -> list[Rule]:
-    """The rules in order of priority: by template, then versions before families, then as the licenses stand."""
+    """The rules in order of priority: by kind, and inside a kind versions before families, then as the licenses stand."""
     ordered = sorted(LICENSES, key=lambda row: not any(map(str.isdigit, row[0])))
-    return [
-        Rule(label, place, confidence, keywords, re.compile(template.format(name=f"(?:{name})", spdx=f"(?:{spdx})", address=f"(?:{address})")))
-        for place, (kind, confidence, template) in enumerate(TEMPLATES)
-        for label, keywords, name, spdx, address in ordered
-        if (kind != "address" or address) and (kind != "version" or "license" in name)
-    ]
+    out = []
+    for place, (kind, confidence, template) in enumerate(TEMPLATES):
+        if kind == "text":
+            out += [Rule(label, place, confidence, keyword, re.compile(pattern.replace(" ?", ANY_GAP).replace(" ", GAP))) for label, keyword, pattern in SIGNATURES]
+            continue
+        for label, keywords, name, spdx, address in ordered:
+            if (kind != "address" or address) and (kind != "version" or "license" in name):
+                out.append(Rule(label, place, confidence, keywords, re.compile(template.format(name=f"(?:{name})", spdx=f"(?:{spdx})", address=f"(?:{address})"))))
+    return [r._replace(priority=i) for i, r in enumerate(out)]
 
 
-@cache
-def gate() -> str:
-    """A JVM regex that is found in each text that a rule matches or that has a base phrase."""
-    addresses = "|".join(address for *_, address in LICENSES if address)
-    versioned = {re.escape(k) for _, keywords, name, *_ in LICENSES if "license" in name for k in keywords.split("|")}
-    return "(?i)" + "|".join(dict.fromkeys(GATES[kind].format(addresses=addresses, versioned="|".join(sorted(versioned))) for kind, *_ in TEMPLATES))
+def lower(text: str) -> str:
+    """A-Z lower-cased, nothing else."""
+    return text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+
+
+def count_words(lowered: str) -> int:
+    inside = _WORD_BYTES[np.frombuffer(lowered.encode("utf-8", "surrogatepass"), np.uint8)]
+    return int(inside[:1].sum() + (inside[1:] & ~inside[:-1]).sum())
 
 
 def resolve(found: list[Detection]) -> list[Detection]:
-    """Drops what lies inside another detection of no lower priority; of equal ranges the earlier rule stays."""
+    """Drops what lies inside another detection of an earlier rule, or of the same rule; of equal ranges the earlier rule stays."""
+    starts = sorted({d.start for d in found})
+    # A tree of the largest end among kept detections that start at or before a place.
+    ends = [-1] * (len(starts) + 1)
     kept: list[Detection] = []
     for d in sorted(found, key=lambda d: (d.priority, d.start - d.end, d.start)):
-        if not any(k.start <= d.start and d.end <= k.end for k in kept):
-            kept.append(d)
+        at = i = bisect_right(starts, d.start)
+        furthest = -1
+        while i:
+            furthest = max(furthest, ends[i])
+            i &= i - 1
+        if furthest >= d.end:
+            continue
+        kept.append(d)
+        while at < len(ends):
+            ends[at] = max(ends[at], d.end)
+            at += at & -at
     return kept
 
 
 def detections(lowered: str) -> list[Detection]:
+    """What the rules find whose keywords the text has, resolved."""
     held: dict[str, bool] = {}
     found = []
     for r in rules():
-        if r.keywords not in held:
-            held[r.keywords] = any(k in lowered for k in r.keywords.split("|"))
-        if held[r.keywords]:
+        if (has := held.get(r.keywords)) is None:
+            has = held[r.keywords] = any(k in lowered for k in r.keywords.split("|"))
+        if has:
             found += [Detection(r.label, r.priority, r.confidence, *m.span()) for m in r.pattern.finditer(lowered)]
     return resolve(found)
 
 
 def phrase_places(lowered: str) -> list[tuple[int, str]]:
     """(word number, label) of each place where a base phrase stands."""
+    if "license" not in lowered:
+        return []
     line = " " + " ".join(WORDS.findall(lowered)) + " "
     places = []
     for phrase, label in PHRASES.items():
-        at = line.find(f" {phrase} ")
+        at, word, counted = line.find(f" {phrase} "), 0, 0
         while at >= 0:
-            places.append((line.count(" ", 0, at), label))
+            word, counted = word + line.count(" ", counted, at), at
+            places.append((word, label))
             at = line.find(f" {phrase} ", at + 1)
     return places
 
 
-_RESULT = "n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<label:string,start:int,end:int>>"
+_RESULT = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<label:string,start:int,end:int>>"
+
+
+def _row(text: str | None) -> tuple:
+    lowered = lower(text or "")
+    places, found = phrase_places(lowered), detections(lowered)
+    base, at = {label for _, label in places}, [p for p, _ in places]
+    score = max([0.5 if at else 0.0, *(d.confidence for d in found)])
+    spans = [{"label": d.label, "start": d.start, "end": d.end} for d in found]
+    return count_words(lowered), len(at), min(at, default=None), max(at, default=None), ",".join(sorted(base)), ",".join(sorted(base | {d.label for d in found})), score, spans
 
 
 def _scan(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    for texts in batches:
-        out = []
-        for text in texts:
-            if text is None:
-                out.append((0, None, None, "", "", 0.0, []))
-                continue
-            lowered = text.translate(LOWER)
-            places, found = phrase_places(lowered), detections(lowered)
-            base = {label for _, label in places}
-            at = [p for p, _ in places]
-            out.append((len(at), min(at, default=None), max(at, default=None), ",".join(sorted(base)), ",".join(sorted(base | {d.label for d in found})), max([0.5 if at else 0.0, *(d.confidence for d in found)]), [{"label": d.label, "start": d.start, "end": d.end} for d in found]))
-        frame = pd.DataFrame(out, columns=["n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans"])
+    for texts in parts(batches):
+        frame = pd.DataFrame([_row(t) for t in texts], columns=["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans"])
         yield frame.astype({"first_word": "Int64", "last_word": "Int64"})
 
 
@@ -184,14 +206,11 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans for each row of ``docs(doc_id, text)``.
 
     A null or empty text has no words and no labels; first_word and last_word are then null and the score 0. The score is the greatest confidence of a
-    detection, 0.5 for a base phrase alone. Repeated rows are scanned each; an empty table gives an empty result; other columns are not read.
-    Texts in which gate() is not found never leave the JVM. Spans are code points of the text.
+    detection, 0.5 for a base phrase alone. Texts are read whole; time and memory grow with their length. Repeated rows are scanned each; an empty
+    table gives an empty result; other columns are not read, whatever their names. Of detections at one place the earlier rule's stays. Spans are code
+    points of the text.
     """
-    scan = F.pandas_udf(_scan, _RESULT)
-    text = F.coalesce("text", F.lit(""))
-    words = F.regexp_count(text, F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"))
-    rows = docs.select("doc_id", words.cast("long").alias("n_words"), F.when(text.rlike(gate()), text).alias("_text"))
-    return rows.withColumn("_found", scan("_text")).select("doc_id", "n_words", "_found.*")
+    return docs.select("doc_id", F.pandas_udf(_scan, _RESULT)("text").alias("found")).select("doc_id", "found.*")
 
 
 def op8_licenses(spark, sf_dir):

@@ -79,7 +79,7 @@ class Model(NamedTuple):
     shift: float
 
     def logit(self, text: str | None) -> float:
-        """The largest window's."""
+        """The largest window's; that of a text without words is minus infinity."""
         sums = counts = None
         for buckets, word, n in subwords(text or ""):
             if sums is None:
@@ -87,13 +87,15 @@ class Model(NamedTuple):
             sums += np.bincount(word, self.bucket_logits[buckets], n)
             counts += np.bincount(word, minlength=n)
         if sums is None:
-            return self.bias
+            return -np.inf
         upto = np.concatenate([[0.0], np.cumsum(sums / np.maximum(counts, 1))])
         start, end = _windows(len(sums))
         return float((upto[end] - upto[start]).max()) / WINDOW + self.bias
 
     def score(self, text: str | None) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.slope * self.logit(text) + self.shift, -40, 40))))
+        """The curve at the text's logit: 0 for a text without words."""
+        logit = self.logit(text)
+        return float(1 / (1 + np.exp(-np.clip(self.slope * logit + self.shift, -40, 40)))) if logit > -np.inf else 0.0
 
 
 class Bag(NamedTuple):
@@ -142,27 +144,28 @@ def fit(texts: list[str], toxic: list[int], weights: list[float] | None = None,
     """
     y = np.asarray(toxic, int)
     weights = np.ones(len(y)) if weights is None else np.asarray(weights, float)
+    bags = [Bag.of(t) for t in texts]
+    kept = [i for i, bag in enumerate(bags) if bag]
+    bags, y, weights = [bags[i] for i in kept], y[kept], weights[kept]
     if not len(y) or y.min() == y.max():
         rate_of = float(y[0]) if len(y) else 0.0
         return Model(np.zeros(1 << BITS, np.float32), 0.0, 1.0, 6.0 if rate_of else -6.0)
-    bags = [Bag.of(t) for t in texts]
     fold = np.random.default_rng(23).permutation(len(y)) % FOLDS
     logit = np.zeros(len(y))
     for k in range(FOLDS):
         logits, bias = _embed(bags, y, np.flatnonzero(fold != k), **options)
         for i in np.flatnonzero(fold == k):
-            logit[i] = (bags[i].best(logits)[1] if bags[i] else 0.0) + bias
+            logit[i] = bags[i].best(logits)[1] + bias
     return Model(*_embed(bags, y, np.arange(len(y)), **options), **_curve(logit, y, weights))
 
 
-def _embed(bags: list[Bag | None], y: np.ndarray, rows: np.ndarray, dim: int = 8, epochs: int = 8, rate: float = 1.0, batch: int = 16, decay: float = 1.0, seed: int = 11) -> tuple[np.ndarray, float]:
+def _embed(bags: list[Bag], y: np.ndarray, rows: np.ndarray, dim: int = 8, epochs: int = 8, rate: float = 1.0, batch: int = 16, decay: float = 1.0, seed: int = 11) -> tuple[np.ndarray, float]:
     """(bucket_logits, bias) of embeddings and a softmax over them, by batches with steps that shrink as a bucket has been met (Adagrad)."""
     rng = np.random.default_rng(seed)
     e = rng.normal(0, 0.1, (1 << BITS, dim)).astype(np.float32)
     u = rng.normal(0, 0.1, (dim, 2)).astype(np.float32)
     bias = np.zeros(2, np.float32)
     ge, gu = np.full(1 << BITS, 1e-2, np.float32), np.full((dim, 2), 1e-2, np.float32)
-    rows = np.array([i for i in rows if bags[i]], int)
     for epoch in range(epochs):
         order = rng.permutation(rows)
         for at in range(0, len(order), batch):
@@ -225,8 +228,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = 3000, longest: int = 2
 
 
 def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with score (0 to 1) and predicted (1 from 0.5 on). Texts are read whole, long ones part by part; a null text counts as empty and has the
-    score of no evidence. Columns of those two names are replaced, all others stay, whatever their names; rows don't depend on each other, so repeated
+    """``docs`` with score (0 to 1) and predicted (1 from 0.5 on). Texts are read whole, long ones part by part; a null text counts as empty,
+    one without words has score 0. Columns of those two names are replaced, all others stay, whatever their names; rows don't depend on each other, so repeated
     ones get equal scores. An empty table gives an empty result.
     """
 
