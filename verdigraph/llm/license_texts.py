@@ -21,7 +21,8 @@ SIGNATURES = [
     ("hpnd", "documentation", r"permission to use, copy, modify,? and distribute this software and its documentation for any purpose (?:and|with or) without fee is hereby granted"),
     ("w3c", "royalty", r"permission to copy, modify, and distribute this (?:software|work) and its documentation, with or without modification, for any purpose and without fee or royalty is hereby granted"),
     ("w3c", "w3c", r"w3c software (?:and document )?(?:notice and )?license"),
-    ("ntp", "ntp", r"the university of delaware makes no representations about the suitability this software for any purpose|\bntp license\b"),
+    ("ntp", "delaware", r"the university of delaware makes no representations about the suitability this software for any purpose"),
+    ("ntp", "ntp", r"\bntp license\b"),
     ("bsd-4-clause", "advertising", r"all advertising materials mentioning features or use of this software must display the following acknowledge?ment"),
     ("bsd-3-clause", "endorse", r"neither the names? of .{1,120} nor the names of (?:its|his|their|any|the) contributors may be used to endorse or promote products derived from this software"),
     ("bsd-3-clause", "endorse", r"the name of the author may not be used to endorse or promote products derived from this software"),
@@ -52,7 +53,7 @@ SIGNATURES = [
     ("gpl", "redistribute", r"this (?:program|file|software|script|package) is free software[;:,] you can redistribute it and/or modify it under the terms of the gnu general public license"),
     ("gpl", "received", r"you should have received a copy of the gnu general public license"),
     ("gpl", "designed", r"the licenses? for most software(?: and other practical works)? are designed to take away your freedom to share and change"),
-    ("gpl", "guarantee", r"the gnu general public license is (?:intended to guarantee your freedom|a free, copyleft license for software)"),
+    ("gpl", "general", r"the gnu general public license is (?:intended to guarantee your freedom|a free, copyleft license for software)"),
     ("gpl-2.0", "sublicense", r"you may not copy, modify, sublicense, or distribute the program except as expressly provided under this license"),
     ("gpl-2.0", "activities", r"activities other than copying, distribution and modification are not covered by this license"),
     ("gpl-3.0", "propagation", r"to \W?convey\W? a work means any kind of propagation that enables other parties to make or receive copies"),
@@ -133,7 +134,7 @@ SIGNATURES = [
     ("psf-2.0", "python", r"this license agreement is between the python software foundation"),
     ("psf-2.0", "python", r"python software foundation license version 2"),
     ("cnri", "cnri", r"cnri open source (?:gpl-compatible )?license agreement"),
-    ("cnri", "cnri", r"this license agreement is between the corporation for national research initiatives"),
+    ("cnri", "initiatives", r"this license agreement is between the corporation for national research initiatives"),
     ("ruby", "redistribute", r"you (?:can|may) redistribute it and/or modify it under either the terms of the (?:2-clause bsdl|gpl)"),
     ("php-3.0", "php", r"this source file is subject to version 3\.0?1? of the php license"),
     ("php-3.0", "php", r"this product includes php software, freely available from"),
