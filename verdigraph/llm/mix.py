@@ -23,6 +23,8 @@ GOLDEN_STEP = (GOLDEN * STEP) % 1.0
 #: Slots that are ranked together, at least; cells of the cumulative shares for each source, and at least.
 CHUNK = 1024
 CELLS_EACH, CELLS = 4, 1024
+#: Slots that stay together in the text of the mix.
+RUN = 1024
 
 
 def source_key() -> Column:
@@ -90,17 +92,20 @@ def schedule(goals: DataFrame, block_words: int) -> DataFrame:
     return natural.unionByName(late.select((F.lit(slots) + (F.col("rank") - F.col("had")) * F.lit(max(sources, 1)) + F.col("pos") - 1).alias("slot"), "skey", "rank"))
 
 
-def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, block_words: int = 256, seed: int = 17, carry_text: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, block_words: int = 256, seed: int = 17) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, sources, plan) of a mix of ``docs(doc_id, text, source)``.
 
     ``plan`` has slot, skey, rank, row_id, at, first_word, words: the words of a document that a slot takes, counted from the document's start, and
-    their place in the source's stream. ``rows`` has each input row with its row_id, size and goal, its own columns in ``doc``, the text
-    only if it is to be carried.
+    their place in the source's stream. ``rows`` has each input row with its row_id, size and goal, its own columns but the text in ``doc``.
     A null source is a source; sources go by code point, the null one last, and weigh ``weights`` in turn. A null or empty text has no words and is
     never taken. Repeated rows are taken as documents of their own; equal shuffle keys go by row. An empty table gives empty results. Columns
     besides doc_id, text and source have no influence, whatever their names. ``cap`` is the number of passes over a source's documents.
     """
-    rows = sized(docs, seed, carry_text)
+    return planned(sized(docs, seed, carry_text=False), weights, share, cap, block_words)
+
+
+def planned(rows: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, block_words: int = 256) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What mix() returns, for rows that sized() has written."""
     goals = cut(targets(rows, weights, share, cap), "mix-targets")
     rows = spread_join(rows, goals.drop("source"), ["skey"], F.col("row_id"))
     stream = running_total(rows.drop("doc").filter("size > 0").withColumn("bucket", F.shiftright("h", 50)), "skey", "bucket", [F.col("h"), F.col("row_id")], "size", "start")
@@ -120,21 +125,24 @@ def taken_words(rows: DataFrame, plan: DataFrame) -> DataFrame:
     return rows.join(sums, "row_id", "left").withColumn("taken", F.coalesce("taken", F.lit(0).cast("long")))
 
 
-def mixed_blocks(docs: DataFrame, **options) -> DataFrame:
-    """slot, block_at, first_word, words, text, doc: the text of the mix, in the order of its slots, one row for each document's part of a slot.
+def mixed_blocks(docs: DataFrame, seed: int = 17, **options) -> DataFrame:
+    """slot, block_at, first_word, words, text, doc: the text of the mix, one row for each document's part of a slot.
+
+    Runs of RUN slots stay together, each partition has its slots in order, and every run of slots has the sources in their shares.
 
     The parts of a slot, by block_at, are its block: ``block_words`` words of one source (the last block of a source may have fewer). A part has
     ``text`` from the start of its first word to the start of the word after its last; white space before a document's first word and after its last
     goes with those. So the parts of one pass over a document, put together, are the document. ``doc`` has the columns of the row it comes from.
     A row without words can't be mixed and goes; repeated rows are rows of their own; an empty table gives an empty result.
     """
-    rows, _, plan = mix(docs, carry_text=True, **options)
+    rows = sized(docs, seed, carry_text=True)
+    _, _, plan = planned(rows.withColumn("doc", F.struct("doc.source")), **options)
     takes = plan.groupBy("row_id").agg(F.collect_list(F.struct("slot", F.col("at").alias("block_at"), "first_word", "words")).alias("takes"))
     split = F.regexp_extract_all("doc.text", F.lit(rf"(?:^{SPACE}+)?{WORD}(?:{SPACE}+|$)"), F.lit(0))
     met = rows.select("row_id", "doc").join(takes, "row_id").select("doc", "takes", split.alias("split")).filter(F.size("split") > 0)
     part = lambda t: F.struct(t["slot"].alias("slot"), t["block_at"].alias("block_at"), t["first_word"].alias("first_word"), t["words"].alias("words"), F.array_join(F.slice("split", (t["first_word"] + 1).cast("int"), t["words"].cast("int")), "").alias("text"))
     parts = met.select("doc", F.inline(F.transform("takes", part)))
-    return parts.select("slot", "block_at", "first_word", "words", "text", "doc").repartitionByRange("slot").sortWithinPartitions("slot", "block_at")
+    return parts.select("slot", "block_at", "first_word", "words", "text", "doc").repartition(F.floor(F.col("slot") / RUN)).sortWithinPartitions("slot", "block_at")
 
 
 def op1_mix(spark, sf_dir):
