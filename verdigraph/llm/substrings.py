@@ -54,11 +54,12 @@ def chunk_ends(data: bytes) -> tuple[np.ndarray, np.ndarray]:
         space = _SPACE[b]
         h = _gear(b)
         hit = space & ((h >> np.uint32(12) & np.uint32(0xFF)) % np.uint32(CUT_EVERY) == 0)
-        spaces = np.cumsum(space, dtype=np.int32)
-        bare = np.zeros(len(b), bool)
-        bare[BARE - 1 :] = spaces[BARE - 1 :] == np.concatenate([[0], spaces[:-BARE]]) if len(b) >= BARE else False
-        whole_character = np.concatenate([b[1:] & 0xC0 != 0x80, [True]])
-        hit |= bare & whole_character & (h >> np.uint32(12) & np.uint32(BARE_EVERY - 1) == 0)
+        if np.diff(np.flatnonzero(space), prepend=-1, append=len(b)).max() > BARE:
+            spaces = np.cumsum(space, dtype=np.int32)
+            bare = np.zeros(len(b), bool)
+            bare[BARE - 1 :] = spaces[BARE - 1 :] == np.concatenate([[0], spaces[:-BARE]])
+            whole_character = np.concatenate([b[1:] & 0xC0 != 0x80, [True]])
+            hit |= bare & whole_character & (h >> np.uint32(12) & np.uint32(BARE_EVERY - 1) == 0)
         first = np.concatenate([[low == 0], space[:-1]]) & ~space
         cuts.append(np.flatnonzero(hit[at - low : at - low + n]) + at + 1)
         starts.append(np.flatnonzero(first[at - low : at - low + n]) + at)
@@ -148,7 +149,9 @@ def dedup_substrings(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
     rest = [c for c in docs.columns if c not in ("text", "removed_words", "removed_spans")]
     joined = docs.select(who, "text", F.struct(*[F.col(f"`{c}`") for c in rest]).alias("doc")).join(marks, "who", "left")
     # Only texts that may lose something go to Python.
-    found = F.pandas_udf(clean, "text string, removed_words long, removed_spans array<struct<start:int,end:int>>")(F.when(F.col("elsewhere").isNotNull(), F.col("text")), "elsewhere")
+    # As its parts are read apart, it must not be taken for something to run once for each.
+    run = F.pandas_udf(clean, "text string, removed_words long, removed_spans array<struct<start:int,end:int>>").asNondeterministic()
+    found = run(F.when(F.col("elsewhere").isNotNull(), F.col("text")), "elsewhere")
     out = joined.select("doc", "text", found.alias("r"), (F.col("elsewhere").isNotNull() & F.col("text").isNotNull()).alias("changed"))
     text = F.when(F.col("changed"), F.col("r.text")).otherwise(F.col("text"))
     none = F.array().cast("array<struct<start:int,end:int>>")
