@@ -23,9 +23,10 @@ from pyspark.sql import functions as F
 from verdigraph.llm.batches import parts
 
 MARK = "▁"
-#: Words that a task remembers between batches, of which the first ones stay when it begins anew, and texts of which the words are walked together.
+#: Words that a task remembers between batches, of which the first ones stay when it begins anew, and texts, or code
+#: points of texts, of which the words are walked together.
 REMEMBERED, STAYING = 120_000, 40_000
-TEXTS = 250
+TEXTS, CHARACTERS = 250, 1_000_000
 SHORT = (2, 1)
 NEVER = float("-inf")
 VITERBI, MERGES = "viterbi", "merges"
@@ -286,15 +287,16 @@ def encoded_documents(docs: DataFrame, path: str | None = None, mode: str = VITE
     """doc_id, n_chars, n_tokens, ids, round_trip for each row of ``docs(doc_id, text)``; a null text counts as empty and has no ids. Other columns are
     not read, whatever their names. Repeated rows get equal results, an empty table an empty one.
 
-    Encodes and decodes in one pass, TEXTS rows at a time, so that a task holds few ids whatever the size of its batches.
+    Encodes and decodes in one pass, texts of about CHARACTERS code points at a time, so that a task holds few ids whatever the size of its batches.
     """
     model = model_bytes(path)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = _encoder(model, mode)
         for batch in batches:
-            for at in range(0, len(batch), TEXTS):
-                part = batch.iloc[at : at + TEXTS]
+            group = np.cumsum(batch.text.str.len().to_numpy()) // CHARACTERS
+            for at in np.split(np.arange(len(batch)), np.flatnonzero(np.diff(group)) + 1):
+                part = batch.iloc[at]
                 texts = part.text.tolist()
                 ids = encoder.encode(texts)
                 same = [encoder.decode(x) == t.replace(MARK, " ") for x, t in zip(ids, texts, strict=True)]
