@@ -37,11 +37,16 @@ def shuffle_key(seed: int) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 15), 16, 10).cast("long")
 
 
-def sized(docs: DataFrame, seed: int, carry_text: bool) -> DataFrame:
-    """row_id, doc, skey, size, h: each row with its number of words, written once so that row_id holds. ``doc`` has the row's own columns."""
-    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns if carry_text or c != "text"]).alias("doc")
+def row_key() -> Column:
+    """A 128-bit digest of doc_id, source and text, the same for rows that are equal in these."""
+    return F.unhex(F.md5(F.concat_ws("|", F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.lit("")), source_key(), F.coalesce("text", F.lit("")))))
+
+
+def sized(docs: DataFrame, seed: int) -> DataFrame:
+    """row_id, key, doc, skey, size, h: each row with its number of words, written once so that row_id holds. ``doc`` has its columns but the text."""
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("doc")
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")
-    rows = docs.select(own, source_key().alias("skey"), size, shuffle_key(seed).alias("h"))
+    rows = docs.select(own, row_key().alias("key"), source_key().alias("skey"), size, shuffle_key(seed).alias("h"))
     return cut(rows.withColumn("row_id", F.monotonically_increasing_id()), "mix-sized")
 
 
@@ -101,14 +106,14 @@ def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.5,
     never taken. Repeated rows are taken as documents of their own; equal shuffle keys go by row. An empty table gives empty results. Columns
     besides doc_id, text and source have no influence, whatever their names. ``cap`` is the number of passes over a source's documents.
     """
-    return planned(sized(docs, seed, carry_text=False), weights, share, cap, block_words)
+    return planned(sized(docs, seed), weights, share, cap, block_words)
 
 
 def planned(rows: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, block_words: int = 256) -> tuple[DataFrame, DataFrame, DataFrame]:
     """What mix() returns, for rows that sized() has written."""
     goals = cut(targets(rows, weights, share, cap), "mix-targets")
     rows = spread_join(rows, goals.drop("source"), ["skey"], F.col("row_id"))
-    stream = running_total(rows.drop("doc").filter("size > 0").withColumn("bucket", F.shiftright("h", 50)), "skey", "bucket", [F.col("h"), F.col("row_id")], "size", "start")
+    stream = running_total(rows.drop("doc", "key").filter("size > 0").withColumn("bucket", F.shiftright("h", 50)), "skey", "bucket", [F.col("h"), F.col("row_id")], "size", "start")
     passes = stream.select("*", F.explode(F.sequence(F.lit(0), F.lit(int(cap) - 1))).alias("pass")).withColumn("at", F.col("start") + F.col("pass") * F.col("source_size"))
     passes = passes.withColumn("end", F.least(F.col("at") + F.col("size"), F.col("cut"))).filter("at < end")
     block = F.lit(block_words)
@@ -135,11 +140,16 @@ def mixed_blocks(docs: DataFrame, seed: int = 17, **options) -> DataFrame:
     goes with those. So the parts of one pass over a document, put together, are the document. ``doc`` has the columns of the row it comes from.
     A row without words can't be mixed and goes; repeated rows are rows of their own; an empty table gives an empty result.
     """
-    rows = sized(docs, seed, carry_text=True)
-    _, _, plan = planned(rows.withColumn("doc", F.struct("doc.source")), **options)
-    takes = plan.groupBy("row_id").agg(F.collect_list(F.struct("slot", F.col("at").alias("block_at"), "first_word", "words")).alias("takes"))
+    rows = sized(docs, seed)
+    _, _, plan = planned(rows, **options)
+    # Rows with one key are alike, so any of them can stand for the first, the second and so on; texts are shuffled by key, not written once more.
+    nth = F.row_number().over(Window.partitionBy("key").orderBy("row_id"))
+    placed = plan.join(rows.select("row_id", "key", nth.alias("nth")), "row_id")
+    takes = placed.groupBy("key").agg(F.collect_list(F.struct("nth", "slot", F.col("at").alias("block_at"), "first_word", "words")).alias("takes"))
+    texts = docs.select(row_key().alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    met = texts.withColumn("nth", F.row_number().over(Window.partitionBy("key").orderBy("key"))).join(takes, "key")
     split = F.regexp_extract_all("doc.text", F.lit(rf"(?:^{SPACE}+)?{WORD}(?:{SPACE}+|$)"), F.lit(0))
-    met = rows.select("row_id", "doc").join(takes, "row_id").select("doc", "takes", split.alias("split")).filter(F.size("split") > 0)
+    met = met.select("doc", F.filter("takes", lambda t: t["nth"] == F.col("nth")).alias("takes"), split.alias("split")).filter(F.size("split") > 0)
     part = lambda t: F.struct(t["slot"].alias("slot"), t["block_at"].alias("block_at"), t["first_word"].alias("first_word"), t["words"].alias("words"), F.array_join(F.slice("split", (t["first_word"] + 1).cast("int"), t["words"].cast("int")), "").alias("text"))
     parts = met.select("doc", F.inline(F.transform("takes", part)))
     return parts.select("slot", "block_at", "first_word", "words", "text", "doc").repartition(F.floor(F.col("slot") / RUN)).sortWithinPartitions("slot", "block_at")
