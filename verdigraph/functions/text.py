@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+import difflib
 import json
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Categories a judge may name; others count as "Other".
-OTHER = "Other"
+#: Categories a judge may name; others count as the last one.
+CATEGORIES = (
+    "Semantic omission", "Wrong relation", "Wrong variable binding", "Aggregation error", "Structural error", "Topology bypass", "Ambiguity/hypothesis error", "Hallucination", "Syntax/format error", "Other",
+)
+#: How a verdict's fields are found where it isn't JSON.
+LOOSE_FIELDS = {"correct": r'(?i)"correct"\s*:\s*"?(true|false)', "error_category": r'"error_category"\s*:\s*"([^"]*)"', "rationale": r'(?s)"rationale"\s*:\s*"(.*?)"\s*,', "hypotheses_covered": r'"hypotheses_covered"\s*:\s*(\d+)'}
+#: The heading of a prompt's section, and the headings of ground truths in a judge's message.
+SECTION = "## INSTRUCTIONS"
+TRUTH_HEADINGS = {"ambrosia": "[GROUND TRUTH SQL]", "semgir": "[GROUND TRUTH JSON IR]", "text2cypher": "[GROUND TRUTH CYPHER]", "grailqa": "[GROUND TRUTH LISP]"}
 
 
 def collapse(text: Column, unicode_spaces: bool = False) -> Column:
@@ -95,12 +103,104 @@ def padded_id(prefix: str, number: Column) -> Column:
     return F.concat(F.lit(prefix), F.lpad(digits, F.greatest(F.length(digits), F.lit(4)), F.lit("0")))
 
 
-def verdict_fields(text: Column) -> Column:
-    """correct, error_category, rationale, judge_failed of a judge's answer: last fenced block, whole text, outermost braces, then single fields."""
+def category(text: Column) -> Column:
+    """The category that is meant, whatever its case; the last one if none is."""
+    named = F.create_map(*[F.lit(x) for c in CATEGORIES for x in (c.lower(), c)])
+    return F.coalesce(F.try_element_at(named, F.lower(F.trim(F.coalesce(text, F.lit(""))))), F.lit(CATEGORIES[-1]))
+
+
+def verdict_fields(text: Column, known_only: bool = True) -> Column:
+    """correct, error_category, rationale, hypotheses_covered, judge_failed of a judge's answer.
+
+    The verdict is the last JSON block that says whether the answer is correct, else the whole text, else what stands from its first to its last brace;
+    line breaks inside strings are allowed. Where none can be read, the fields are looked for one by one in the last block or the text. A correct answer has
+    no category, a wrong one a known one (or, if not ``known_only``, any); hypotheses are 1 if they aren't a whole number; an answer without a verdict is a judge's failure and
+    is its own rationale, up to 200 characters.
+    """
     schema = "correct string, error_category string, rationale string, hypotheses_covered string"
-    tries = [answer_text(text), F.trim(text), F.regexp_extract(text, r"(\{[\s\S]*\})", 1)]
-    parsed = [F.from_json(t, schema) for t in tries]
-    whole = F.coalesce(*[F.when(p["correct"].isNotNull(), p) for p in parsed])
-    single = F.nullif(F.lower(F.regexp_extract(text, r'(?i)"correct"\s*:\s*"?(true|false)', 1)), F.lit(""))
-    correct = F.coalesce(F.lower(whole["correct"]), single)
-    return F.struct((F.coalesce(correct, F.lit("false")) == "true").alias("correct"), F.coalesce(whole["error_category"], F.lit("")).alias("error_category"), F.coalesce(whole["rationale"], F.lit("")).alias("rationale"), F.coalesce(whole["hypotheses_covered"].try_cast("int"), F.lit(1)).alias("hypotheses_covered"), correct.isNull().alias("judge_failed"))
+    text = F.coalesce(text, F.lit(""))
+    blocks, bare = code_blocks(text, "json"), F.regexp_replace(text, r"^\s+|\s+$", "")
+    tries = F.concat(F.reverse(blocks), F.array(bare, F.regexp_extract(bare, r"(\{[\s\S]*\})", 1)))
+    read = F.transform(tries, lambda t: F.from_json(t, schema, {"allowUnquotedControlChars": "true"}))
+    whole = F.get(F.filter(read, lambda v: v["correct"].isNotNull()), F.lit(0))
+    where = F.coalesce(F.try_element_at(blocks, F.lit(-1)), bare)
+    loose = {k: F.when(F.regexp_like(where, F.lit(p)), F.regexp_extract(where, p, 1)) for k, p in LOOSE_FIELDS.items()}
+    loose["rationale"] = F.coalesce(loose["rationale"], where)
+    failed = whole.isNull() & loose["correct"].isNull()
+    field = lambda k: F.when(whole.isNotNull(), whole[k]).otherwise(loose[k])
+    correct = ~failed & (F.lower(F.trim(field("correct"))) == "true")
+    reason = F.when(failed, F.concat(F.lit("Unparseable judge response: "), F.substring(text, 1, 200))).otherwise(F.regexp_replace(F.coalesce(field("rationale"), F.lit("")), r"^\s+|\s+$", ""))
+    return F.struct(
+        correct.alias("correct"), F.when(failed | correct, "").otherwise(category(field("error_category")) if known_only else F.coalesce(field("error_category"), F.lit(""))).alias("error_category"), reason.alias("rationale"),
+        F.when(failed, F.lit(1)).otherwise(F.coalesce(field("hypotheses_covered").try_cast("int"), F.lit(1))).alias("hypotheses_covered"), failed.alias("judge_failed"),
+    )
+
+
+def friendly_names(graph_query: Column) -> Column:
+    """A map from raw ids of a question's nodes, classes and relations to names without spaces; of several names of an id the last counts.
+
+    Literals have their value without its type; a class has its node's name unless the node is an entity.
+    """
+    joined = lambda c: F.replace(F.coalesce(c, F.lit("")), F.lit(" "), F.lit("_"))
+    entry = lambda k, v: F.struct(F.coalesce(k, F.lit("")).alias("key"), v.alias("value"))
+
+    def of_node(n):
+        name = F.when(n["node_type"] == "literal", F.get(F.split(n["id"], r"\^\^"), F.lit(0))).otherwise(joined(n["friendly_name"]))
+        own_class = (n["class"] != n["id"]) & (F.coalesce(n["node_type"], F.lit("")) != "entity")
+        return F.array(entry(n["id"], name), entry(F.when(own_class, n["class"]), name))
+
+    nodes = F.flatten(F.transform(F.coalesce(graph_query["nodes"], F.array()), of_node))
+    edges = F.transform(F.coalesce(graph_query["edges"], F.array()), lambda e: entry(e["relation"], joined(e["friendly_name"])))
+    found = F.filter(F.concat(nodes, edges), lambda e: (e["key"] != "") & (e["value"] != ""))
+    last = F.filter(found, lambda e, i: ~F.exists(F.slice(found, i + 2, F.size(found)), lambda later: later["key"] == e["key"]))
+    return F.map_from_entries(last)
+
+
+def judge_section(dataset: Column, content: Column, readings: Column) -> Column:
+    """A ground truth as a judge reads it; ``readings`` (meaning, sql) count only for questions with several."""
+    numbered = F.array_join(F.transform(readings, lambda r, i: F.concat(F.lit("Interpretation "), (i + 1).cast("string"), F.lit(":\nMeaning: "), r["meaning"], F.lit("\nSQL: "), r["sql"], F.lit("\n"))), "\n")
+    heading = F.create_map(*[F.lit(x) for pair in TRUTH_HEADINGS.items() for x in pair])
+    title = F.coalesce(F.try_element_at(heading, dataset), F.lit(TRUTH_HEADINGS["grailqa"]))
+    return F.concat(title, F.lit("\n"), F.when(dataset == "ambrosia", numbered).otherwise(content), F.lit("\n"))
+
+
+def truth_hash(text: Column) -> Column:
+    """12 hex digits that change with a ground truth: of the SHA-1 of its canonical text."""
+    return F.substring(F.sha1(text), 1, 12)
+
+
+def word_count(text: Column) -> Column:
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"(?U)\S+"))
+
+
+def tagged(text: Column, tag: str) -> Column:
+    """What stands between <tag> and </tag>, in any case, without white space at the ends; null without such a pair."""
+    pattern = rf"(?is)<{tag}>(.*?)</{tag}>"
+    return F.when(F.regexp_like(text, F.lit(pattern)), F.regexp_replace(F.regexp_extract(text, pattern, 1), r"^\s+|\s+$", ""))
+
+
+def sections(prompt: Column) -> Column:
+    """prefix, instructions, suffix: what stands before the section's heading, under it up to the next heading of its rank, and after; null without it."""
+    pattern = rf"(?s)^(.*?)^{SECTION}[ \t]*\n(.*?)(^## .*|\z)"
+    multi = "(?m)" + pattern
+    parts = F.struct(*[F.regexp_extract(prompt, multi, i).alias(name) for i, name in enumerate(("prefix", "instructions", "suffix"), 1)])
+    return F.when(F.regexp_like(prompt, F.lit(multi)), parts)
+
+
+def with_instructions(parts: Column, instructions: Column) -> Column:
+    """A prompt put together again from its sections with other instructions."""
+    return F.concat(parts["prefix"], F.lit(SECTION + "\n"), instructions, F.when(F.endswith(instructions, F.lit("\n")), F.lit("")).otherwise(F.lit("\n")), parts["suffix"])
+
+
+def unified_diff(before: Column, after: Column, names: tuple[str, str] = ("champion", "rejected")) -> Column:
+    """Lines that differ, as a unified diff; an empty text for equal ones. For prompts, a few rows."""
+
+    def diff(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series(["\n".join(difflib.unified_diff(x.splitlines(), y.splitlines(), *names, lineterm="")) for x, y in zip(a.fillna(""), b.fillna(""), strict=True)], dtype=object)
+
+    return F.pandas_udf(diff, "string")(before, after)
+
+
+def iso_time(text: Column) -> Column:
+    """A time without a zone from ISO text, null where it isn't one."""
+    return F.try_to_timestamp(F.replace(F.substring(text, 1, 19), F.lit("T"), F.lit(" ")), F.lit("yyyy-MM-dd HH:mm:ss")).cast("timestamp_ntz")

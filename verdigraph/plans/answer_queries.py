@@ -254,7 +254,7 @@ def friendly_replace(spark, d):
 def verdict_parse(spark, d):
     said = {"a": 'So: ```json\n{"correct": true}\n```', "b": 'I say {"correct": false, "error_category": "Syntax"} here', "c": 'broken "correct": "true", and', "d": "no idea"}
     rows = spark.range(1).select(F.explode(F.array(*[F.struct(F.lit(k).alias("id"), F.lit(v).alias("t")) for k, v in said.items()])).alias("r")).select("r.*")
-    return rows.withColumn("v", text.verdict_fields(F.col("t"))).select("id", "v.correct", "v.error_category", "v.judge_failed")
+    return rows.withColumn("v", text.verdict_fields(F.col("t"), known_only=False)).select("id", "v.correct", "v.error_category", "v.judge_failed")
 
 
 @query("SELECT * FROM (VALUES ('a', 'second'), ('b', 'plain text')) t(id, answer)")

@@ -22,8 +22,12 @@ def windowed_counts(events: DataFrame, time: str, key: str, width: str, late: st
 
 
 def start_append(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Each update as an append to a log, which ``operators.answers.latest`` compacts; offsets are in ``checkpoint``, so a restart repeats nothing."""
+    """Each update as an append to a log, which ``operators.answers.latest`` compacts by ``batch``; offsets are in ``checkpoint``.
+
+    Each batch has a folder of its own, which it overwrites if a restart runs it again.
+    """
+
     def put(batch: DataFrame, number: int) -> None:
-        batch.withColumn("batch", F.lit(number)).write.mode("append").parquet(path)
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return df.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(put).trigger(availableNow=True).start()
