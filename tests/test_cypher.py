@@ -21,10 +21,11 @@ def test_constructs(spark):
 
 
 def test_masking_and_items(spark):
-    assert one(spark, "WHERE a = 'it\\'s, ok'\n AND b = \"x\"", cypher.masked) == "WHERE a = '' AND b = ''"
-    assert one(spark, "a, f(b, [c, d]), {e: 1, g: 2}", cypher.top_level_items) == ["a", " f(b, [c, d])", " {e: 1, g: 2}"]
-    assert one(spark, "", cypher.top_level_items) == [""]
-    assert one(spark, "RETURN DISTINCT a, b ORDER BY a UNION RETURN c LIMIT 1", cypher.return_items) == ["a", "b", "c"]
+    assert one(spark, "WHERE a = 'it\\'s, ok'\n AND b = \"x\"", cypher.without_literals) == "WHERE a = '' AND b = ''"
+    assert one(spark, "RETURN a, f(b, [c, d]), {e: 1, g: 2}", cypher.returned) == ["a", "f(b, [c, d])", "{e: 1, g: 2}"]
+    assert one(spark, "MATCH (n) WHERE n.x = 1", cypher.returned) == [] and one(spark, "RETURN 'x, RETURN y'", cypher.returned) == ["'x, RETURN y'"]
+    assert one(spark, "CALL { MATCH (a) RETURN a } RETURN count(DISTINCT a) AS n LIMIT 2", cypher.returned) == ["a", "count(DISTINCT a) AS n"]
+    assert one(spark, "RETURN DISTINCT a, b ORDER BY a UNION RETURN c LIMIT 1", cypher.returned) == ["a", "b", "c"]
 
 
 def test_writes(spark):

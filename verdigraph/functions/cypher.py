@@ -33,15 +33,45 @@ def writes(text: Column) -> Column:
     return text.rlike(rf"(?i)\b({'|'.join(WRITES)})\b")
 
 
+#: What a text is read as: string literals, sort clauses, words, white space, and single characters.
+TOKEN = r"""(?is)'(?:\\.|[^\\'])*'|"(?:\\.|[^\\"])*"|\border\s+by\b|\w+|\s+|."""
+QUOTES, OPENING, CLOSING = ("'", '"'), ("(", "[", "{"), (")", "]", "}")
+
+
+def tokens(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
+
+
+def _is_literal(token: Column) -> Column:
+    return F.substring(token, 1, 1).isin(*QUOTES) & (F.length(token) > 1)
+
+
+def _is_space(token: Column) -> Column:
+    return F.trim(F.regexp_replace(token, r"\s", "")) == ""
+
+
+def _neighbours(found: Column) -> Column:
+    """Structs of each token with the one before and the one after, empty at the ends."""
+    none = F.array(F.lit(""))
+    pairs = F.zip_with(F.slice(F.concat(none, found), F.lit(1), F.size(found)), found, lambda before, own: F.struct(before.alias("before"), own.alias("own")))
+    return F.zip_with(pairs, F.concat(F.slice(found, F.lit(2), F.size(found)), none), lambda p, after: F.struct(p["before"].alias("before"), p["own"].alias("own"), after.alias("after")))
+
+
 def relationship_returned(text: Column) -> Column:
     """Whether the last RETURN names a relationship variable on its own, not for one of its attributes.
 
-    Any word that begins a bracket counts as a variable, so an index such as [0] in the RETURN does too. The words that stand alone there are compared with the variables as sets, so no pattern is made from the data.
+    Any word that begins a bracket counts as a variable, so an index such as [0] in the RETURN does too. The words that stand alone there are compared with
+    the variables as sets, so no pattern is made from the data.
     """
-    variables = F.regexp_extract_all(text, F.lit(r"\[\s*(\w+)\s*[:\]*]"), F.lit(1))
-    parts = F.split(text, r"(?i)\bRETURN\b")
-    alone = F.regexp_extract_all(F.element_at(parts, -1), F.lit(r"(?<![\w.])(\w+)(?![\w.(])"), F.lit(1))
-    return (F.size(parts) > 1) & F.arrays_overlap(variables, alone)
+    found = tokens(text)
+    dense = _neighbours(F.filter(found, lambda t: ~_is_space(t)))
+    word = lambda t: F.regexp_like(t, F.lit(r"^\w+$"))
+    own = lambda items: F.transform(items, lambda x: x["own"])
+    variables = own(F.filter(dense, lambda x: (x["before"] == "[") & word(x["own"]) & x["after"].isin(":", "]", "*")))
+    last = F.array_max(F.filter(F.transform(found, lambda t, i: F.when(F.upper(t) == "RETURN", i)), lambda i: i.isNotNull()))
+    said = _neighbours(F.slice(found, last + 2, F.size(found)))
+    alone = own(F.filter(said, lambda x: word(x["own"]) & (x["before"] != ".") & ~x["after"].isin(".", "(")))
+    return F.coalesce(F.arrays_overlap(variables, alone), F.lit(False))
 
 
 def constructs(text: Column) -> Column:
@@ -52,31 +82,39 @@ def constructs(text: Column) -> Column:
     return F.array_sort(F.array_compact(F.array(*[F.when(test, tag) for tag, test in tests.items()])))
 
 
-def masked(text: Column) -> Column:
+def without_literals(text: Column) -> Column:
     """On one line, with '' for each string literal."""
-    bare = F.regexp_replace(text, r"""'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*\"""", "''")
-    return F.trim(F.regexp_replace(bare, r"\s+", " "))
+    shown = F.transform(tokens(text), lambda t: F.when(_is_literal(t), "''").when(_is_space(t), " ").otherwise(t))
+    return F.trim(F.array_join(shown, ""))
 
 
-def top_level_items(text: Column) -> Column:
-    """The parts between commas that are in no bracket. One pass over the marks: only brackets and commas are looked at, not each character."""
-    pieces = F.regexp_extract_all(text, F.lit(r"[^,(){}\[\]]+|[,(){}\[\]]"), F.lit(0))
-    start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("open"), F.array().cast("array<string>").alias("done"))
+def _put(acc: Column, to: str) -> Column:
+    """The items so far with the open one, if there is any text in it."""
+    item = F.trim(acc["open"])
+    return F.when(item != "", F.array_append(acc[to], item)).otherwise(acc[to])
 
-    def step(acc: Column, piece: Column) -> Column:
-        depth = acc["depth"] + F.when(piece.isin("(", "[", "{"), 1).when(piece.isin(")", "]", "}"), -1).otherwise(0)
-        ends = (piece == ",") & (acc["depth"] == 0)
-        return F.struct(
-            depth.alias("depth"),
-            F.when(ends, "").otherwise(F.concat(acc["open"], piece)).alias("open"),
-            F.when(ends, F.array_append(acc["done"], acc["open"])).otherwise(acc["done"]).alias("done"),
-        )
 
-    return F.aggregate(pieces, start, step, lambda acc: F.array_append(acc["done"], acc["open"]))
+def returned(text: Column) -> Column:
+    """What the RETURN clauses of a text list, without DISTINCT: one pass over the tokens that knows literals and brackets.
 
+    A clause ends where sorting, paging or a union begins, where a bracket closes that was open before it, or at the next RETURN.
+    """
+    nothing = F.array().cast("array<string>")
+    start = F.struct(F.lit(False).alias("inside"), F.lit(0).alias("depth"), F.lit("").alias("open"), nothing.alias("done"))
+
+    def step(acc: Column, token: Column) -> Column:
+        name = F.upper(token)
+        begins = name == "RETURN"
+        depth = acc["depth"] + F.when(token.isin(*OPENING), 1).when(token.isin(*CLOSING), -1).otherwise(0)
+        level = acc["depth"] == 0
+        ends = acc["inside"] & ((depth < 0) | begins | (level & (name.isin("SKIP", "LIMIT", "UNION") | F.regexp_like(name, F.lit(r"^ORDER\s+BY$")))))
+        parts = acc["inside"] & level & (token == ",")
+        silent = level & (name == "DISTINCT") & (F.trim(acc["open"]) == "")
+        return F.struct(
+            ((acc["inside"] & ~ends) | begins).alias("inside"),
+            F.when(begins | ends | ~acc["inside"], 0).otherwise(depth).alias("depth"),
+            F.when(ends | begins | parts | ~acc["inside"], "").when(silent, acc["open"]).otherwise(F.concat(acc["open"], token)).alias("open"),
+            F.when(ends | parts, _put(acc, "done")).otherwise(acc["done"]).alias("done"),
+        )
 
-def return_items(text: Column) -> Column:
-    """What the RETURN clauses of a masked text list, without DISTINCT."""
-    clause = r"(?i)\bRETURN\b(.*?)(?=\bORDER\s+BY\b|\bSKIP\b|\bLIMIT\b|\bUNION\b|$)"
-    found = F.flatten(F.transform(F.regexp_extract_all(text, F.lit(clause), F.lit(1)), top_level_items))
-    return F.transform(found, lambda item: F.regexp_replace(F.trim(item), r"(?i)^\s*DISTINCT\s+", ""))
+    return F.aggregate(tokens(text), start, step, lambda acc: F.when(acc["inside"], _put(acc, "done")).otherwise(acc["done"]))

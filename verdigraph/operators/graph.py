@@ -9,9 +9,14 @@ from collections.abc import Sequence
 from functools import reduce
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from verdigraph.plans.lineage import cut
+
+#: Parts of a key whose first values are kept apart.
+SALTS = 16
+
 
 class Graph(NamedTuple):
     """nodes(id, type, attributes) and edges(role, src, dst, attributes); parallel edges are rows of their own."""
@@ -68,11 +73,20 @@ def blank(value: Column) -> Column:
 
 
 def lists(df: DataFrame, keys: Sequence[str], value: str, order: Sequence[Column] = (), skip: int = 0, limit: int | None = None, distinct: bool = False, to: str = "list") -> DataFrame:
-    """A sorted list of ``value`` for each key; nulls are left out. ``order`` are ascending sort values that go before the value itself."""
-    found = F.collect_set if distinct else F.collect_list
-    items = F.array_sort(found(F.when(F.col(value).isNotNull(), F.struct(*[c.alias(f"_{i}") for i, c in enumerate(order)], F.col(value).alias("_v")))))
-    shown = F.transform(items, lambda x: x["_v"])
-    return df.groupBy(*keys).agg((F.slice(shown, skip + 1, limit if limit is not None else 2**31 - 1) if skip or limit is not None else shown).alias(to))
+    """A sorted list of ``value`` for each key; nulls are left out. ``order`` are ascending sort values that go before the value itself.
+
+    With a limit no key's values meet as a whole: each of SALTS parts of a key keeps its first values, of which the list is made.
+    """
+    ways = [*[c.alias(f"_{i}") for i, c in enumerate(order)], F.col(value).alias("_v")]
+    items = df.select(*keys, F.when(F.col(value).isNotNull(), F.struct(*ways)).alias("_item"))
+    items = items.distinct() if distinct else items
+    shown = F.transform(F.array_sort(F.collect_list("_item")), lambda x: x["_v"])
+    if limit is None:
+        return items.groupBy(*keys).agg((F.slice(shown, skip + 1, 2**31 - 1) if skip else shown).alias(to))
+    # A key of which all values are null keeps one of its rows, and so an empty list.
+    parts = Window.partitionBy(*keys, "_salt").orderBy(F.asc_nulls_last("_item"))
+    first = items.withColumn("_salt", F.pmod(F.xxhash64("_item"), F.lit(SALTS))).withColumn("_rank", F.row_number().over(parts)).filter(F.col("_rank") <= skip + limit)
+    return first.groupBy(*keys).agg(F.slice(shown, skip + 1, limit).alias(to))
 
 
 def nth_value(df: DataFrame, value: str, n: int, largest: bool = True) -> DataFrame:
@@ -96,30 +110,45 @@ def with_degree(df: DataFrame, pattern: DataFrame, var: str, to: str = "degree")
 
 
 def paths(g: Graph, starts: DataFrame, longest: int, shortest: int = 1, roles: Sequence[str] = ()) -> DataFrame:
-    """start_id, end_id, hops, nodes, roles of each path of ``shortest`` to ``longest`` hops from ``starts(start_id)`` that meets no node twice.
+    """start_id, end_id, hops, nodes, roles of each path of ``shortest`` to ``longest`` hops from ``starts(start_id)`` that takes no edge twice.
 
-    One join for each hop; the starts are filtered before the first. The number of paths can grow with the degree at each hop; ``reach`` keeps one row an end.
+    A path may come back to a node; parallel edges are edges of their own. One join for each hop; the starts are filtered before the first. The number of paths can grow with the degree at each hop; ``reach`` keeps one row an end.
     """
-    edges = (g.edges.filter(F.col("role").isin(*roles)) if roles else g.edges).select(F.col("src").alias("end_id"), F.col("dst").alias("_to"), F.col("role").alias("_role"))
-    level = starts.select("start_id", F.col("start_id").alias("end_id"), F.lit(0).alias("hops"), F.array("start_id").alias("nodes"), F.array().cast("array<string>").alias("roles"))
+    parallel = F.row_number().over(Window.partitionBy("src", "role", "dst").orderBy(*g.edges.columns))
+    edges = (g.edges.filter(F.col("role").isin(*roles)) if roles else g.edges).withColumn("nth", parallel).select(F.col("src").alias("end_id"), F.struct("src", "role", "dst", "nth").alias("edge"))
+    kind = dict(edges.dtypes)["edge"]
+    level = starts.select("start_id", F.col("start_id").alias("end_id"), F.lit(0).alias("hops"), F.array("start_id").alias("nodes"), F.array().cast(f"array<{kind}>").alias("taken"))
     found = [level] if shortest == 0 else []
     for hop in range(1, longest + 1):
-        step = level.join(edges, "end_id").filter(~F.array_contains("nodes", F.col("_to")))
-        level = step.select("start_id", F.col("_to").alias("end_id"), F.lit(hop).alias("hops"), F.array_append("nodes", F.col("_to")).alias("nodes"), F.array_append("roles", F.col("_role")).alias("roles"))
+        step = level.join(edges, "end_id").filter(~F.array_contains("taken", F.col("edge")))
+        level = step.select("start_id", F.col("edge.dst").alias("end_id"), F.lit(hop).alias("hops"), F.array_append("nodes", F.col("edge.dst")).alias("nodes"), F.array_append("taken", F.col("edge")).alias("taken"))
         if hop >= shortest:
             found.append(level)
-    return reduce(DataFrame.unionByName, found)
+    every = reduce(DataFrame.unionByName, found)
+    return every.select("start_id", "end_id", "hops", "nodes", F.transform("taken", lambda e: e["role"]).alias("roles"))
 
 
-def reach(g: Graph, starts: DataFrame, longest: int, shortest: int = 1, roles: Sequence[str] = ()) -> DataFrame:
-    """start_id, end_id, hops: each node that is within reach with the hops of its shortest way (closure of a role: ``*`` from 0 hops, ``+`` from 1)."""
-    edges = (g.edges.filter(F.col("role").isin(*roles)) if roles else g.edges).select(F.col("src").alias("end_id"), F.col("dst").alias("_to")).distinct()
-    level = starts.select("start_id", F.col("start_id").alias("end_id"), F.lit(0).alias("hops")).distinct()
+def reach(g: Graph, starts: DataFrame, longest: int | None = None, shortest: int = 1, roles: Sequence[str] = ()) -> DataFrame:
+    """start_id, end_id, hops: each node within reach of ``starts(start_id)`` with the hops of its shortest way of ``shortest`` (0 or 1) hops or more.
+
+    So the closure of a role is ``*`` from 0 hops and ``+`` from 1. Each round follows only the ends that were new in the one before, and writes what it
+    adds; it ends when nothing is new, or after ``longest`` hops.
+    """
+    edges = (g.edges.filter(F.col("role").isin(*roles)) if roles else g.edges).select(F.col("src").alias("end_id"), F.col("dst").alias("to")).distinct()
+    level = cut(starts.select("start_id", F.col("start_id").alias("end_id"), F.lit(0).alias("hops")).distinct(), "reach")
+    # From one hop on, a start isn't reached before a way comes back to it.
     found = [level] if shortest == 0 else []
-    for hop in range(1, longest + 1):
-        level = level.join(edges, "end_id").select("start_id", F.col("_to").alias("end_id"), F.lit(hop).alias("hops")).distinct()
+    hop = 0
+    while longest is None or hop < longest:
+        hop += 1
+        level = level.join(edges, "end_id").select("start_id", F.col("to").alias("end_id"), F.lit(hop).alias("hops")).distinct()
+        if found:
+            level = level.join(reduce(DataFrame.unionByName, found), ["start_id", "end_id"], "left_anti")
+        level = cut(level, "reach")
+        if level.isEmpty():
+            break
         found.append(level)
-    return reduce(DataFrame.unionByName, found).groupBy("start_id", "end_id").agg(F.min("hops").alias("hops"))
+    return reduce(DataFrame.unionByName, found) if found else level
 
 
 def described(g: Graph, ids: DataFrame) -> DataFrame:

@@ -68,4 +68,4 @@ def cypher_read_only(spark, d):
 WHEN 2 THEN ['one.name'] WHEN 3 THEN ['n.name AS name', 'coalesce(m.name, '''') AS name'] ELSE ['n'] END AS items FROM customer"""
 )
 def cypher_return_items(spark, d):
-    return texts(spark, d).select("id", cypher.return_items(cypher.masked(F.col("t"))).alias("items"))
+    return texts(spark, d).select("id", cypher.returned(cypher.without_literals(F.col("t"))).alias("items"))

@@ -43,8 +43,8 @@ REVIEWED = """reviewed AS (
   FROM documents JOIN labels USING (doc_id)),
 counts AS (SELECT grammar, model, qid, sum(size)::BIGINT AS n, coalesce(sum(size) FILTER (correct), 0)::BIGINT AS c FROM reviewed GROUP BY ALL),
 measured AS (
-  SELECT m.*, c / n AS success_rate, c / (n * (1 + qid % 2)) AS hypothesis_coverage, CASE WHEN qid < 25 AND model NOT LIKE '%(Thinking)' THEN qid * 0.5 ELSE 0.0 END AS inference_time,
-         CASE WHEN qid < 25 AND model NOT LIKE '%(Thinking)' THEN 10.0 * qid ELSE 0.0 END AS completion_tokens, c / n AS pass_at_1, c / n AS pass_pow_1,
+  SELECT m.*, c / n AS success_rate, c / (n * (1 + qid % 2)) AS hypothesis_coverage, CASE WHEN qid < 25 AND model NOT LIKE '%(Thinking)' THEN (qid * 0.5)::DOUBLE ELSE 0 END AS inference_time,
+         CASE WHEN qid < 25 AND model NOT LIKE '%(Thinking)' THEN (10.0 * qid)::DOUBLE ELSE 0 END AS completion_tokens, c / n AS pass_at_1, c / n AS pass_pow_1,
          CASE WHEN c = 0 THEN 0 WHEN n - c < 3 THEN 1 ELSE 1 - ((n - c) / n) * ((n - c - 1) / (n - 1)) * ((n - c - 2) / (n - 2)) END AS pass_at_3, pow(c / n, 3) AS pass_pow_3
   FROM counts m)"""
 
