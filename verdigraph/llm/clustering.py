@@ -136,13 +136,13 @@ def _sql(k: int = 40, rounds: int = 5, dims: int = 64, seed: int = 2) -> str:
     SELECT e.r, c.cluster, list_dot_product(e.v, e.v) - 2 * list_dot_product(e.v, c.v) + list_dot_product(c.v, c.v) AS d
     FROM e, c{i} c ORDER BY e.r, d, c.cluster) GROUP BY r)"""
     moved = """m{i} AS MATERIALIZED (
-  SELECT cluster, list(part ORDER BY at) AS v FROM (
-    SELECT cluster, at, floor(sum(x) / count(*)) AS part FROM (SELECT cluster, unnest(v) AS x, generate_subscripts(v, 1) AS at FROM e JOIN a{i} USING (r))
-    GROUP BY cluster, at) GROUP BY cluster),
+  SELECT cluster, list(part ORDER BY nth) AS v FROM (
+    SELECT cluster, nth, floor(sum(x) / count(*)) AS part FROM (SELECT cluster, unnest(v) AS x, generate_subscripts(v, 1) AS nth FROM e JOIN a{i} USING (r))
+    GROUP BY cluster, nth) GROUP BY cluster),
 c{j} AS MATERIALIZED (SELECT c.cluster, coalesce(m.v, c.v) AS v FROM c{i} c LEFT JOIN m{i} m USING (cluster))"""
     parts = [f"""e AS MATERIALIZED (
-  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS v FROM embeddings
-  WHERE len(embedding) = {dims} AND NOT list_bool_or(list_transform(embedding, x -> x IS NULL OR NOT isfinite(x)))),
+  SELECT row_number() OVER () AS r, vec_id, [floor(256 * x::DOUBLE) FOR x IN embedding] AS v FROM embeddings
+  WHERE len(embedding) = {dims} AND NOT list_bool_or([x IS NULL OR NOT isfinite(x) FOR x IN embedding])),
 c0 AS MATERIALIZED (
   SELECT row_number() OVER (ORDER BY h NULLS LAST, v) - 1 AS cluster, v
   FROM (SELECT sha256('{seed}:' || vec_id) AS h, v FROM e ORDER BY h NULLS LAST, v LIMIT {k}))"""]
@@ -151,7 +151,7 @@ c0 AS MATERIALIZED (
     parts.append(nearest.format(i=rounds))
     return f"""WITH {", ".join(parts)}
 SELECT vec_id, a.cluster::INTEGER AS cluster, distance, sum(distance) OVER (PARTITION BY a.cluster)::BIGINT AS cluster_inertia, sum(distance) OVER ()::BIGINT AS inertia,
-  sha256(array_to_string(list_transform(c.v, x -> x::BIGINT), ',')) AS centroid_sha256
+  sha256(array_to_string([x::BIGINT FOR x IN c.v], ',')) AS centroid_sha256
 FROM e JOIN a{rounds} a USING (r) JOIN c{rounds} c USING (cluster)"""
 
 
