@@ -109,13 +109,14 @@ def with_degree(df: DataFrame, pattern: DataFrame, var: str, to: str = "degree")
     return df.join(counts, f"{var}_id", "left").withColumn(to, F.coalesce(F.col(to), F.lit(0)))
 
 
-def paths(g: Graph, starts: DataFrame, longest: int, shortest: int = 1, roles: Sequence[str] = ()) -> DataFrame:
+def paths(g: Graph, starts: DataFrame, longest: int, shortest: int = 1, roles: Sequence[str] = (), attributes: bool = False) -> DataFrame:
     """start_id, end_id, hops, nodes, roles of each path of ``shortest`` to ``longest`` hops from ``starts(start_id)`` that takes no edge twice.
 
+    With ``attributes`` it has ``edges`` too, each relationship with all its attributes.
     A path may come back to a node; parallel edges are edges of their own. One join for each hop; the starts are filtered before the first. The number of paths can grow with the degree at each hop; ``reach`` keeps one row an end.
     """
     parallel = F.row_number().over(Window.partitionBy("src", "role", "dst").orderBy(*g.edges.columns))
-    edges = (g.edges.filter(F.col("role").isin(*roles)) if roles else g.edges).withColumn("nth", parallel).select(F.col("src").alias("end_id"), F.struct("src", "role", "dst", "nth").alias("edge"))
+    edges = (g.edges.filter(F.col("role").isin(*roles)) if roles else g.edges).withColumn("nth", parallel).select(F.col("src").alias("end_id"), F.struct("src", "role", "dst", "nth", *[c for c in g.edges.columns if attributes and c not in ("src", "role", "dst")]).alias("edge"))
     kind = dict(edges.dtypes)["edge"]
     level = starts.select("start_id", F.col("start_id").alias("end_id"), F.lit(0).alias("hops"), F.array("start_id").alias("nodes"), F.array().cast(f"array<{kind}>").alias("taken"))
     found = [level] if shortest == 0 else []
@@ -125,7 +126,8 @@ def paths(g: Graph, starts: DataFrame, longest: int, shortest: int = 1, roles: S
         if hop >= shortest:
             found.append(level)
     every = reduce(DataFrame.unionByName, found)
-    return every.select("start_id", "end_id", "hops", "nodes", F.transform("taken", lambda e: e["role"]).alias("roles"))
+    more = [F.col("taken").alias("edges")] if attributes else []
+    return every.select("start_id", "end_id", "hops", "nodes", F.transform("taken", lambda e: e["role"]).alias("roles"), *more)
 
 
 def reach(g: Graph, starts: DataFrame, longest: int | None = None, shortest: int = 1, roles: Sequence[str] = ()) -> DataFrame:
