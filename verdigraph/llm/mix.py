@@ -6,6 +6,7 @@ of a source takes the k-th block of ``block_words`` words of that source's shuff
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -104,7 +105,7 @@ def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.5,
     their place in the source's stream. ``rows`` has each input row with its row_id, size and goal, its own columns but the text in ``doc``.
     A null source is a source; sources go by code point, the null one last, and weigh ``weights`` in turn. A null or empty text has no words and is
     never taken. Repeated rows are taken as documents of their own; equal shuffle keys go by row. An empty table gives empty results. Columns
-    besides doc_id, text and source have no influence, whatever their names. ``cap`` is the number of passes over a source's documents.
+    besides doc_id, text and source have no influence, whatever their names. ``cap`` is the number of passes over a source's documents; of a last pass that isn't whole, its share is taken.
     """
     return planned(sized(docs, seed), weights, share, cap, block_words)
 
@@ -114,7 +115,7 @@ def planned(rows: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float =
     goals = cut(targets(rows, weights, share, cap), "mix-targets")
     rows = spread_join(rows, goals.drop("source"), ["skey"], F.col("row_id"))
     stream = running_total(rows.drop("doc", "key").filter("size > 0").withColumn("bucket", F.shiftright("h", 50)), "skey", "bucket", [F.col("h"), F.col("row_id")], "size", "start")
-    passes = stream.select("*", F.explode(F.sequence(F.lit(0), F.lit(int(cap) - 1))).alias("pass")).withColumn("at", F.col("start") + F.col("pass") * F.col("source_size"))
+    passes = stream.select("*", F.explode(F.sequence(F.lit(0), F.lit(math.ceil(cap) - 1))).alias("pass")).withColumn("at", F.col("start") + F.col("pass") * F.col("source_size"))
     passes = passes.withColumn("end", F.least(F.col("at") + F.col("size"), F.col("cut"))).filter("at < end")
     block = F.lit(block_words)
     blocks = passes.select("skey", "row_id", "at", "end", F.explode(F.sequence(F.floor(F.col("at") / block), F.floor((F.col("end") - 1) / block))).alias("rank"))
