@@ -82,11 +82,16 @@ TEMPLATES = [
     ("tag", 1.0, r"spdx-license-identifier:\s*{spdx}(?![\w.+-])"),
     ("address", 0.95, r"https?://(?:www\.)?{address}"),
     ("text", 0.92, None),
-    ("grant", 0.9, r"\b(?:licen[sc]ed|released|distributed|published|available|provided|redistributed) (?:\w+ ){{0,2}}under (?:the )?(?:terms of (?:the )?)?{name}\b(?: licen[sc]es?)?"),
+    ("grant", 0.9, r"\b(?:licen[sc]ed|released|distributed|published|available|provided|redistributed) (?:\w+ ){{0,2}}under (?:the )?(?:terms of (?:the )?)?{name}\b{must}"),
     ("header", 0.8, r"\blicen[sc]e:\s*{name}\b"),
     ("version", 0.7, r"\b{name}(?![\w.])"),
     ("title", 0.6, r"\b{name} licen[sc]e\b"),
 ]
+#: A statement of several licenses, with brackets and operators, and its licenses; the word before it tells the rule.
+EXPRESSION = re.compile(r"(spdx-license-identifier|\blicen[sc]e):[(\s]*[\w.+-]+(?:[)\s]+(?:and|or|with)[(\s]+[\w.+-]+)+")
+OPERAND = re.compile(r"(?::|\b(?:and|or|with))[(\s]*([\w.+-]+)")
+#: Names that are ordinary words or products too. A grant under them must say license.
+ORDINARY = {"x11", "isc", "zlib", "libpng", "unlicense", "postgresql", "ruby", "php-3.0", "openssl", "vim", "proprietary"}
 #: What a space in a signature stands for, and one with a question mark.
 GAP, ANY_GAP = r"[\s*#/]+", r"[\s*#/]*"
 #: The base phrases and their labels.
@@ -122,7 +127,7 @@ def rules() -> list[Rule]:
             continue
         for label, keywords, name, spdx, address in ordered:
             if (kind != "address" or address) and (kind != "version" or "license" in name):
-                out.append(Rule(label, place, confidence, keywords, re.compile(template.format(name=f"(?:{name})", spdx=f"(?:{spdx})", address=f"(?:{address})"))))
+                out.append(Rule(label, place, confidence, keywords, re.compile(template.format(name=f"(?:{name})", spdx=f"(?:{spdx})", address=f"(?:{address})", must=" licen[sc]es?" if label in ORDINARY else "(?: licen[sc]es?)?"))))
     return [r._replace(priority=i) for i, r in enumerate(out)]
 
 
@@ -157,6 +162,23 @@ def resolve(found: list[Detection]) -> list[Detection]:
     return kept
 
 
+@cache
+def _named() -> list[tuple[re.Pattern, dict[str, Rule]]]:
+    """For each license what names it whole in an expression, and its rules by the word that begins a statement."""
+    by = {(r.label, r.confidence): r for r in rules()}
+    kinds = {"spdx-license-identifier": 1.0, "license": 0.8, "licence": 0.8}
+    return [(re.compile(f"(?:{spdx})|(?:{name})"), {word: by[label, c] for word, c in kinds.items()}) for label, _, name, spdx, _ in LICENSES]
+
+
+def expressions(lowered: str) -> list[Detection]:
+    """Each license of every statement that names several."""
+    found = []
+    for m in EXPRESSION.finditer(lowered):
+        for own in OPERAND.finditer(lowered, m.end(1), m.end()):
+            found += [Detection(r.label, r.priority, r.confidence, *own.span(1)) for name, at in _named() if name.fullmatch(own[1]) for r in [at[m[1]]]]
+    return found
+
+
 def detections(lowered: str) -> list[Detection]:
     """What the rules find whose keywords the text has, resolved."""
     held: dict[str, bool] = {}
@@ -166,7 +188,7 @@ def detections(lowered: str) -> list[Detection]:
             has = held[r.keywords] = any(k in lowered for k in r.keywords.split("|"))
         if has:
             found += [Detection(r.label, r.priority, r.confidence, *m.span()) for m in r.pattern.finditer(lowered)]
-    return resolve(found)
+    return resolve(found + expressions(lowered) if ":" in lowered else found)
 
 
 def phrase_places(lowered: str) -> list[tuple[int, str]]:
