@@ -115,7 +115,7 @@ def dedup_substrings(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
     """``docs`` with text cut down and removed_words, removed_spans: passages that an earlier document has, or that stand earlier in the text, go.
 
     Each chunk stays in the first document that has it, at its first place there; a run of at least ``min_run`` words of other chunks is removed whole.
-    Documents go by document_order(): by doc_id, null ones last. Rows of one doc_id count as one document, as do rows without one that have equal texts.
+    Documents go by document_order(): by doc_id, null ones last; rows of one doc_id by a hash of their text, and of equal rows one stands before the others.
     A null text stays null, an empty one empty; long ones are read whole. An empty table gives an empty result. Columns of those two names are replaced,
     all others kept, whatever their names. Digests are counted with partial sums; those that very many documents share are not shuffled.
     """
@@ -138,16 +138,18 @@ def dedup_substrings(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
                 rows = [without_runs(t, set(e.tolist()), min_run) if e is not None and t is not None else (None, 0, []) for t, e in pairs]
                 yield pd.DataFrame(rows, columns=["text", "removed_words", "removed_spans"])
 
-    who = document_order(docs).alias("who")
-    chunks = cut(docs.select(who, F.pandas_udf(chunk, "digests array<long>, again boolean")("text").alias("c")).select("who", "c.*"), "chunks")
-    each = chunks.select("who", F.explode("digests").alias("digest"))
+    who, tie = document_order(docs).alias("who"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("tie")
+    chunks = cut(docs.select(who, tie, F.pandas_udf(chunk, "digests array<long>, again boolean")("text").alias("c")).select("who", "tie", "c.*"), "chunks")
+    each = chunks.select("who", "tie", F.explode("digests").alias("digest"))
     shared = cut(each.groupBy("digest").agg(F.count("*").alias("n"), F.min("who").alias("owner")).filter("n > 1"), "shared-chunks")
     total = shared.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    marks = hub_join(each, shared, ["digest"], "n", total).filter("who > owner").select("who", "digest")
-    marks = marks.unionByName(chunks.filter("again").select("who", F.lit(None).cast("long").alias("digest")))
-    marks = marks.groupBy("who").agg(F.collect_set("digest").alias("elsewhere"))
+    marks = hub_join(each, shared, ["digest"], "n", total).filter("who > owner").select("who", "tie", "digest")
+    marks = marks.unionByName(chunks.filter("again").select("who", "tie", F.lit(None).cast("long").alias("digest")))
     rest = [c for c in docs.columns if c not in ("text", "removed_words", "removed_spans")]
-    joined = docs.select(who, "text", F.struct(*[F.col(f"`{c}`") for c in rest]).alias("doc")).join(marks, "who", "left")
+    given = docs.select(who, tie, "text", F.struct(*[F.col(f"`{c}`") for c in rest]).alias("doc"))
+    marks, given = _within_ids(chunks, each, marks, given)
+    marks = marks.groupBy("who", "tie").agg(F.collect_set("digest").alias("elsewhere"))
+    joined = given.join(marks, ["who", "tie"], "left")
     # Only texts that may lose something go to Python.
     # As its parts are read apart, it must not be taken for something to run once for each.
     run = F.pandas_udf(clean, "text string, removed_words long, removed_spans array<struct<start:int,end:int>>").asNondeterministic()
@@ -159,5 +161,31 @@ def dedup_substrings(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
     return out.select(*columns, F.coalesce("r.removed_words", F.lit(0).cast("long")).alias("removed_words"), F.coalesce("r.removed_spans", none).alias("removed_spans"))
 
 
+def _within_ids(chunks: DataFrame, each: DataFrame, marks: DataFrame, given: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``marks`` and ``given`` where several rows have one place in the order: the chunks that another of them has before are marked too.
+
+    Equal rows are written once more, so that each has a number; all but the first of them get a ``tie`` of their own. Where each row has its own place, as
+    usual, nothing of this runs.
+    """
+    places = chunks.groupBy("who").agg(F.count("*").alias("rows"), F.min("tie").alias("low"), F.max("tie").alias("high")).filter("rows > 1")
+    places = cut(places, "shared-places")
+    shared, different = places.agg(F.coalesce(F.sum("rows"), F.lit(0)), F.count_if(F.col("low") != F.col("high"))).first()
+    if not shared:
+        return marks, given
+    inner = each.join(places.select("who"), "who", "left_semi")
+    if different:
+        firsts = inner.groupBy("who", "digest").agg(F.min("tie").alias("first"))
+        marks = marks.unionByName(inner.distinct().join(firsts, ["who", "digest"]).filter("tie > first").select("who", "tie", "digest"))
+    equal = chunks.groupBy("who", "tie").agg(F.count("*").alias("n")).filter("n > 1").select("who", "tie")
+    copies = cut(given.join(equal, ["who", "tie"], "left_semi").withColumn("row", F.monotonically_increasing_id()), "equal-rows")
+    first = copies.groupBy("who", "tie").agg(F.min("row").alias("row"))
+    # A later copy has all its chunks before it. Its tie is its number from below, which no other row of the place has but by a hash of that value.
+    later = copies.join(first, ["who", "tie", "row"], "left_anti").withColumn("old", F.col("tie")).withColumn("tie", -1 - F.col("row"))
+    own = each.join(equal, ["who", "tie"], "left_semi").distinct().withColumnRenamed("tie", "old")
+    marks = marks.unionByName(later.select("who", "tie", "old").join(own, ["who", "old"]).select("who", "tie", "digest"))
+    kept = given.join(equal, ["who", "tie"], "left_anti").unionByName(copies.join(first, ["who", "tie", "row"], "left_semi").drop("row"))
+    return marks, kept.unionByName(later.drop("row", "old"))
+
+
 def op9_substrings(spark, sf_dir):
     return dedup_substrings(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "n_chars", "text"))
