@@ -211,19 +211,27 @@ def _curve(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> dict[str, float]:
     return {"slope": max(float(theta[0] / scale), 1e-6), "shift": float(theta[1])}
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = 3000, longest: int = 20_000, seed: int = 5) -> Model:
+def train(docs: DataFrame, labels: DataFrame, rows: int = 3000, longest: int = 20_000, seed: int = 5, most_chars: int = 12_000_000) -> Model:
     """A model from a bounded sample of the labelled rows of ``docs(doc_id, text)``: about ``rows`` of at most ``longest`` code points, a half toxic if
-    there are so many. Draws go by a hash of doc_id. Null texts and labels other than 0 and 1 teach nothing; of a doc_id with several labels, the largest counts; of
+    there are so many, and ``most_chars`` code points in all (their n-grams take about 14 bytes each). Draws go by a hash of doc_id. Null texts and labels other than 0 and 1 teach nothing; of a doc_id with several labels, the largest counts; of
     one with several texts, each does. Without labels of both kinds all texts get one score, of the kind there is (none: not toxic)."""
     one = labels.filter(F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     counts = {r["toxic"]: r["count"] for r in one.groupBy("toxic").count().collect()}
     share = {k: min(1.0, rows / 2 / max(n, 1)) for k, n in counts.items()}
     draw = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1_000_000))
-    wanted = F.when(F.col("toxic") == 1, F.lit(share.get(1, 0.0))).otherwise(F.lit(share.get(0, 0.0))) * 1_000_000
-    picked = one.withColumn("_draw", draw).filter(F.col("_draw") < wanted).orderBy("_draw", "doc_id").limit(2 * rows)
+    wanted = F.when(F.col("toxic") == 1, F.lit(share.get(1, 1.0))).otherwise(F.lit(share.get(0, 1.0))) * 1_000_000
+    # From 0 to 1 for either kind, so that a shorter sample has both in the same shares.
+    picked = one.withColumn("_draw", draw / wanted).filter(F.col("_draw") < 1).orderBy("_draw", "doc_id").limit(2 * rows)
     # At most 2 * rows pairs of numbers, so the texts need no shuffle.
     known = docs.select("doc_id", "text").filter(F.col("text").isNotNull() & (F.length("text") <= longest))
-    sample = known.join(F.broadcast(picked), "doc_id").orderBy("_draw", "doc_id", "text").limit(2 * rows).select("text", "toxic").collect()
+    drawn = known.join(F.broadcast(picked), "doc_id")
+    ends, total = 1.0, 0
+    for r in drawn.select("_draw", "doc_id", F.length("text").alias("n")).orderBy("_draw", "doc_id", "n").limit(2 * rows).collect():
+        total += r.n
+        if total > most_chars:
+            ends = r["_draw"]
+            break
+    sample = drawn.filter(F.col("_draw") < ends).orderBy("_draw", "doc_id", "text").limit(2 * rows).select("text", "toxic").collect()
     return fit([r["text"] for r in sample], [r["toxic"] for r in sample], [1 / share[r["toxic"]] for r in sample])
 
 
