@@ -13,10 +13,11 @@ from verdigraph.plans.lineage import cut, scratch
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can't be told (no text or no letter) go."""
+    """Documents whose language can't be told (no text or no letter) go. A document without a ``lang`` gets the language that was found."""
     model = langid.train(docs.filter(~langid.held_out()))
     found = langid.identify(docs, model)
-    return found.filter(F.col("lang_pred") != langid.UNDETERMINED).select(*docs.columns)
+    lang = F.coalesce("lang", "lang_pred").alias("lang")
+    return found.filter(F.col("lang_pred") != langid.UNDETERMINED).select(*[lang if c == "lang" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -160,21 +160,22 @@ def _unpacked(packed: bytes | None) -> tuple[np.ndarray, np.ndarray] | None:
     return np.frombuffer(packed, np.uint16, n, 4 * n), np.frombuffer(packed, np.float32, n)
 
 
-def train(docs: DataFrame, rows: int = 2400, longest: int = 40_000, seed: int = 5, least: int = 20) -> Model:
-    """A model from a bounded sample of ``docs(doc_id, text, lang)``: about ``rows`` rows, shared evenly by the languages, of texts of at most ``longest``
-    code points. With many languages it grows, to about ``least`` rows (or all there are) for each. The sample goes by a hash of doc_id, so it doesn't
-    depend on the order of rows. Features are computed where the texts are; only those of the sample come to the driver. Rows with a null text or lang
+def train(docs: DataFrame, rows: int = 2400, seed: int = 5, least: int = 20, most_langs: int = 1000) -> Model:
+    """A model from a bounded sample of ``docs(doc_id, text, lang)``: about ``rows`` rows, shared evenly by the languages; texts of any length are in it.
+    With many languages it grows, to about ``least`` rows (or all there are) for each. Only the ``most_langs`` languages with the most rows are learned, of
+    equal ones the first by name. The sample goes by a hash of doc_id and text, so it doesn't depend on the order of rows, and rows of one doc_id are drawn
+    apart. Features, 48 KB for a text at most, are computed where the texts are; only those of the sample come to the driver. Rows with a null text or lang
     teach nothing; without any row the model knows no language."""
-    known = docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.length("text") <= longest))
-    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy("lang").collect()}
+    known = docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull())
+    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_langs).collect()}
     if not counts:
         return fit([], [])
     each = max(least, rows // len(counts))
-    draw = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1_000_000))
-    limits = F.create_map(*[F.lit(v) for lang, n in counts.items() for v in (lang, min(1_000_000, -(-1_000_000 * each // n)))])
-    drawn = known.select("doc_id", "text", "lang", draw.alias("draw")).filter(F.col("draw") < F.element_at(limits, F.col("lang")))
+    draw = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(1_000_000))
+    limits = F.create_map(*[F.lit(v) for lang, n in sorted(counts.items()) for v in (lang, min(1_000_000, -(-1_000_000 * each // n)))])
+    drawn = known.select("doc_id", "text", "lang", draw.alias("draw")).filter(F.col("draw") < F.try_element_at(limits, F.col("lang")))
     packed = drawn.select("draw", "doc_id", "lang", F.pandas_udf(_packed, "binary")("text").alias("found"))
-    sample = packed.orderBy("draw", "doc_id").limit(2 * max(rows, each * len(counts))).select("found", "lang").collect()
+    sample = packed.orderBy("draw", "doc_id", "lang", "found").limit(2 * max(rows, each * len(counts))).select("found", "lang").collect()
     return fit_features([_unpacked(r["found"]) for r in sample], [r["lang"] for r in sample])
 
 
