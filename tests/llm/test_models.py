@@ -230,3 +230,89 @@ def test_keywords_let_all_rules_through(spark):
     got = licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).toPandas().set_index("doc_id")
     check_scan(rows, got)
     assert (got.labels != "").all() and len(got) > 1500
+
+
+def labels_of(text):
+    return sorted({d.label for d in licenses.detections(licenses.lower(text))})
+
+
+@pytest.mark.parametrize(("text", "want"), [
+    ("released under the vim editor", []),
+    ("code available under ruby 3.2 and php 8", []),
+    ("distributed under openssl, zlib and x11", []),
+    ("released under the vim license", ["vim"]),
+    ("dual license: MIT OR Apache-2.0", ["apache-2.0", "mit"]),
+    ("SPDX-License-Identifier: (MIT AND ISC) OR GPL-2.0-only", ["gpl-2.0", "isc", "mit"]),
+    ("license: mit", ["mit"]),
+    ("license: the rest of this sentence", []),
+])
+def test_license_names_and_expressions(text, want):
+    assert labels_of(text) == want
+
+
+def test_langid_draws_rows_of_one_doc_id_apart(spark):
+    rng = random.Random(8)
+    say = lambda words: " ".join(rng.choice(words.split()) for _ in range(12))
+    rows = [(7, say("the and house with water stone"), "en") if i % 2 else (7, say("der und haus mit wasser stein"), "de") for i in range(400)]
+    # A language that has only very long texts is learned too.
+    rows += [(7, say("le et maison avec eau pierre") * 2000, "fr") for _ in range(6)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), rows=100)
+    assert {lang for two in model.langs.values() for lang in two} == {"en", "de", "fr"}
+    assert [model.predict(t)[0] for t in ("the house and the water", "der stein und das haus", "la maison et la pierre avec eau")] == ["en", "de", "fr"]
+
+
+def test_langid_bounds_its_languages(spark):
+    rows = [(i, f"word{i % 50} text", f"l{i % 50:02d}" if i < 150 else "l03") for i in range(160)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), most_langs=3)
+    assert sorted(x for v in model.langs.values() for x in v) == ["l00", "l01", "l03"]
+
+
+def plain_machine(rows, y, cost=10.0, rounds=12, seed=3):
+    """Dual coordinate descent on dense vectors, as the textbook has it, in the same order of rows."""
+    size = 1 << langid.BITS
+    x = np.zeros((len(rows), size + 1))
+    for i, (buckets, values) in enumerate(rows):
+        x[i, buckets], x[i, size] = values, 1
+    q, alpha, rng = x @ x.T * np.outer(y, y), np.zeros(len(y)), np.random.default_rng(seed)
+    for _ in range(rounds):
+        for i in rng.permutation(len(y)):
+            gradient = q[i] @ alpha - 1 + alpha[i] / (2 * cost)
+            alpha[i] = max(0.0, alpha[i] - gradient / (q[i, i] + 1 / (2 * cost)))
+    return (alpha * y) @ x
+
+
+def test_langid_machines_and_votes_like_plain_ones():
+    rng = random.Random(12)
+    stems = {"en": "the and house", "de": "der und haus", "nl": "het en huis", "fr": "le et maison", "es": "el y casa"}
+    texts, langs = zip(*[(" ".join(rng.choice(stems[v].split()) + rng.choice("aeiou") for _ in range(8)), v) for v in stems for _ in range(8)], strict=True)
+    model = langid.fit(list(texts), list(langs))
+    rows = [langid.features(t) for t in texts]
+    family = [{"en": 0, "de": 0, "nl": 0, "fr": 1, "es": 1}[v] for v in langs]
+    for f, w in zip(model.families, model.family_weights, strict=True):
+        y = np.where(np.array(family) == ["germanic", "romance"].index(f), 1.0, -1.0)
+        assert np.allclose(plain_machine(rows, y), w, atol=1e-4)
+    machines = {}
+    for a, b in model.pairs:
+        at = [i for i, v in enumerate(langs) if v in (a, b)]
+        machines[a, b] = plain_machine([rows[i] for i in at], np.array([1.0 if langs[i] == a else -1.0 for i in at]))
+        assert np.allclose(machines[a, b], model.pairs[a, b], atol=1e-4)
+    for t in [*texts, "der casa haus", "y maison"]:
+        buckets, values = langid.features(t)
+        dot = lambda w, b=buckets, v=values: float(w[b] @ v + w[-1])
+        best = max(model.families, key=lambda f: dot(model.family_weights[model.families.index(f)]))
+        votes = {v: (0, 0.0) for v in model.langs[best]}
+        for (a, b), w in machines.items():
+            if a in votes:
+                m = dot(w)
+                votes[a] = (votes[a][0] + (m > 0), votes[a][1] + m)
+                votes[b] = (votes[b][0] + (m <= 0), votes[b][1] - m)
+        assert model.predict(t)[0] == max(votes, key=lambda v: (*votes[v], v))
+
+
+def test_toxicity_sample_is_bounded_in_code_points(spark, monkeypatch):
+    got = {}
+    monkeypatch.setattr(toxicity, "fit", lambda texts, toxic, weights: got.update(texts=texts, toxic=toxic))
+    docs = spark.createDataFrame([(i, f"t{i} " * 100) for i in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 20 == 0)) for i in range(400)], "doc_id long, toxic int")
+    toxicity.train(docs, labels, rows=60, most_chars=10_000)
+    assert 0 < sum(map(len, got["texts"])) <= 10_000 and {0, 1} == set(got["toxic"])

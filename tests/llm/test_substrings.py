@@ -121,3 +121,22 @@ def test_passages_go_and_clean_texts_stay(spark):
     for i in [0, *range(6, 12), 12, 13, 15, 16]:
         assert got[i].text == text[i] and got[i].removed_words == 0
     assert s.dedup_substrings(docs.limit(0)).count() == 0
+
+
+def test_rows_of_one_doc_id(spark):
+    passage = prose(31, 60)
+    rows = [(1, f"{prose(32, 30)} {passage} {prose(33, 30)}"), (1, f"{prose(34, 30)} {passage} {prose(35, 30)}"), (1, f"{prose(34, 30)} {passage} {prose(35, 30)}"), (2, f"{prose(36, 30)} {passage} {prose(37, 30)}")]
+    got = s.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 4
+    ones = sorted((r for r in got if r.doc_id == 1), key=lambda r: r.removed_words)
+    # One has the passage still, one lost it, and of the two equal rows one lost all.
+    whole, cut_down, empty = ones
+    assert whole.removed_words == 0 and 40 < cut_down.removed_words < 90 and empty.removed_words >= 115 and not empty.text.strip()
+    assert [r.removed_words > 40 for r in got if r.doc_id == 2] == [True]
+
+
+def test_a_third_of_the_rows_on_one_doc_id(spark):
+    rows = [(5, prose(40 + i % 7, 40)) for i in range(60)] + [(100 + i, prose(200 + i, 40)) for i in range(120)]
+    got = s.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    left = sorted(r.text for r in got if r.doc_id == 5 and r.text.strip())
+    assert left == sorted({t for i, t in rows if i == 5}) and all(r.removed_words == 0 for r in got if r.doc_id != 5)
