@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import json
 
+from pyspark.sql import functions as F
+
+from verdigraph.operators import document_tags
 from verdigraph.operators.documents import hypotheses
 from verdigraph.plans.graph_queries import load
+from verdigraph.sources.tables import table
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -191,3 +195,53 @@ ask(
     [{"target": ["e1"], "entities": entities(e1="Supplier", e2="Part", e3="Nation", e4="Region"), "relationships": [edge("r1", "e1", "supplies", "e2"), edge("r2", "e1", "located_in", "e3"), edge("r3", "e3", "part_of", "e4")],
       "constraint": {"or_conditions": [{"and_conditions": ["r1", test(of("e2", "label"), "=", "Brand#55"), test(of("e2", "amount"), ">", 1500)]}, {"and_conditions": ["r2", test(of("e4", "id"), "=", "r0")]}]}}],
 )
+
+
+def written(spark, d):
+    """doc, text: a document for each customer. Its length, constraint and faults follow from the customer's numbers; every tenth is broken."""
+    k, n = F.col("c_custkey"), F.col("c_nationkey") % 4
+    upto = lambda low: F.when(n >= low, F.sequence(F.lit(low), n.cast("int"))).otherwise(F.array().cast("array<int>"))
+    joined = lambda items: F.array_join(items, ",")
+    entity = joined(F.transform(upto(0), lambda i: F.format_string('{"id":"e%d","type":"T%d"}', i, i)))
+    links = joined(F.transform(upto(1), lambda i: F.format_string('{"id":"r%d","role":"to","from":"e%d","to":"e%d"}', i, i - 1, i)))
+    plain = F.format_string('{"left":{"attribute_name":"segment","of":"e0"},"operator":"%s","right":"%s"}', F.when(k % 5 == 1, "!=").otherwise("="), "c_mktsegment")
+    constraint = (
+        F.when(k % 5 == 1, plain)
+        .when(k % 5 == 2, F.concat(F.lit('{"and_conditions":[{"left":{"attribute_name":"since","of":"r1"},"operator":"<=","right":5},{"left":{"attribute_name":"name","of":"e0"},"operator":"CONTAINS","right":"a \\"count\\": 1"}]}')))
+        .when(k % 5 == 3, F.concat(F.lit('{"source":{"list":{"list_elements":"e0"}},"quantifier_kind":"NONE","condition":'), plain, F.lit("}")))
+        .when(k % 5 == 4, F.lit('{"left":{"count":{"list":{"list_elements":"e1"}}},"operator":">","right":3}'))
+    )
+    more = F.concat(F.when(constraint.isNull(), "").otherwise(F.concat(F.lit(',"constraint":'), constraint)), F.when(k % 3 == 0, ',"limit":5').otherwise(""), F.when(k % 11 == 0, ',"note":[1,[2,{"a":null}]]').otherwise(""))
+    query = F.concat(F.lit('{"target":["e0"],"entities":['), entity, F.lit('],"relationships":['), links, F.lit("]"), more, F.lit("}"))
+    text = F.concat(F.lit("["), query, F.when(k % 7 == 0, F.concat(F.lit(","), query)).otherwise(""), F.when(k % 10 == 9, "").otherwise("]"))
+    return table(spark, d, "customer").select(k.alias("doc"), text.alias("text"))
+
+
+_TAGGED = """(SELECT c_custkey AS doc, list_filter([CASE WHEN k % 7 = 0 THEN 'multi_hypothesis' END, CASE WHEN n >= 1 THEN 'relationships' END, CASE WHEN n >= 2 THEN 'multi_hop' END,
+  CASE WHEN k % 5 = 2 AND n >= 1 THEN 'relationship_attributes' END, CASE WHEN k % 5 = 4 THEN 'aggregations' END, CASE WHEN k % 5 = 3 THEN 'quantifiers' END, CASE WHEN k % 3 = 0 THEN 'modifiers' END,
+  CASE WHEN k % 5 = 2 THEN 'complex_constraints' END, CASE WHEN k % 5 IN (1, 3) THEN 'negation' END, CASE WHEN k % 5 = 2 THEN 'string_matching' END], lambda t: t IS NOT NULL AND k % 10 <> 9) AS found,
+  CASE WHEN k % 10 = 9 THEN 0 ELSE n END AS hops FROM (SELECT c_custkey, c_custkey AS k, (c_nationkey % 4)::INT AS n FROM customer))"""
+_SHOWN = f"(SELECT doc, CASE WHEN len(found) > 0 THEN found ELSE ['simple_structures'] END AS tags, hops FROM {_TAGGED})"
+
+
+def document_features(spark, d):
+    return document_tags.tags(written(spark, d))
+
+
+def document_feature_counts(spark, d):
+    return document_tags.tag_counts(document_tags.tags(written(spark, d)), 200)
+
+
+def document_violations(spark, d):
+    return document_tags.violations(written(spark, d))
+
+
+QUERIES |= {f.__name__: f for f in (document_features, document_feature_counts, document_violations)}
+ORACLE_SQL |= {
+    "document_features": f"SELECT doc, tags, hops FROM {_SHOWN}",
+    "document_feature_counts": f"SELECT tag, count(*) AS n, count(*) < 200 AS below FROM (SELECT unnest(tags) AS tag FROM {_SHOWN}) GROUP BY tag",
+    "document_violations": """WITH q AS (SELECT k, n, unnest(CASE WHEN k % 7 = 0 THEN ['$/#0', '$/#1'] ELSE ['$/#0'] END) AS query FROM (SELECT c_custkey AS k, c_nationkey % 4 AS n FROM customer) WHERE k % 10 <> 9)
+SELECT c_custkey AS doc, NULL AS query, 'not flat' AS problem, NULL AS detail FROM customer WHERE c_custkey % 10 = 9
+UNION ALL SELECT k, query, 'unknown field', 'note' FROM q WHERE k % 11 = 0
+UNION ALL SELECT k, query, 'not declared', CASE k % 5 WHEN 2 THEN 'r1' ELSE 'e1' END FROM q WHERE n = 0 AND k % 5 IN (2, 4)""",
+}
