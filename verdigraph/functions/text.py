@@ -122,7 +122,9 @@ def verdict_fields(text: Column, known_only: bool = True) -> Column:
     blocks, bare = code_blocks(text, "json"), F.regexp_replace(text, r"^\s+|\s+$", "")
     tries = F.concat(F.reverse(blocks), F.array(bare, F.regexp_extract(bare, r"(\{[\s\S]*\})", 1)))
     read = F.transform(tries, lambda t: F.from_json(t, schema, {"allowUnquotedControlChars": "true"}))
-    whole = F.get(F.filter(read, lambda v: v["correct"].isNotNull()), F.lit(0))
+    # The field counts where it is there, even as null.
+    both = F.zip_with(tries, read, lambda t, v: F.struct(v.alias("v"), F.array_contains(F.json_object_keys(F.when(v.isNotNull(), t)), "correct").alias("has")))
+    whole = F.get(F.filter(both, lambda b: F.coalesce(b["has"], F.lit(False)) | b["v"]["correct"].isNotNull()), F.lit(0))["v"]
     where = F.coalesce(F.try_element_at(blocks, F.lit(-1)), bare)
     loose = {k: F.when(F.regexp_like(where, F.lit(p)), F.regexp_extract(where, p, 1)) for k, p in LOOSE_FIELDS.items()}
     loose["rationale"] = F.coalesce(loose["rationale"], where)
@@ -132,7 +134,7 @@ def verdict_fields(text: Column, known_only: bool = True) -> Column:
     reason = F.when(failed, F.concat(F.lit("Unparseable judge response: "), F.substring(text, 1, 200))).otherwise(F.regexp_replace(F.coalesce(field("rationale"), F.lit("")), r"^\s+|\s+$", ""))
     return F.struct(
         correct.alias("correct"), F.when(failed | correct, "").otherwise(category(field("error_category")) if known_only else F.coalesce(field("error_category"), F.lit(""))).alias("error_category"), reason.alias("rationale"),
-        F.when(failed, F.lit(1)).otherwise(F.coalesce(field("hypotheses_covered").try_cast("int"), F.lit(1))).alias("hypotheses_covered"), failed.alias("judge_failed"),
+        F.when(failed, F.lit(1)).otherwise(F.coalesce(F.floor(field("hypotheses_covered").try_cast("double")).try_cast("int"), F.lit(1))).alias("hypotheses_covered"), failed.alias("judge_failed"),
     )
 
 
@@ -180,9 +182,11 @@ def tagged(text: Column, tag: str) -> Column:
 
 
 def sections(prompt: Column) -> Column:
-    """prefix, instructions, suffix: what stands before the section's heading, under it up to the next heading of its rank, and after; null without it."""
-    pattern = rf"(?s)^(.*?)^{SECTION}[ \t]*\n(.*?)(^## .*|\z)"
-    multi = "(?m)" + pattern
+    """prefix, instructions, suffix: what stands before the section's heading, under it up to the next heading of its rank, and after; null without it.
+
+    The heading may have any case and stand anywhere. A rule of dashes right before the next heading goes with that heading.
+    """
+    multi = rf"(?msi)\A(.*?){SECTION.replace(' ', chr(92) + 's*')}[ \t]*\n?(.*?)((?:^---\s*\n)?^##\s.*|\z)"
     parts = F.struct(*[F.regexp_extract(prompt, multi, i).alias(name) for i, name in enumerate(("prefix", "instructions", "suffix"), 1)])
     return F.when(F.regexp_like(prompt, F.lit(multi)), parts)
 
@@ -192,6 +196,12 @@ def with_instructions(parts: Column, instructions: Column) -> Column:
     return F.concat(parts["prefix"], F.lit(SECTION + "\n"), instructions, F.when(F.endswith(instructions, F.lit("\n")), F.lit("")).otherwise(F.lit("\n")), parts["suffix"])
 
 
+def assembled(parts: Column, instructions: Column) -> Column:
+    """A prompt from its sections and other instructions, with one empty line between the parts."""
+    ends = lambda c, pattern: F.regexp_replace(c, pattern, "")
+    return F.concat(ends(parts["prefix"], r"\s+$"), F.lit(f"\n\n{SECTION}\n\n"), ends(instructions, r"^\s+|\s+$"), F.lit("\n\n"), ends(parts["suffix"], r"^\s+"))
+
+
 def unified_diff(before: Column, after: Column, names: tuple[str, str] = ("champion", "rejected")) -> Column:
     """Lines that differ, as a unified diff; an empty text for equal ones. For prompts, a few rows."""
 

@@ -33,13 +33,14 @@ def entity(g: Graph, var: str, kind: str | None = None) -> DataFrame:
 def relation(g: Graph, src: str, dst: str, role: str = "", edge: str | None = None) -> DataFrame:
     """Edges as a pattern; an empty role is any role. With ``edge`` their attributes are bound too."""
     edges = g.edges.filter(F.col("role") == role) if role else g.edges
-    extra = [F.col(c).alias(f"{edge}_{c}") for c in edges.columns if c not in ("src", "dst")] if edge else []
-    return edges.select(F.col("src").alias(f"{src}_id"), F.col("dst").alias(f"{dst}_id"), *extra)
+    within = [c for c in edges.columns if c.endswith("_graph")]
+    extra = [F.col(c).alias(f"{edge}_{c}") for c in edges.columns if c not in ("src", "dst", *within)] if edge else []
+    return edges.select(F.col("src").alias(f"{src}_id"), F.col("dst").alias(f"{dst}_id"), *within, *extra)
 
 
 def relate(df: DataFrame, g: Graph, src: str, dst: str, role: str = "", edge: str | None = None, how: str = "inner") -> DataFrame:
     """``df`` along an edge from ``src`` to ``dst``, of which one at least is bound; ``left`` keeps rows without one."""
-    keys = [c for c in (f"{src}_id", f"{dst}_id") if c in df.columns]
+    keys = [c for c in (f"{src}_id", f"{dst}_id", *g.edges.columns) if c in df.columns and c.endswith(("_id", "_graph"))]
     return df.join(relation(g, src, dst, role, edge), keys, how)
 
 
@@ -153,6 +154,50 @@ def reach(g: Graph, starts: DataFrame, longest: int | None = None, shortest: int
     return reduce(DataFrame.unionByName, found) if found else level
 
 
+def shortest_paths(g: Graph, starts: DataFrame, ends: DataFrame | None = None, longest: int | None = None, roles: Sequence[str] = ()) -> DataFrame:
+    """start_id, end_id, hops, nodes, roles: one shortest path of at least one hop from each of ``starts(start_id)`` to each end in reach, or to ``ends(end_id)`` alone.
+
+    The search keeps one row for each start and end, with the node and the role by which it was reached first; of several the least node, then the least role. Paths are then read
+    backwards from the wanted ends, all at once, one join a hop. Ties are so decided at the last hop first.
+    """
+    edges = (g.edges.filter(F.col("role").isin(*roles)) if roles else g.edges).select(F.col("src").alias("at"), "role", F.col("dst").alias("to")).distinct()
+    level = cut(starts.select("start_id", F.col("start_id").alias("at")).distinct(), "shortest")
+    found, hop = [], 0
+    while longest is None or hop < longest:
+        hop += 1
+        new = level.join(edges, "at").groupBy("start_id", "to").agg(F.min(F.struct("at", "role")).alias("by"))
+        if found:
+            new = new.join(reduce(DataFrame.unionByName, found).select("start_id", "to"), ["start_id", "to"], "left_anti")
+        new = cut(new.select("start_id", "to", F.lit(hop).alias("hops"), F.col("by.at").alias("via"), F.col("by.role").alias("role")), "shortest")
+        if new.isEmpty():
+            break
+        found.append(new)
+        level = new.select("start_id", F.col("to").alias("at"))
+    every = reduce(DataFrame.unionByName, found) if found else new
+    wanted = every if ends is None else every.join(ends.select(F.col("end_id").alias("to")).distinct(), "to", "left_semi")
+    open_ = wanted.select("start_id", F.col("to").alias("end_id"), "hops", F.array("to").alias("nodes"), F.array().cast("array<string>").alias("roles"), F.col("to").alias("at"), F.col("hops").alias("left"))
+    steps = every.select("start_id", F.col("to").alias("at"), F.col("hops").alias("left"), "via", "role")
+    for _ in range(len(found)):
+        more = open_.filter("left > 0").join(steps, ["start_id", "at", "left"])
+        more = more.select("start_id", "end_id", "hops", F.concat(F.array("via"), "nodes").alias("nodes"), F.concat(F.array("role"), "roles").alias("roles"), F.col("via").alias("at"), (F.col("left") - 1).alias("left"))
+        open_ = open_.filter("left = 0").unionByName(more)
+    return open_.select("start_id", "end_id", "hops", "nodes", "roles")
+
+
+def along(df: DataFrame, nodes: str, var: str, place: str | None = None) -> DataFrame:
+    """``df`` with each node of the path in the column ``nodes`` as the variable ``var``, a row each; ``place`` gets its number on the path from 0."""
+    out = df.select("*", F.posexplode(nodes).alias(place or "_place", f"{var}_id"))
+    return out if place else out.drop("_place")
+
+
+def named(g: Graph, var: str) -> Graph:
+    """A graph of which the edges tell in ``<var>_graph`` which named graph they are in: patterns with one ``var`` hold inside one graph, with several across graphs.
+
+    ``g.edges`` has a column ``graph``; nodes are in every graph.
+    """
+    return Graph(g.nodes, g.edges.withColumnRenamed("graph", f"{var}_graph"))
+
+
 def described(g: Graph, ids: DataFrame) -> DataFrame:
     """role, other, forward for each edge at the nodes ``ids(id)``."""
     out = g.edges.join(ids.withColumnRenamed("id", "src"), "src").select(F.col("src").alias("id"), "role", F.col("dst").alias("other"), F.lit(True).alias("forward"))

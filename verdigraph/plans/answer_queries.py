@@ -9,7 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from verdigraph.functions import stats, text
-from verdigraph.operators import answers
+from verdigraph.operators import answers, similarity
 from verdigraph.sources.tables import table
 
 QUERIES: dict = {}
@@ -231,6 +231,29 @@ def jaccard_pairs(spark, d):
     return both.filter("both >= 0.1 * (na + nb - both)").select("a", "b", F.round(F.col("both") / (F.col("na") + F.col("nb") - F.col("both")), 9).alias("jaccard"))
 
 
+SETS = f"""WITH s AS (SELECT doc_id, {WORDS} AS w FROM documents), k AS (SELECT w, min(doc_id) AS class_id, count(*) AS copies, row_number() OVER () AS c FROM s WHERE len(w) > 0 GROUP BY w),
+e AS (SELECT c, len(w) AS n, unnest(w) AS word FROM k), p AS (SELECT a.c AS a, b.c AS b, count(*) / (a.n + b.n - count(*))::DOUBLE AS j FROM e a JOIN e b ON a.word = b.word AND a.c <> b.c GROUP BY a.c, b.c, a.n, b.n),
+l AS (SELECT a, sum(copies) AS n, max(j) AS best FROM p JOIN k ON k.c = b WHERE j >= 0.5 GROUP BY a)"""
+
+
+@query(f"{SETS} SELECT doc_id AS id, class_id, copies, (copies - 1 + coalesce(n, 0))::BIGINT AS links, round(best, 9) AS best FROM s JOIN k USING (w) LEFT JOIN l ON a = c")
+def similar_documents(spark, d):
+    """Documents whose sets of content words are at least half alike."""
+    sets = docs(spark, d).select("doc_id", text.content_words(F.col("text")).alias("w"))
+    return similarity.linked(sets, "doc_id", "w", 0.5).withColumn("best", F.round("best", 9))
+
+
+TURNS = f"(SELECT conv_id * 1000 + turn AS id, {WORDS} AS w FROM conversations WHERE role = 'user')"
+
+
+@query(f"WITH s AS {TURNS}, e AS (SELECT id, len(w) AS n, unnest(w) AS word FROM s), b AS (SELECT item_id, len(w) AS n, unnest(w) AS word FROM (SELECT item_id, {WORDS} AS w FROM benchmark)), p AS (SELECT e.id, item_id AS match, count(*) / (e.n + b.n - count(*))::DOUBLE AS j FROM e JOIN b USING (word) GROUP BY e.id, item_id, e.n, b.n) SELECT id, match, round(j, 9) AS jaccard FROM p WHERE j >= 0.03")
+def similar_items(spark, d):
+    """User turns beside benchmark items that share a few content words with them."""
+    turns = table(spark, d, "conversations").filter("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), text.content_words(F.col("text")).alias("w"))
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), text.content_words(F.col("text")).alias("w"))
+    return similarity.best_matches(turns, items, "id", "w", 0.03).withColumn("jaccard", F.round("jaccard", 9))
+
+
 @query(f"SELECT DISTINCT lang, sha1({NORM}) AS output FROM documents WHERE sha1({NORM}) NOT IN (SELECT sha1({NORM}) FROM documents JOIN labels USING (doc_id))")
 def verdict_cache_miss(spark, d):
     df = docs(spark, d).select("doc_id", "lang", F.sha1(text.collapse(F.col("text"))).alias("output"))

@@ -296,3 +296,48 @@ def train_val_split(spark, d):
     ranked = running_total(docs, "lang", "_b", [F.col("_h"), F.col("doc_id")], "_w", "_before")
     sizes = docs.groupBy("lang").agg(F.count("*").alias("_n"))
     return spread_join(ranked, sizes, ["lang"], F.col("doc_id")).filter(F.col("_before") < F.bround(F.col("_n") * F.lit(0.25), 0)).select("doc_id", "lang", "source")
+
+
+@query("SELECT 'c' || o_custkey AS start_id, 'p' || l_partkey AS end_id, 2 AS hops, ['c' || o_custkey, min('o' || o_orderkey), 'p' || l_partkey] AS nodes, ['placed', 'contains'] AS roles FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_custkey, l_partkey")
+def graph_shortest_path(spark, d):
+    """One shortest path from every customer to every part that it has ever ordered."""
+    g = load(spark, d)
+    starts = graph.entity(g, "c", "Customer").select(F.col("c_id").alias("start_id"))
+    return graph.shortest_paths(g, starts, graph.entity(g, "p", "Part").select(F.col("p_id").alias("end_id")), 2, ["placed", "contains"])
+
+
+@query(
+    """WITH p AS (SELECT 's' || s_suppkey AS start_id, s_name, 'n' || n_nationkey AS n, n_name, 'r' || r_regionkey AS r, r_name FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)
+SELECT * FROM (SELECT start_id, 0 AS place, start_id AS x_id, s_name AS x_name FROM p UNION ALL SELECT start_id, 1, n, n_name FROM p UNION ALL SELECT start_id, 2, r, r_name FROM p) WHERE contains(x_name, '1') OR contains(x_name, 'AS')"""
+)
+def graph_path_elements(spark, d):
+    """Nodes along the paths from suppliers to regions, as a variable with its own condition."""
+    g = load(spark, d)
+    starts = graph.entity(g, "s", "Supplier").select(F.col("s_id").alias("start_id"))
+    found = graph.along(graph.paths(g, starts, 2, 2, ["located_in", "part_of"]), "nodes", "x", "place")
+    return graph.bind(found, g, "x").filter(F.col("x_name").contains("1") | F.col("x_name").contains("AS")).select("start_id", "place", "x_id", "x_name")
+
+
+def by_status(spark, d) -> graph.Graph:
+    """Orders and their lines as named graphs, one for each order status."""
+    status = table(spark, d, "orders").select(key("c", "o_custkey").alias("c"), "o_orderkey", F.col("o_orderstatus").alias("graph"))
+    placed = status.select(F.lit("placed").alias("role"), F.col("c").alias("src"), key("o", "o_orderkey").alias("dst"), "graph")
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_partkey").join(status, F.col("l_orderkey") == F.col("o_orderkey"))
+    contains = lines.select(F.lit("contains").alias("role"), key("o", "o_orderkey").alias("src"), key("p", "l_partkey").alias("dst"), "graph")
+    return graph.Graph(load(spark, d).nodes, placed.unionByName(contains))
+
+
+@query("SELECT o_orderstatus AS g_graph, count(DISTINCT o_custkey) AS customers, count(*) AS lines FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey WHERE p_brand = 'Brand#11' GROUP BY o_orderstatus")
+def graph_in_named(spark, d):
+    """In which graph customers have placed orders with parts of a brand: both edges in one graph."""
+    g = graph.named(by_status(spark, d), "g")
+    df = graph.bind(graph.relate(graph.relation(g, "c", "o", "placed"), g, "o", "p", "contains"), g, "p", "Part").filter("p_label = 'Brand#11'")
+    return df.groupBy("g_graph").agg(F.countDistinct("c_id").alias("customers"), F.count("*").alias("lines"))
+
+
+@query("WITH x AS (SELECT DISTINCT o_custkey, l_partkey, o_orderstatus AS s FROM orders JOIN lineitem ON l_orderkey = o_orderkey) SELECT 'c' || a.o_custkey AS c, 'p' || a.l_partkey AS p, a.s AS g_graph, b.s AS h_graph FROM x a JOIN x b ON a.o_custkey = b.o_custkey AND a.l_partkey = b.l_partkey AND a.s < b.s")
+def graph_across_named(spark, d):
+    """Customers that have ordered a part in two graphs."""
+    first, second = (graph.named(by_status(spark, d), var) for var in "gh")
+    bought = lambda g, o: graph.relate(graph.relation(g, "c", o, "placed"), g, o, "p", "contains").drop(f"{o}_id").distinct()
+    return bought(first, "o").join(bought(second, "q"), ["c_id", "p_id"]).filter("g_graph < h_graph").select(F.col("c_id").alias("c"), F.col("p_id").alias("p"), "g_graph", "h_graph")
