@@ -140,14 +140,14 @@ def top_k(vectors: DataFrame, queries: Column, k: int, vector: str = "embedding"
     shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-n_asked // query_rows))
     spread = lambda salt, m: F.pmod(F.xxhash64("row", F.lit(salt)), F.lit(m)).cast("int")
     all_of = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    held = kept.select("vec_id", "row", "v", "dims", spread(1, shards).alias("shard"))
+    held = kept.select(F.coalesce("vec_id", F.lit(NONE)).alias("id"), "row", "v", "dims", spread(1, shards).alias("shard"))
     names = [F.col(a).alias(b) for a, b in {"vec_id": "query_id", "row": "query", "v": "q", "dims": "size"}.items()]
     asked = kept.filter("asks").select(*names, spread(2, shards).alias("home"), spread(3, blocks).alias("part"))
 
     def cell(asking: pd.DataFrame, there: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(asking) and len(there):
-            ids = there.vec_id.fillna(NONE).to_numpy(np.int64)
+            ids = there.id.to_numpy()
             kth = [asking[c].to_numpy() for c in ("score", "last")]
             q, place, score = search(scaled(there.v), ids, there.row.to_numpy(), scaled(asking.q), asking["query"].to_numpy(), *kth, k)
             out = [asking["query"].to_numpy()[q], asking.query_id.to_numpy()[q], ids[place], score]
