@@ -119,7 +119,7 @@ def impacts(tf: np.ndarray, words: np.ndarray, n_docs: int, n_terms: int) -> np.
 
 
 def _counted(docs: DataFrame, number: dict[bytes, int]) -> DataFrame:
-    """doc_id, words (terms in all), ids and tfs (the terms that ``number`` has) of every document."""
+    """doc_id (0 where it is null, as ``none`` says), words (terms in all), ids and tfs (the terms that ``number`` has) of every document."""
 
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in parts(batches):
@@ -132,31 +132,31 @@ def _counted(docs: DataFrame, number: dict[bytes, int]) -> DataFrame:
             yield pd.DataFrame(out, columns=["words", "ids", "tfs"])
 
     found = F.pandas_udf(count, "words long, ids array<int>, tfs array<int>")("text")
-    return docs.select("doc_id", found.alias("found")).select("doc_id", "found.*")
+    return docs.select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("none"), found.alias("found")).select("doc_id", "none", "found.*")
 
 
 def _search(counted: DataFrame, asked: list[tuple[int, np.ndarray, np.ndarray]], n_docs: int, n_terms: int, k: int) -> DataFrame:
     """item, doc_id, score: the ``k`` best documents of each shard for each of ``asked`` (item, term ids, weights)."""
 
     def shard(rows: list[tuple]) -> pd.DataFrame:
-        rows.sort(key=lambda r: (r[0] is None, r[0] or 0))
-        sizes = [len(r[2]) for r in rows]
+        rows.sort(key=lambda r: r[:2])
+        sizes = [len(r[3]) for r in rows]
         doc = np.repeat(np.arange(len(rows)), sizes)
-        ids, tfs = np.concatenate([r[2] for r in rows]), np.concatenate([r[3] for r in rows]).astype(np.int64)
-        words = np.repeat(np.array([r[1] for r in rows], np.int64), sizes)
+        ids, tfs = np.concatenate([r[3] for r in rows]), np.concatenate([r[4] for r in rows]).astype(np.int64)
+        words = np.repeat(np.array([r[2] for r in rows], np.int64), sizes)
         tree = WaveletTree(doc, ids, impacts(tfs, words, n_docs, n_terms), len(rows))
         out = []
         for item, own, weights in asked:
             found, scores = tree.top(own, weights, k)
-            out += [(item, rows[d][0], s) for d, s in zip(found.tolist(), scores.tolist(), strict=True)]
-        return pd.DataFrame(out, columns=["item", "doc_id", "score"]).astype({"doc_id": "Int64"})
+            out += [(item, *rows[d][:2], s) for d, s in zip(found.tolist(), scores.tolist(), strict=True)]
+        return pd.DataFrame(out, columns=["item", "none", "doc_id", "score"])
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows, size = [], 0
         for batch in batches:
-            for r in zip(batch.doc_id.astype(object).where(batch.doc_id.notna(), None), batch.words, batch.ids, batch.tfs, strict=True):
-                rows.append((None if r[0] is None else int(r[0]), *r[1:]))
-                size += len(r[2])
+            for r in zip(batch.none, batch.doc_id, batch.words, batch.ids, batch.tfs, strict=True):
+                rows.append(r)
+                size += len(r[3])
                 if size >= POSTINGS or len(rows) >= DOCUMENTS:
                     yield shard(rows)
                     rows, size = [], 0
@@ -164,7 +164,8 @@ def _search(counted: DataFrame, asked: list[tuple[int, np.ndarray, np.ndarray]],
             yield shard(rows)
 
     hits = counted.filter(F.size("ids") > 0)
-    return hits.mapInPandas(search, "item long, doc_id long, score long")
+    best = hits.mapInPandas(search, "item long, none boolean, doc_id long, score long")
+    return best.select("item", F.when(~F.col("none"), F.col("doc_id")).alias("doc_id"), "score")
 
 
 def ranked_search(docs: DataFrame, items: DataFrame, k: int = 10, most_terms: int = TERMS) -> DataFrame:
