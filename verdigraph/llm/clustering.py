@@ -88,8 +88,10 @@ def clustered(vectors: DataFrame, k: int = 40, rounds: int = 5, dims: int = 64,
         for batch in batches:
             yield batch.assign(norms=list(segment_norms(np.stack(batch.whole.to_list()), segments)) if len(batch) else [])
 
-    stored = cut(kept.select("vec_id", whole.alias("whole")).mapInPandas(pack, "vec_id long, whole array<long>, norms array<double>"), "cluster-vectors")
-    first = F.sha2(F.concat(F.lit(f"{seed}:"), F.col("vec_id").cast("string")), 256)
+    # Ids go through Python without nulls, which would make numbers of 53 bits of them.
+    ids = [F.coalesce("vec_id", F.lit(0)).alias("id"), F.col("vec_id").isNull().alias("none")]
+    stored = cut(kept.select(*ids, whole.alias("whole")).mapInPandas(pack, "id long, none boolean, whole array<long>, norms array<double>"), "cluster-vectors")
+    first = F.sha2(F.concat(F.lit(f"{seed}:"), F.when(~F.col("none"), F.col("id").cast("string"))), 256)
     start = stored.select("whole", first.alias("h")).orderBy(F.asc_nulls_last("h"), "whole").limit(k)
     centroids = np.array([r.whole for r in start.collect()], np.int64)
 
@@ -101,7 +103,7 @@ def clustered(vectors: DataFrame, k: int = 40, rounds: int = 5, dims: int = 64,
                     whole, norms = _stacked(batch, segments)
                     best, least, _ = nearest(whole, norms, centroids)
                     if not sums:
-                        yield pd.DataFrame({"vec_id": batch.vec_id.astype("Int64"), "cluster": best.astype(np.int32), "distance": least})
+                        yield pd.DataFrame({"id": batch.id, "none": batch.none, "cluster": best.astype(np.int32), "distance": least})
                     n += np.bincount(best, minlength=len(n))
                     np.add.at(total, best, whole)
             if sums:
@@ -116,14 +118,14 @@ def clustered(vectors: DataFrame, k: int = 40, rounds: int = 5, dims: int = 64,
         centroids = centroids.copy()
         for r in parts.agg(F.sum("n").alias("n"), F.sum(F.col("value").cast("decimal(20,0)")).alias("total")).collect():
             centroids[r.cluster, r["at"]] = int(r.total) // r.n
-    done = stored.mapInPandas(assigned(centroids, False), "vec_id long, cluster int, distance long")
+    done = stored.mapInPandas(assigned(centroids, False), "id long, none boolean, cluster int, distance long")
     done = cut(done if len(centroids) else done.limit(0), "cluster-assigned")
     sums = {r.cluster: r.inertia for r in done.groupBy("cluster").agg(F.sum("distance").alias("inertia")).collect()}
     digests = [hashlib.sha256(",".join(map(str, c.tolist())).encode()).hexdigest() for c in centroids]
     rows = [(i, total, sum(sums.values()), digests[i]) for i, total in sums.items()]
     # One row for each of at most k clusters.
     about = done.sparkSession.createDataFrame(rows, "cluster int, cluster_inertia long, inertia long, centroid_sha256 string")
-    return done.join(F.broadcast(about), "cluster").select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+    return done.join(F.broadcast(about), "cluster").select(F.when(~F.col("none"), F.col("id")).alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
 
 
 def op13_clusters(spark, sf_dir):
