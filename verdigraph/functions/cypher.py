@@ -57,21 +57,30 @@ def _neighbours(found: Column) -> Column:
     return F.zip_with(pairs, F.concat(F.slice(found, F.lit(2), F.size(found)), none), lambda p, after: F.struct(p["before"].alias("before"), p["own"].alias("own"), after.alias("after")))
 
 
+def _with(value: Column, then) -> Column:
+    """``then`` of a value that is worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def relationship_returned(text: Column) -> Column:
     """Whether the last RETURN names a relationship variable on its own, not for one of its attributes.
 
     Any word that begins a bracket counts as a variable, so an index such as [0] in the RETURN does too. The words that stand alone there are compared with
     the variables as sets, so no pattern is made from the data.
     """
-    found = tokens(text)
-    dense = _neighbours(F.filter(found, lambda t: ~_is_space(t)))
     word = lambda t: F.regexp_like(t, F.lit(r"^\w+$"))
     own = lambda items: F.transform(items, lambda x: x["own"])
-    variables = own(F.filter(dense, lambda x: (x["before"] == "[") & word(x["own"]) & x["after"].isin(":", "]", "*")))
-    last = F.array_max(F.filter(F.transform(found, lambda t, i: F.when(F.upper(t) == "RETURN", i)), lambda i: i.isNotNull()))
-    said = _neighbours(F.slice(found, last + 2, F.size(found)))
-    alone = own(F.filter(said, lambda x: word(x["own"]) & (x["before"] != ".") & ~x["after"].isin(".", "(")))
-    return F.coalesce(F.arrays_overlap(variables, alone), F.lit(False))
+
+    def overlap(found: Column) -> Column:
+        dense = _with(F.filter(found, lambda t: ~_is_space(t)), _neighbours)
+        variables = own(F.filter(dense, lambda x: (x["before"] == "[") & word(x["own"]) & x["after"].isin(":", "]", "*")))
+        last = F.array_max(F.filter(F.transform(found, lambda t, i: F.when(F.upper(t) == "RETURN", i)), lambda i: i.isNotNull()))
+        said = _with(F.slice(found, last + 2, F.size(found)), _neighbours)
+        alone = own(F.filter(said, lambda x: word(x["own"]) & (x["before"] != ".") & ~x["after"].isin(".", "(")))
+        return F.coalesce(F.arrays_overlap(variables, alone), F.lit(False))
+
+    # Only texts with a bracket and a RETURN are read token by token.
+    return F.when(F.contains(text, F.lit("[")) & text.rlike(r"(?i)\bRETURN\b"), _with(tokens(text), overlap)).otherwise(F.lit(False))
 
 
 def constructs(text: Column) -> Column:

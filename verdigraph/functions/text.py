@@ -15,6 +15,8 @@ CATEGORIES = (
 )
 #: How a verdict's fields are found where it isn't JSON.
 LOOSE_FIELDS = {"correct": r'(?i)"correct"\s*:\s*"?(true|false)', "error_category": r'"error_category"\s*:\s*"([^"]*)"', "rationale": r'(?s)"rationale"\s*:\s*"(.*?)"\s*,', "hypotheses_covered": r'"hypotheses_covered"\s*:\s*(\d+)'}
+#: A fenced block, with KINDS for the names that its mark may have; what stands between the first and the last brace; and how an unreadable verdict's rationale begins.
+FENCED, BRACES, UNREADABLE = r"(?i)```(?:KINDS)?\s*([\s\S]*?)\s*```", r"(\{[\s\S]*\})", "Unparseable judge response: "
 #: The heading of a prompt's section, and the headings of ground truths in a judge's message.
 SECTION = "## INSTRUCTIONS"
 TRUTH_HEADINGS = {"ambrosia": "[GROUND TRUTH SQL]", "semgir": "[GROUND TRUTH JSON IR]", "text2cypher": "[GROUND TRUTH CYPHER]", "grailqa": "[GROUND TRUTH LISP]"}
@@ -34,14 +36,15 @@ def output_key(grammar: Column, qid: Column, normal: Column) -> Column:
     return F.substring(F.sha1(F.concat_ws("|", grammar, qid, normal)), 1, 16)
 
 
-def code_blocks(text: Column, language: str = r"\w+") -> Column:
-    return F.regexp_extract_all(text, F.lit(rf"(?i)```(?:{language})?\s*([\s\S]*?)\s*```"), F.lit(1))
+def fenced(text: Column, kinds: str = r"\w+") -> Column:
+    """The contents of all fenced blocks whose mark names one of ``kinds`` or nothing, in order."""
+    return F.regexp_extract_all(text, F.lit(FENCED.replace("KINDS", kinds)), F.lit(1))
 
 
 def answer_text(text: Column, language: str = r"\w+") -> Column:
     """The last fenced block, or the whole text without white space at the ends; null counts as empty."""
     text = F.coalesce(text, F.lit(""))
-    return F.coalesce(F.try_element_at(code_blocks(text, language), F.lit(-1)), F.regexp_replace(text, r"^\s+|\s+$", ""))
+    return F.coalesce(F.try_element_at(fenced(text, language), F.lit(-1)), F.regexp_replace(text, r"^\s+|\s+$", ""))
 
 
 def _canonical(text: str) -> str:
@@ -119,8 +122,8 @@ def verdict_fields(text: Column, known_only: bool = True) -> Column:
     """
     schema = "correct string, error_category string, rationale string, hypotheses_covered string"
     text = F.coalesce(text, F.lit(""))
-    blocks, bare = code_blocks(text, "json"), F.regexp_replace(text, r"^\s+|\s+$", "")
-    tries = F.concat(F.reverse(blocks), F.array(bare, F.regexp_extract(bare, r"(\{[\s\S]*\})", 1)))
+    blocks, bare = fenced(text, "json"), F.regexp_replace(text, r"^\s+|\s+$", "")
+    tries = F.concat(F.reverse(blocks), F.array(bare, F.regexp_extract(bare, BRACES, 1)))
     read = F.transform(tries, lambda t: F.from_json(t, schema, {"allowUnquotedControlChars": "true"}))
     # The field counts where it is there, even as null.
     both = F.zip_with(tries, read, lambda t, v: F.struct(v.alias("v"), F.array_contains(F.json_object_keys(F.when(v.isNotNull(), t)), "correct").alias("has")))
@@ -130,8 +133,8 @@ def verdict_fields(text: Column, known_only: bool = True) -> Column:
     loose["rationale"] = F.coalesce(loose["rationale"], where)
     failed = whole.isNull() & loose["correct"].isNull()
     field = lambda k: F.when(whole.isNotNull(), whole[k]).otherwise(loose[k])
-    correct = ~failed & (F.lower(F.trim(field("correct"))) == "true")
-    reason = F.when(failed, F.concat(F.lit("Unparseable judge response: "), F.substring(text, 1, 200))).otherwise(F.regexp_replace(F.coalesce(field("rationale"), F.lit("")), r"^\s+|\s+$", ""))
+    correct = ~failed & F.coalesce(F.lower(F.trim(field("correct"))) == "true", F.lit(False))
+    reason = F.when(failed, F.concat(F.lit(UNREADABLE), F.substring(text, 1, 200))).otherwise(F.regexp_replace(F.coalesce(field("rationale"), F.lit("")), r"^\s+|\s+$", ""))
     return F.struct(
         correct.alias("correct"), F.when(failed | correct, "").otherwise(category(field("error_category")) if known_only else F.coalesce(field("error_category"), F.lit(""))).alias("error_category"), reason.alias("rationale"),
         F.when(failed, F.lit(1)).otherwise(F.coalesce(F.floor(field("hypotheses_covered").try_cast("double")).try_cast("int"), F.lit(1))).alias("hypotheses_covered"), failed.alias("judge_failed"),

@@ -34,7 +34,8 @@ def stratified_sample(df: DataFrame, strata: Sequence[str], n: int, seed: int, i
     sizes = known.dropna(subset=list(strata)).groupBy(*strata).agg(F.count("*").alias("_size"))
     quota = F.greatest(F.lit(1), F.least(F.col("_size"), F.bround(F.col("_size") * F.lit(n) / F.lit(total), 0).cast("long")))
     ranked = known.withColumn("_rank", F.row_number().over(Window.partitionBy(*strata).orderBy("_order", ident)))
-    taken = ranked.join(sizes.withColumn("_quota", quota), list(strata), "left").withColumn("_first", F.coalesce(F.col("_rank") <= F.col("_quota"), F.lit(False)))
+    # No row behind the first n of its stratum is ever taken, so tasks keep no more than these.
+    taken = ranked.filter(F.col("_rank") <= n).join(sizes.withColumn("_quota", quota), list(strata), "left").withColumn("_first", F.coalesce(F.col("_rank") <= F.col("_quota"), F.lit(False)))
     return taken.orderBy(F.desc("_first"), "_order", ident).limit(n).select(*df.columns)
 
 

@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from verdigraph.plans.skew import running_total
+
 #: What ids of a data set begin with; other ids are of the last one.
 PREFIXES = (("AMB_", "ambrosia"), ("T2C_", "text2cypher"))
 OTHERS = "grailqa"
+#: Positions of groups of one size that are counted together.
+NEARBY = 10_000
 
 
 def thinking_modes(models: DataFrame) -> DataFrame:
@@ -61,14 +65,17 @@ def seconds(total: Column, prompt: Column, evaluation: Column) -> Column:
 def grouped_runs(runs: DataFrame, keys: Sequence[str], normal: Column) -> DataFrame:
     """keys, answer, group_size, first (the first row by position), runs, merged, place: equal answers as one group, the largest first.
 
-    ``place`` numbers a key's groups from 1 by size, equal ones by their first row. ``runs`` has the runs' names, whole numbers before others.
+    ``place`` numbers a key's groups from 1 by size, equal ones by their first row, a number in ``position``; groups are counted by size and nearby positions first, so
+    those of one key are not sorted in one task. ``runs`` has the runs' names, whole numbers before others.
     """
     rest = [c for c in runs.columns if c not in keys]
     name = F.struct(F.col("run").try_cast("int").isNull().alias("text"), F.col("run").try_cast("int").alias("number"), F.col("run").cast("string").alias("name"))
     merged = F.bool_or("merged") if "merged" in rest else F.lit(False)
     groups = runs.withColumn("answer", normal).groupBy(*keys, "answer").agg(F.count("*").alias("group_size"), F.min_by(F.struct(*rest), "position").alias("first"), F.transform(F.array_sort(F.collect_list(name)), lambda x: x["name"]).alias("runs"), merged.alias("merged"))
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("group_size"), "first.position"))
-    return groups.withColumn("place", place)
+    bucket = F.struct((-F.col("group_size")).alias("size"), F.floor(F.col("first.position") / NEARBY).alias("near"))
+    known = groups.withColumn("_key", F.struct(*keys)).withColumn("_bucket", bucket).withColumn("_one", F.lit(1))
+    placed = running_total(known, "_key", "_bucket", [F.col("first.position"), F.col("answer")], "_one", "_before")
+    return placed.select(*groups.columns, (F.col("_before") + 1).cast("int").alias("place"))
 
 
 def merged_groups(groups: DataFrame, same: DataFrame, keys: Sequence[str], threshold: int) -> DataFrame:

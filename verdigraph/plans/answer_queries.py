@@ -267,24 +267,39 @@ def state_upsert(spark, d):
     return answers.latest(log, ["user_id"], ["ts", "event_id"]).select("user_id", "verdict", "value")
 
 
-@query("SELECT replace(replace(replace('m.012 knows m.01 and m.0', 'm.012', 'Ada'), 'm.01', 'Bob'), 'm.0', 'Cy') AS named")
+@query("SELECT c_custkey AS id, replace(replace(replace('m.' || c_nationkey || '12 knows m.' || c_nationkey || '1 and m.' || c_nationkey, 'm.' || c_nationkey || '12', c_name), 'm.' || c_nationkey || '1', c_mktsegment), 'm.' || c_nationkey, 'Cy') AS named FROM customer")
 def friendly_replace(spark, d):
-    names = F.create_map(*[F.lit(x) for x in ("m.0", "Cy", "m.012", "Ada", "m.01", "Bob")])
-    return spark.range(1).select(text.replace_longest_first(F.lit("m.012 knows m.01 and m.0"), names).alias("named"))
+    """Ids that begin with each other, by names of the customer."""
+    ids = [F.concat(F.lit("m."), F.col("c_nationkey").cast("string"), F.lit(more)) for more in ("", "12", "1")]
+    said = F.concat(ids[1], F.lit(" knows "), ids[2], F.lit(" and "), ids[0])
+    names = F.create_map(ids[0], F.lit("Cy"), ids[1], F.col("c_name"), ids[2], F.col("c_mktsegment"))
+    return table(spark, d, "customer").select(F.col("c_custkey").alias("id"), text.replace_longest_first(said, names).alias("named"))
 
 
-@query("SELECT * FROM (VALUES ('a', true, '', false), ('b', false, 'Syntax', false), ('c', true, '', false), ('d', false, '', true)) t(id, correct, error_category, judge_failed)")
+@query("SELECT user_id * 1000000 + event_id AS id, CASE event_id % 5 WHEN 0 THEN true WHEN 2 THEN event_type = 'click' ELSE false END AS correct, CASE event_id % 5 WHEN 1 THEN event_type WHEN 2 THEN '' WHEN 4 THEN event_type ELSE '' END AS error_category, event_id % 5 = 3 AS judge_failed FROM events")
 def verdict_parse(spark, d):
-    said = {"a": 'So: ```json\n{"correct": true}\n```', "b": 'I say {"correct": false, "error_category": "Syntax"} here', "c": 'broken "correct": "true", and', "d": "no idea"}
-    rows = spark.range(1).select(F.explode(F.array(*[F.struct(F.lit(k).alias("id"), F.lit(v).alias("t")) for k, v in said.items()])).alias("r")).select("r.*")
+    """A judge's words for each event: fenced, between others, broken, without a verdict, and with one that is null."""
+    kind = F.col("event_type")
+    said = [
+        F.concat(F.lit('So: ```json\n{"correct": true, "rationale": "'), kind, F.lit('"}\n```')),
+        F.concat(F.lit('I say {"correct": false, "error_category": "'), kind, F.lit('"} here')),
+        F.concat(F.lit('broken "correct": "'), F.when(kind == "click", "true").otherwise("false"), F.lit('", and')),
+        F.concat(F.lit("no idea about "), kind),
+        F.concat(F.lit('```json\n{"correct": null, "error_category": "'), kind, F.lit('"}\n```')),
+    ]
+    pick = F.element_at(F.array(*said), (F.col("event_id") % 5 + 1).cast("int"))
+    rows = table(spark, d, "events").select((F.col("user_id") * 1_000_000 + F.col("event_id")).alias("id"), pick.alias("t"))
     return rows.withColumn("v", text.verdict_fields(F.col("t"), known_only=False)).select("id", "v.correct", "v.error_category", "v.judge_failed")
 
 
-@query("SELECT * FROM (VALUES ('a', 'second'), ('b', 'plain text')) t(id, answer)")
+@query("SELECT c_custkey AS id, CASE c_custkey % 3 WHEN 2 THEN c_name || ' says' ELSE c_name END AS answer, CASE c_custkey % 3 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END AS blocks FROM customer")
 def code_block_extract(spark, d):
-    said = {"a": "```\nfirst\n``` then ```sparql\nsecond\n```", "b": "  plain text\n"}
-    rows = spark.range(1).select(F.explode(F.array(*[F.struct(F.lit(k).alias("id"), F.lit(v).alias("t")) for k, v in said.items()])).alias("r")).select("r.*")
-    return rows.select("id", text.answer_text(F.col("t")).alias("answer"))
+    """The last of two fenced blocks, of one, or a text without any."""
+    k, name = F.col("c_custkey"), F.col("c_name")
+    two = F.concat(F.lit("```\nfirst\n``` then ```sparql\n"), name, F.lit("\n```"))
+    said = F.when(k % 3 == 0, two).when(k % 3 == 1, F.concat(F.lit("So:\n```SQL  "), name, F.lit(" ```"))).otherwise(F.concat(F.lit("  "), name, F.lit(" says\n")))
+    own = table(spark, d, "customer").select(k.alias("id"), said.alias("t"))
+    return own.select("id", text.answer_text(F.col("t")).alias("answer"), F.size(text.fenced(F.col("t"))).alias("blocks"))
 
 
 @query("SELECT lang, bool_and(quality = 1) AS done, count(*) FILTER (quality = 1) AS reviewed, count(*) AS total FROM documents JOIN labels USING (doc_id) GROUP BY lang")
