@@ -112,3 +112,10 @@ def paired_tests(metrics: DataFrame, baseline: str, ks: Sequence[int]) -> DataFr
     p = F.pandas_udf(tail, "double")(w, F.col("n"), F.col("ties"), exact)
     wilcoxon = joined.select(*group, F.lit("Wilcoxon").alias("test"), w.alias("statistic"), "n", p.alias("p"))
     return mcnemar.unionByName(wilcoxon).withColumn("significant", F.col("p") < SIGNIFICANT).withColumn("p", F.round("p", 4))
+
+
+def two_measures(counts: DataFrame, keys: Sequence[str], categories: Sequence[str]) -> DataFrame:
+    """keys and, for each of ``categories``, ``<category>_count`` and ``<category>_percentage`` of the key's total, for ``counts(keys, category, count)``; 0 where there is none."""
+    totals = counts.groupBy(*keys).agg(F.sum("count").alias("_total"), *[F.coalesce(F.sum(F.when(F.col("category") == c, F.col("count"))), F.lit(0)).alias(f"{c}_count") for c in categories])
+    share = lambda c: F.coalesce(F.bround(F.lit(100.0) * F.col(f"{c}_count") / F.nullif(F.col("_total"), F.lit(0)), 2), F.lit(0.0)).alias(f"{c}_percentage")
+    return totals.select(*keys, *[x for c in categories for x in (F.col(f"{c}_count"), share(c))])

@@ -62,6 +62,14 @@ def seconds(total: Column, prompt: Column, evaluation: Column) -> Column:
     return F.bround(F.coalesce(F.nullif(total, F.lit(0)), F.coalesce(prompt, F.lit(0)) + F.coalesce(evaluation, F.lit(0))) / 1e9, 6)
 
 
+def placed(groups: DataFrame, keys: Sequence[str], size: str, position: Column, name: Column) -> DataFrame:
+    """``groups`` with ``place``: each key's groups numbered from 1 by falling size, equal ones by position and name; two levels, so that a key with very many groups is split."""
+    bucket = F.struct((-F.col(size)).alias("size"), F.floor(position / NEARBY).alias("near"))
+    known = groups.withColumn("_key", F.struct(*keys)).withColumn("_bucket", bucket).withColumn("_one", F.lit(1))
+    counted = running_total(known, "_key", "_bucket", [position, name], "_one", "_before")
+    return counted.select(*groups.columns, (F.col("_before") + 1).cast("int").alias("place"))
+
+
 def grouped_runs(runs: DataFrame, keys: Sequence[str], normal: Column) -> DataFrame:
     """keys, answer, group_size, first (the first row by position), runs, merged, place: equal answers as one group, the largest first.
 
@@ -72,10 +80,7 @@ def grouped_runs(runs: DataFrame, keys: Sequence[str], normal: Column) -> DataFr
     name = F.struct(F.col("run").try_cast("int").isNull().alias("text"), F.col("run").try_cast("int").alias("number"), F.col("run").cast("string").alias("name"))
     merged = F.bool_or("merged") if "merged" in rest else F.lit(False)
     groups = runs.withColumn("answer", normal).groupBy(*keys, "answer").agg(F.count("*").alias("group_size"), F.min_by(F.struct(*rest), "position").alias("first"), F.transform(F.array_sort(F.collect_list(name)), lambda x: x["name"]).alias("runs"), merged.alias("merged"))
-    bucket = F.struct((-F.col("group_size")).alias("size"), F.floor(F.col("first.position") / NEARBY).alias("near"))
-    known = groups.withColumn("_key", F.struct(*keys)).withColumn("_bucket", bucket).withColumn("_one", F.lit(1))
-    placed = running_total(known, "_key", "_bucket", [F.col("first.position"), F.col("answer")], "_one", "_before")
-    return placed.select(*groups.columns, (F.col("_before") + 1).cast("int").alias("place"))
+    return placed(groups, keys, "group_size", F.col("first.position"), F.col("answer"))
 
 
 def merged_groups(groups: DataFrame, same: DataFrame, keys: Sequence[str], threshold: int) -> DataFrame:
