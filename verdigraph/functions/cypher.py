@@ -104,19 +104,24 @@ def _put(acc: Column, to: str) -> Column:
 
 
 def returned(text: Column) -> Column:
-    """What the RETURN clauses of a text list, without DISTINCT: one pass over the tokens that knows literals and brackets.
+    """What the RETURN clauses of a text list, without DISTINCT."""
+    return listed(text, ("RETURN",), ("SKIP", "LIMIT", "UNION"))
 
-    A clause ends where sorting, paging or a union begins, where a bracket closes that was open before it, or at the next RETURN.
+
+def listed(text: Column, clauses: tuple[str, ...], ends_at: tuple[str, ...]) -> Column:
+    """What clauses of these names list, without DISTINCT: one pass over the tokens that knows literals and brackets.
+
+    A clause ends where sorting or one of ``ends_at`` begins, where a bracket closes that was open before it, or at the next such clause.
     """
     nothing = F.array().cast("array<string>")
     start = F.struct(F.lit(False).alias("inside"), F.lit(0).alias("depth"), F.lit("").alias("open"), nothing.alias("done"))
 
     def step(acc: Column, token: Column) -> Column:
         name = F.upper(token)
-        begins = name == "RETURN"
+        begins = name.isin(*clauses)
         depth = acc["depth"] + F.when(token.isin(*OPENING), 1).when(token.isin(*CLOSING), -1).otherwise(0)
         level = acc["depth"] == 0
-        ends = acc["inside"] & ((depth < 0) | begins | (level & (name.isin("SKIP", "LIMIT", "UNION") | F.regexp_like(name, F.lit(r"^ORDER\s+BY$")))))
+        ends = acc["inside"] & ((depth < 0) | begins | (level & (name.isin(*ends_at) | F.regexp_like(name, F.lit(r"^ORDER\s+BY$")))))
         parts = acc["inside"] & level & (token == ",")
         silent = level & (name == "DISTINCT") & (F.trim(acc["open"]) == "")
         return F.struct(

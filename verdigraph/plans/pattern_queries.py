@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from verdigraph.functions import cypher, questions, sequences, text
+from verdigraph.functions import cypher, elements, questions, sequences, text
 from verdigraph.operators import runs
 from verdigraph.plans import cypher_queries
 from verdigraph.sources.tables import table
@@ -150,3 +150,21 @@ def json_merged_groups(spark, d):
     groups = runs.grouped_runs(json_runs(spark, d), ["source"], F.col("normal"))
     same = groups.filter(F.contains("answer", F.lit(".0]"))).select("source", "answer", F.replace("answer", F.lit(".0]"), F.lit("]")).alias("other"))
     return runs.merged_groups(groups, same, ["source"], 2).select("source", "answer", "group_size", "into")
+
+
+#: Texts and their element tags, worked out by hand; a customer's segment stands in a literal of each.
+TAGGED = {
+    "MATCH (p:Person)-[r:KNOWS {since: 2001}]->(q) WHERE q.name = '?' AND q.age >= 30 RETURN p.name, r.since ORDER BY p.name DESC, q.age LIMIT 5": ["=", ">=", "AND", "ASC", "ATTRIBUTE (anywhere)", "COMPARISON", "DESC", "ENTITY", "NUMBER value", "One hypothesis", "Relationship attribute", "Relationship with a role", "STRING value", "Several targets", "Target ATTRIBUTE", "Target relationship attribute", "constraint", "limit", "order_by", "relationships"],
+    "MATCH p = shortestPath((a:City {name: '?'})-[*1..4]-(b)) RETURN p, length(p)": ["<=", "=", ">=", "AND", "ATTRIBUTE (anywhere)", "COMPARISON", "COUNT", "ENTITY", "LIST (any kind)", "NUMBER value", "One hypothesis", "PATH", "PATH with an empty role list", "RELATIONS", "STRING value", "Several targets", "Target PATH_ID", "constraint"],
+    "MATCH (a) WHERE NOT (a)-[:FINED]->() AND a.x STARTS WITH '?' RETURN collect(a.name) AS names UNION MATCH (b) RETURN sum(b.v) AS names": ["AND", "ATTRIBUTE (anywhere)", "COMPARISON", "CREATE_LIST", "ENTITY", "LIST (any kind)", "LIST.filter", "MATCHES_REGEX", "NOT", "One hypothesis", "RELATIONSHIP_ID as a condition", "Relationship with a role", "SCALAR_AGGREGATE", "STARTS WITH or ENDS WITH", "STRING value", "SUM", "Target LIST", "Target SCALAR_AGGREGATE", "UNION", "constraint", "relationships"],
+    "MATCH (m:Movie)<-[:ACTED_IN]-(a) WITH m, count(DISTINCT a) AS actors WHERE actors > 3 RETURN m.title, actors, 'LIMIT ?'": [">", "ATTRIBUTE (anywhere)", "COMPARISON", "COUNT", "CREATE_LIST", "ENTITY", "LIST (any kind)", "LIST.distinct", "NUMBER value", "One hypothesis", "Relationship with a role", "STRING value", "Several targets", "Target ATTRIBUTE", "Target COUNT", "constraint", "relationships"],
+}
+_CASES = " ".join(f"WHEN {i} THEN [{', '.join(chr(39) + t + chr(39) for t in tags)}]" for i, tags in enumerate(TAGGED.values()))
+
+
+@query(f"SELECT tag, count(*) AS n FROM (SELECT unnest(CASE c_custkey % {len(TAGGED)} {_CASES} END) AS tag FROM customer) GROUP BY tag")
+def cypher_elements(spark, d):
+    """How many texts have each element tag."""
+    template = F.element_at(F.array(*map(F.lit, TAGGED)), (F.lit(1) + F.col("c_custkey") % len(TAGGED)).cast("int"))
+    own = table(spark, d, "customer").select(F.replace(template, F.lit("?"), F.col("c_mktsegment")).alias("t"))
+    return own.select(F.explode(elements.elements(F.col("t"))).alias("tag")).groupBy("tag").agg(F.count("*").alias("n"))
