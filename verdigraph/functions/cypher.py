@@ -57,7 +57,7 @@ def _neighbours(found: Column) -> Column:
     return F.zip_with(pairs, F.concat(F.slice(found, F.lit(2), F.size(found)), none), lambda p, after: F.struct(p["before"].alias("before"), p["own"].alias("own"), after.alias("after")))
 
 
-def _with(value: Column, then) -> Column:
+def once(value: Column, then) -> Column:
     """``then`` of a value that is worked out once, however often it is used."""
     return F.get(F.transform(F.array(value), then), F.lit(0))
 
@@ -72,15 +72,15 @@ def relationship_returned(text: Column) -> Column:
     own = lambda items: F.transform(items, lambda x: x["own"])
 
     def overlap(found: Column) -> Column:
-        dense = _with(F.filter(found, lambda t: ~_is_space(t)), _neighbours)
+        dense = once(F.filter(found, lambda t: ~_is_space(t)), _neighbours)
         variables = own(F.filter(dense, lambda x: (x["before"] == "[") & word(x["own"]) & x["after"].isin(":", "]", "*")))
         last = F.array_max(F.filter(F.transform(found, lambda t, i: F.when(F.upper(t) == "RETURN", i)), lambda i: i.isNotNull()))
-        said = _with(F.slice(found, last + 2, F.size(found)), _neighbours)
+        said = once(F.slice(found, last + 2, F.size(found)), _neighbours)
         alone = own(F.filter(said, lambda x: word(x["own"]) & (x["before"] != ".") & ~x["after"].isin(".", "(")))
         return F.coalesce(F.arrays_overlap(variables, alone), F.lit(False))
 
     # Only texts with a bracket and a RETURN are read token by token.
-    return F.when(F.contains(text, F.lit("[")) & text.rlike(r"(?i)\bRETURN\b"), _with(tokens(text), overlap)).otherwise(F.lit(False))
+    return F.when(F.contains(text, F.lit("[")) & text.rlike(r"(?i)\bRETURN\b"), once(tokens(text), overlap)).otherwise(F.lit(False))
 
 
 def constructs(text: Column) -> Column:
@@ -115,20 +115,25 @@ def listed(text: Column, clauses: tuple[str, ...], ends_at: tuple[str, ...]) ->
     """
     nothing = F.array().cast("array<string>")
     start = F.struct(F.lit(False).alias("inside"), F.lit(0).alias("depth"), F.lit("").alias("open"), nothing.alias("done"))
-
-    def step(acc: Column, token: Column) -> Column:
-        name = F.upper(token)
-        begins = name.isin(*clauses)
-        depth = acc["depth"] + F.when(token.isin(*OPENING), 1).when(token.isin(*CLOSING), -1).otherwise(0)
-        level = acc["depth"] == 0
-        ends = acc["inside"] & ((depth < 0) | begins | (level & (name.isin(*ends_at) | F.regexp_like(name, F.lit(r"^ORDER\s+BY$")))))
-        parts = acc["inside"] & level & (token == ",")
-        silent = level & (name == "DISTINCT") & (F.trim(acc["open"]) == "")
+    begin, end, comma, opening, closing, silent = range(1, 7)
+
+    def kind(t: Column) -> Column:
+        word = lambda name: F.when(name.isin(*clauses), begin).when(name.isin(*ends_at) | F.regexp_like(name, F.lit(r"^ORDER\s+BY$")), end).when(name == "DISTINCT", silent).otherwise(0)
+        mark = F.when(t == ",", comma).when(t.isin(*OPENING), opening).when(t.isin(*CLOSING), closing).otherwise(0)
+        return F.struct(t.alias("t"), F.when(F.length(t) == 1, mark).otherwise(once(F.upper(t), word)).alias("kind"))
+
+    def step(acc: Column, x: Column) -> Column:
+        token, k = x["t"], x["kind"]
+        depth = acc["depth"] + F.when(k == opening, 1).when(k == closing, -1).otherwise(0)
+        begins, level = k == begin, acc["depth"] == 0
+        ends = acc["inside"] & ((depth < 0) | begins | (level & (k == end)))
+        parts = acc["inside"] & level & (k == comma)
+        quiet = level & (k == silent) & (F.trim(acc["open"]) == "")
         return F.struct(
             ((acc["inside"] & ~ends) | begins).alias("inside"),
             F.when(begins | ends | ~acc["inside"], 0).otherwise(depth).alias("depth"),
-            F.when(ends | begins | parts | ~acc["inside"], "").when(silent, acc["open"]).otherwise(F.concat(acc["open"], token)).alias("open"),
+            F.when(ends | begins | parts | ~acc["inside"], "").when(quiet, acc["open"]).otherwise(F.concat(acc["open"], token)).alias("open"),
             F.when(ends | parts, _put(acc, "done")).otherwise(acc["done"]).alias("done"),
         )
 
-    return F.aggregate(tokens(text), start, step, lambda acc: F.when(acc["inside"], _put(acc, "done")).otherwise(acc["done"]))
+    return F.aggregate(F.transform(tokens(text), kind), start, step, lambda acc: F.when(acc["inside"], _put(acc, "done")).otherwise(acc["done"]))

@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from verdigraph.functions.cypher import listed, returned, without_literals
+from verdigraph.functions.cypher import listed, once, returned, without_literals
 
 # Tags and the patterns that tell them, case ignored.
 PATTERNS = {
@@ -76,13 +76,13 @@ TARGETS = [
     ("Target COUNT", r"(?i)\bcount\s*[({]|\bsize\s*\(\s*(?!keys\b|\w+\.\w+\s*\))"),
     ("Target properties(), labels(), type() or keys()", r"(?i)^(size\s*\(\s*)?(properties|keys|labels|type)\s*\("),
 ]
-# Tags that follow from others.
+# Tags that follow from others, in this order.
 UMBRELLAS = [
+    ("MATCHES_REGEX", ("=~", "STARTS WITH or ENDS WITH")),
     ("COMPARISON", ("=", "!=", ">", "<", ">=", "<=", "CONTAINS", "MATCHES_REGEX")),
     ("SCALAR_AGGREGATE", ("SUM", "MIN", "MAX", "AVG")),
     ("QUANTIFIER_PREDICATE", ("QUANTIFIER ALL", "QUANTIFIER EXISTS", "QUANTIFIER NONE")),
     ("LIST (any kind)", ("COUNT", "SUM", "AVG", "MIN", "MAX", "NODES", "RELATIONS")),
-    ("MATCHES_REGEX", ("=~", "STARTS WITH or ENDS WITH")),
 ]
 #: Words that end the list of a WITH or RETURN clause.
 ENDS = ("SKIP", "LIMIT", "UNION", "WHERE", "MATCH", "OPTIONAL", "UNWIND", "CALL")
@@ -109,19 +109,19 @@ def targets(text: Column) -> Column:
     given = F.filter(listed(clauses, ("WITH", "RETURN"), ENDS), lambda i: _has(i, alias))
     named = F.transform(given, lambda i: F.struct(F.regexp_extract(i, alias, 2).alias("name"), F.trim(F.regexp_extract(i, alias, 1)).alias("is")))
 
-    def kind(item: Column) -> Column:
+    def meant(item: Column, named: Column) -> Column:
         own = F.trim(F.regexp_replace(item, r"(?is)\s+AS\s+\w+$", ""))
-        meant = F.coalesce(F.try_element_at(F.filter(named, lambda a: a["name"] == own), F.lit(-1))["is"], own)
-        return F.transform(F.array(meant), _kind)[0]
+        return once(own, lambda own: F.coalesce(F.try_element_at(F.filter(named, lambda a: a["name"] == own), F.lit(-1))["is"], own))
 
-    def _kind(e: Column) -> Column:
+    def kind(e: Column) -> Column:
         word, owner = _has(e, r"^\w+$"), F.regexp_extract(e, r"^(\w+)\.", 1)
         plain = F.when(F.array_contains(edges, e), "Target RELATIONSHIP_ID").when(F.array_contains(paths, e), "Target PATH_ID").otherwise("Target ENTITY_ID")
         attribute = F.when(owner != "", F.when(F.array_contains(edges, owner), "Target relationship attribute").otherwise("Target ATTRIBUTE"))
         return reduce(lambda rest, t: F.when(_has(e, t[1]), t[0]).otherwise(rest), reversed(TARGETS), F.when(word, plain).otherwise(attribute))
 
     several = F.exists(F.split(text, BRANCH), lambda b: F.size(returned(b)) > 1)
-    return F.concat(F.array_compact(F.transform(returned(text), kind)), _if(several, "Several targets"))
+    said = once(named, lambda named: F.transform(returned(text), lambda item: meant(item, named)))
+    return F.concat(F.array_compact(F.transform(said, kind)), _if(several, "Several targets"))
 
 
 def conditions(text: Column) -> Column:
@@ -154,7 +154,10 @@ def directions(text: Column) -> Column:
 
 def elements(cypher: Column) -> Column:
     """The sorted tags of a Cypher text; null of null. Every text has ``ENTITY`` and ``One hypothesis``."""
-    text = without_literals(cypher)
+    return F.when(cypher.isNotNull(), once(without_literals(cypher), lambda text: _tags(cypher, text)))
+
+
+def _tags(cypher: Column, text: Column) -> Column:
     paths = _all(text, NAMED_PATH, 0)
     edges = _all(text, EDGE_VARIABLE, 1)
     owners = _all(text, r"(?<![\w.])(\w+)\.\w", 1)
@@ -170,6 +173,10 @@ def elements(cypher: Column) -> Column:
         _if(_has(text, EDGE_VALUE) | F.arrays_overlap(edges, owners), "Relationship attribute"), _if(filtered, "LIST.filter"),
         _if(_has(text, r"(?i)\bIS\s+NOT\s+NULL\b"), "!=", "STRING value"), _if(_has(text, r"(?i)\bIS\s+NULL\b"), "=", "STRING value"),
     )
-    regex = _if(F.arrays_overlap(own, F.array(*map(F.lit, UMBRELLAS[-1][1]))), UMBRELLAS[-1][0])
-    every = F.transform(F.array(F.concat(own, regex)), lambda t: F.concat(t, *[_if(F.arrays_overlap(t, F.array(*map(F.lit, parts))), name) for name, parts in UMBRELLAS[:-1]]))[0]
-    return F.when(cypher.isNotNull(), F.array_sort(F.array_distinct(every)))
+    for name, parts in UMBRELLAS:
+        own = _also(own, name, parts)
+    return F.array_sort(F.array_distinct(own))
+
+
+def _also(tags: Column, name: str, parts: tuple[str, ...]) -> Column:
+    return once(tags, lambda t: F.concat(t, _if(F.arrays_overlap(t, F.array(*map(F.lit, parts))), name)))
