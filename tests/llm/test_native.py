@@ -176,3 +176,44 @@ def test_next_rows_in_many_buckets(spark, monkeypatch, most):
     order = sorted([(i, t or "") for i, t in rows], key=lambda r: (r[0] is not None, r[0] or 0, hashes[r[1]] if r[0] is None else 0, r[1]))
     want = [(i, t[: len(t) - len(t) // 4] + after[: len(t) // 4]) for (i, t), (_, after) in zip(order, [*order[1:], order[0]], strict=True)]
     assert sorted((repr(r.doc_id), r.edited) for r in got) == sorted((repr(i), e) for i, e in want)
+
+
+def test_frequent_lines_are_cut_out(spark):
+    line = "Subscribe  now to OUR letter"
+    docs = [(i, f"own {i} words\n\n {line.lower() if i % 2 else line}\t\nmore {i}", "hot", "clash") for i in range(14)]
+    docs += [(3, docs[3][1], "hot", "other"), (50, f"{line}\nthird", "a", "x"), (51, None, "hot", "x"), (52, "", "hot", "x"), (53, line, "hot", "x"), (None, f"{line}\nq", "hot", "x"), (None, f"{line}\nr", "hot", "x"), (54, f"{line}", None, "x")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string, often string")
+    for name in ("key", "h", "doc", "left", "n", "_host", "removed_lines"):
+        df = df.withColumn(name, F.lit("clash"))
+    got = quality.without_frequent_lines(df, max_docs=10)
+    assert got.columns == [*[c for c in df.columns if c != "removed_lines"], "removed_lines"] and got.count() == len(docs)
+    texts = sorted(((r.doc_id, r.source, r.often, r.text, r.removed_lines) for r in got.collect()), key=repr)
+    want = [(i, s, o, t if t is None or s != "hot" else "\n".join(x for x in t.split("\n") if " ".join(x.lower().split()) != " ".join(line.lower().split())), 0) for i, t, s, o in docs]
+    want = [(*w[:4], 0 if d[1] is None or d[2] != "hot" else d[1].lower().count("subscribe")) for w, d in zip(want, docs, strict=True)]
+    assert texts == sorted(want, key=repr)
+    assert quality.without_frequent_lines(df.limit(0)).count() == 0
+
+
+def test_quality_with_clashing_columns_and_shared_ids(spark, tmp_path):
+    rows = [(7, "a b c\nsame\n" * 20, "hot"), (7, "a b c\nsame\n" * 20, "hot"), (None, "x " * 60, None), (None, "x " * 60, None), (8, None, "hot")] + [(20 + i, "same\n" + " ".join(f"w{i}{j}" for j in range(60)), "hot") for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    plain = sorted(map(repr, quality.quality(docs).collect()))
+    for name in ("_text", "_words", "_lines", "_host", "row_id", "n_words", "kept", "h", "words", "_salt"):
+        docs = docs.withColumn(name, F.lit("clash"))
+    assert sorted(map(repr, quality.quality(docs).collect())) == plain and len(plain) == len(rows)
+
+
+def test_a_fractional_cap(spark):
+    docs = spark.createDataFrame([(i, "a b c d " * 25, "only") for i in range(40)], "doc_id long, text string, source string")
+    rows, goals, plan = mix.mix(docs, cap=1.5)
+    assert goals.first()["target"] == 6000 and plan.agg(F.sum("words")).first()[0] == 6000
+    assert mix.taken_words(rows, plan).agg(F.max("taken")).first()[0] <= 200
+
+
+def test_chat_with_clashing_columns(spark):
+    rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "ho"), (2, 0, "user", None), (2, 1, "assistant", "x")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    plain = sorted(map(repr, chat.chat_windows(df).collect()))
+    for name in ("turns", "before", "tokens", "window"):
+        df = df.withColumn(name, F.lit("clash"))
+    assert sorted(map(repr, chat.chat_windows(df).collect())) == plain

@@ -73,6 +73,31 @@ def quality(docs: DataFrame, host: str = "source", max_docs: int = 10, least_lef
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("n_words") - F.col("removed_words") >= F.lit(least_left) * F.col("n_words"))).drop("row_id")
 
 
+def without_frequent_lines(docs: DataFrame, host: str = "source", max_docs: int = 10) -> DataFrame:
+    """``docs`` with the lines that ``quality`` counts as removed cut out of ``text``, and ``removed_lines``, how many these were.
+
+    The other lines keep their order and their line breaks. A null text stays null, one of which all lines go is empty; rows that are equal in doc_id, host and text are
+    cut alike. A column ``removed_lines`` is replaced, all others stay, whatever their names. An empty table gives an empty result. Texts meet the hashes of their frequent lines by a
+    digest of the row, in a join that adaptive execution can split where very many rows are equal.
+    """
+    name = F.coalesce(F.concat(F.lit("="), F.col(f"`{host}`").cast("string")), F.lit(""))
+    ident = F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.lit(""))
+    key = F.unhex(F.md5(F.concat_ws("|", ident, name, F.coalesce("text", F.lit("")))))
+    worded = lambda x: x.rlike(r"[^\x20\x09-\x0D]")
+    hashes = F.array_distinct(F.transform(F.filter(F.split("text", "\n", -1), worded), lambda x: F.xxhash64(normal_line(x))))
+    lines = docs.select(key.alias("key"), ident.alias("doc"), name.alias("_host"), F.explode(hashes).alias("h"))
+    often = lines.groupBy("_host", "h").agg(F.countDistinct("doc").alias("docs")).filter(F.col("docs") > max_docs).drop("docs")
+    marks = spread_join(lines, often, ["_host", "h"], F.col("key")).groupBy("key").agg(F.collect_set("h").alias("often"))
+    rest = [c for c in docs.columns if c not in ("text", "removed_lines")]
+    met = docs.select(key.alias("key"), "text", F.struct(*[F.col(f"`{c}`") for c in rest]).alias("doc")).join(marks, "key", "left")
+    each = F.split("text", "\n", -1)
+    left = F.when(F.col("often").isNull(), each).otherwise(F.filter(each, lambda x: ~(worded(x) & F.array_contains("often", F.xxhash64(normal_line(x))))))
+    met = met.select("doc", "text", "often", left.alias("left"), F.size(each).alias("n"))
+    text = F.when(F.col("often").isNull(), F.col("text")).otherwise(F.array_join("left", "\n"))
+    columns = [text.alias("text") if c == "text" else F.col(f"doc.`{c}`") for c in docs.columns if c == "text" or c in rest]
+    return met.select(*columns, F.when(F.col("often").isNull(), 0).otherwise(F.col("n") - F.size("left")).alias("removed_lines"))
+
+
 def op3_quality(spark, sf_dir):
     return quality(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
