@@ -233,14 +233,14 @@ def jaccard_pairs(spark, d):
 
 SETS = f"""WITH s AS (SELECT doc_id, {WORDS} AS w FROM documents), k AS (SELECT w, min(doc_id) AS class_id, count(*) AS copies, row_number() OVER () AS c FROM s WHERE len(w) > 0 GROUP BY w),
 e AS (SELECT c, len(w) AS n, unnest(w) AS word FROM k), p AS (SELECT a.c AS a, b.c AS b, count(*) / (a.n + b.n - count(*))::DOUBLE AS j FROM e a JOIN e b ON a.word = b.word AND a.c <> b.c GROUP BY a.c, b.c, a.n, b.n),
-l AS (SELECT a, sum(copies) AS n, max(j) AS best FROM p JOIN k ON k.c = b WHERE j >= 0.5 GROUP BY a)"""
+l AS (SELECT a, sum(copies) AS n, max(j) AS best FROM p JOIN k ON k.c = b WHERE j >= 0.8 GROUP BY a)"""
 
 
 @query(f"{SETS} SELECT doc_id AS id, class_id, copies, (copies - 1 + coalesce(n, 0))::BIGINT AS links, round(best, 9) AS best FROM s JOIN k USING (w) LEFT JOIN l ON a = c")
 def similar_documents(spark, d):
-    """Documents whose sets of content words are at least half alike."""
+    """Documents whose sets of content words are at least 0.8 alike."""
     sets = docs(spark, d).select("doc_id", text.content_words(F.col("text")).alias("w"))
-    return similarity.linked(sets, "doc_id", "w", 0.5).withColumn("best", F.round("best", 9))
+    return similarity.linked(sets, "doc_id", "w", 0.8).withColumn("best", F.round("best", 9))
 
 
 TURNS = f"(SELECT conv_id * 1000 + turn AS id, {WORDS} AS w FROM conversations WHERE role = 'user')"
