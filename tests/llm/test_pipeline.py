@@ -109,3 +109,12 @@ def test_run_is_the_stages_in_order(spark, stages):
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_a_missing_language_is_filled_in(spark):
+    rng = random.Random(21)
+    say = {"en": "the and house with water stone", "de": "der und haus mit wasser stein"}
+    rows = [(i, " ".join(rng.choice(say[lang].split()) for _ in range(15)), None if i % 10 == 0 else lang, "s", 60) for i in range(120) for lang in [("en", "de")[i % 3 % 2]]]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    after = {r.doc_id: r.lang for r in corpus_pipeline.identify_language(spark, docs, "").collect()}
+    assert after == {i: ("en", "de")[i % 3 % 2] for i in range(120)}
