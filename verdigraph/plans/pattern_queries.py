@@ -164,7 +164,8 @@ _CASES = " ".join(f"WHEN {i} THEN [{', '.join(chr(39) + t + chr(39) for t in tag
 
 @query(f"SELECT tag, count(*) AS n FROM (SELECT unnest(CASE c_custkey % {len(TAGGED)} {_CASES} END) AS tag FROM customer) GROUP BY tag")
 def cypher_elements(spark, d):
-    """How many texts have each element tag."""
+    """How many texts have each element tag. Equal texts are tagged once."""
     template = F.element_at(F.array(*map(F.lit, TAGGED)), (F.lit(1) + F.col("c_custkey") % len(TAGGED)).cast("int"))
     own = table(spark, d, "customer").select(F.replace(template, F.lit("?"), F.col("c_mktsegment")).alias("t"))
-    return own.select(F.explode(elements.elements(F.col("t"))).alias("tag")).groupBy("tag").agg(F.count("*").alias("n"))
+    once = own.groupBy("t").agg(F.count("*").alias("n"))
+    return once.select(F.explode(elements.elements(F.col("t"))).alias("tag"), "n").groupBy("tag").agg(F.sum("n").alias("n"))
