@@ -75,3 +75,45 @@ def test_whole_graph_queries_leave_no_order_or_nation_out(spark):
     found = spark.read.parquet(f"{d}/supplier.parquet").collect()
     mean = sum(s.s_acctbal for s in found) / len(found)
     assert {r.id for r in graph_queries.graph_above_average_all(spark, d).collect()} == {f"s{s.s_suppkey}" for s in found if s.s_acctbal > mean}
+
+
+def test_assertions(spark, g):
+    edges = "role string, src string, dst string"
+    said = spark.createDataFrame([("to", "a", "b"), ("to", "a", "new"), ("to", "a", "new"), ("by", "a", "b"), (None, "a", "b"), ("to", "a", None)], edges)
+    after = graph.asserted(g, said)
+    assert rows(after.edges) == sorted([*rows(g.edges), ("to", "a", "new"), ("by", "a", "b")])
+    assert [r for r in rows(after.nodes.fillna("-")) if r[0] == "new"] == [("new", "-", None)] and after.nodes.count() == 6
+    assert rows(graph.asserted(after, said).edges) == rows(after.edges) and rows(graph.asserted(g, said.limit(0)).edges) == rows(g.edges)
+
+
+def test_asserted_attributes_keep_to_new_edges(spark, g):
+    own = graph.Graph(g.nodes, spark.createDataFrame([("to", "a", "b", 1.0)], "role string, src string, dst string, w double"))
+    said = spark.createDataFrame([("to", "a", "b", 9.0), ("to", "b", "a", 2.0), ("to", "b", "a", 3.0)], "role string, src string, dst string, w double")
+    assert rows(graph.asserted(own, said).edges) == [("to", "a", "b", 1.0), ("to", "b", "a", 3.0)]
+    assert sorted(tuple(r) for r in graph.asserted(own, said.drop("w").filter("src = 'b'")).edges.collect() if r.w is None) == [("to", "b", "a", None)]
+
+
+def test_retractions(spark, g):
+    left = lambda *said: rows(graph.retracted(g, spark.createDataFrame(list(said), "role string, src string, dst string")).edges)
+    assert left(("to", "a", "b")) == [("by", "b", "d"), ("to", "b", "c"), ("to", "c", "a")]
+    assert left(("to", "b", None)) == [("by", "b", "d"), ("to", "a", "b"), ("to", "a", "b"), ("to", "c", "a")]
+    assert left((None, "b", None), (None, None, "a")) == [("to", "a", "b"), ("to", "a", "b")] and left(("to", None, None)) == [("by", "b", "d")]
+    # A statement about nothing retracts nothing.
+    assert left((None, None, None)) == rows(g.edges)
+
+
+def test_coordinated(spark):
+    subjects = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "n int, id string")
+    objects = spark.createDataFrame([(1, "x"), (1, "x"), (1, "y"), (3, "z")], "n int, id string")
+    assert rows(graph.coordinated(subjects, "likes", objects, ["n"])) == [("likes", s, o) for s in "ab" for o in "xy"]
+
+
+def test_one_id_reads_only_its_kinds(spark):
+    def scans(df):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        return plan.count("FileScan"), plan
+
+    n, plan = scans(graph_queries.load(spark, "/root/testdata/sf0.001", dst="p7").edges)
+    assert n == 2 and plan.count("EqualTo(l_partkey,7)") == 2
+    n, plan = scans(graph_queries.load(spark, "/root/testdata/sf0.001", node="n3").nodes)
+    assert n == 1 and "EqualTo(n_nationkey,3)" in plan

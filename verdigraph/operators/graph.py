@@ -198,11 +198,52 @@ def named(g: Graph, var: str) -> Graph:
     return Graph(g.nodes, g.edges.withColumnRenamed("graph", f"{var}_graph"))
 
 
+def leaving(edges: DataFrame) -> DataFrame:
+    """id, role, other, forward for each edge, seen from its source."""
+    return edges.select(F.col("src").alias("id"), "role", F.col("dst").alias("other"), F.lit(True).alias("forward"))
+
+
+def arriving(edges: DataFrame) -> DataFrame:
+    """id, role, other, forward for each edge, seen from its end."""
+    return edges.select(F.col("dst").alias("id"), "role", F.col("src").alias("other"), F.lit(False).alias("forward"))
+
+
 def described(g: Graph, ids: DataFrame) -> DataFrame:
-    """role, other, forward for each edge at the nodes ``ids(id)``."""
-    out = g.edges.join(ids.withColumnRenamed("id", "src"), "src").select(F.col("src").alias("id"), "role", F.col("dst").alias("other"), F.lit(True).alias("forward"))
-    into = g.edges.join(ids.withColumnRenamed("id", "dst"), "dst").select(F.col("dst").alias("id"), "role", F.col("src").alias("other"), F.lit(False).alias("forward"))
-    return out.unionByName(into)
+    """id, role, other, forward for each edge at the nodes ``ids(id)``."""
+    return leaving(g.edges).join(ids, "id").unionByName(arriving(g.edges).join(ids, "id"))
+
+
+def coordinated(subjects: DataFrame, role: str, objects: DataFrame, by: Sequence[str]) -> DataFrame:
+    """role, src, dst: an assertion of ``role`` from each of ``subjects(by, id)`` to each of ``objects(by, id)`` that belongs to the same statement ``by``."""
+    pairs = subjects.withColumnRenamed("id", "src").join(objects.withColumnRenamed("id", "dst"), list(by))
+    return pairs.select(F.lit(role).alias("role"), "src", "dst").distinct()
+
+
+def asserted(g: Graph, edges: DataFrame) -> Graph:
+    """The graph with the edges ``edges(role, src, dst)`` and any of its edges' attributes: each once, and only if it has no such edge yet. Ends that aren't there become nodes without a type.
+
+    An edge that is there stays as it is, whatever attributes are asserted of it. Of several assertions of one edge one is taken. Null ends or roles are no assertion.
+    """
+    own = ["role", "src", "dst"]
+    more = [c for c in g.edges.columns if c not in own]
+    known = edges.dropna(subset=own).groupBy(*own).agg(F.max(F.struct(*[F.col(c) if c in edges.columns else F.lit(None).cast(g.edges.schema[c].dataType).alias(c) for c in more], F.lit(0).alias("_"))).alias("_more"))
+    new = known.join(g.edges.select(*own).distinct(), own, "left_anti").select(*own, *[F.col(f"_more.{c}").alias(c) for c in more])
+    ends = new.select(F.col("src").alias("id")).unionByName(new.select(F.col("dst").alias("id"))).distinct()
+    unknown = ends.join(g.nodes.select("id"), "id", "left_anti")
+    return Graph(g.nodes.unionByName(unknown, allowMissingColumns=True), g.edges.unionByName(new.select(*g.edges.columns)))
+
+
+def retracted(g: Graph, edges: DataFrame) -> Graph:
+    """The graph without the edges ``edges(role, src, dst)``, parallel ones included; where one of these is null, any value is meant. Nodes stay.
+
+    Statements are dealt by which of their columns are given, so each kind is one equi-join.
+    """
+    own = ["role", "src", "dst"]
+    left = g.edges
+    for given in ([*own], ["role", "src"], ["role", "dst"], ["src", "dst"], ["src"], ["dst"], ["role"]):
+        fits = edges.filter(" AND ".join(f"{c} IS {'NOT ' if c in given else ''}NULL" for c in own))
+        left = left.join(fits.select(*given).distinct(), given, "left_anti")
+    return Graph(g.nodes, left.select(*g.edges.columns))
 
 
 def constructed(pattern: DataFrame, src: str, dst: str, role: str) -> DataFrame:

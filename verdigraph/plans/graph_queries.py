@@ -5,6 +5,9 @@ Customer -placed-> Order -contains-> Part, Supplier -supplies-> Part, Customer a
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verdigraph.operators import graph
@@ -29,16 +32,33 @@ def key(prefix: str, column: str):
     return F.concat(F.lit(prefix), F.col(column).cast("string"))
 
 
-def load(spark, d) -> graph.Graph:
-    """Both sides are unions of typed scans: a filter on type or role leaves the scans of that kind alone."""
+def load(spark, d, node: str | None = None, src: str | None = None, dst: str | None = None) -> graph.Graph:
+    """Both sides are unions of typed scans: a filter on type or role leaves the scans of that kind alone.
+
+    ``node``, ``src`` and ``dst`` are the id of the only node, or of the edges' only source or end. They are filters on the tables' own keys, which reach the files; kinds and
+    roles that can't have such an id aren't read at all.
+    """
+
+    def at(df, prefix, column, ident):
+        if ident is None:
+            return df
+        return df.filter(F.col(column) == int(ident[1:])) if ident[0] == prefix else None
 
-    def nodes(name, kind, ident, shown, label=None, amount=None, at=None):
+    def nodes(name, kind, ident, shown, label=None, amount=None, when=None):
         null = F.lit(None)
-        return table(spark, d, name).select(key(name[0], ident).alias("id"), F.lit(kind).alias("type"), F.col(shown).alias("name"), (F.col(label) if label else null).cast("string").alias("label"), (F.col(amount) if amount else null).cast("double").alias("amount"), (F.col(at) if at else null).cast("timestamp_ntz").alias("at"))
+        found = at(table(spark, d, name), name[0], ident, node)
+        if found is None:
+            return None
+        return found.select(key(name[0], ident).alias("id"), F.lit(kind).alias("type"), F.col(shown).alias("name"), (F.col(label) if label else null).cast("string").alias("label"), (F.col(amount) if amount else null).cast("double").alias("amount"), (F.col(when) if when else null).cast("timestamp_ntz").alias("at"))
 
-    def edges(df, role, src, dst, quantity=None, price=None):
+    def edges(df, role, start, end, quantity=None, price=None, once=False):
         null = F.lit(None).cast("double")
-        return df.select(F.lit(role).alias("role"), src.alias("src"), dst.alias("dst"), (F.col(quantity) if quantity else null).alias("quantity"), (F.col(price) if price else null).alias("price"))
+        for ends, ident in ((start, src), (end, dst)):
+            df = df if df is None else at(df, *ends, ident)
+        if df is None:
+            return None
+        df = df.select(start[1], end[1]).distinct() if once else df
+        return df.select(F.lit(role).alias("role"), key(*start).alias("src"), key(*end).alias("dst"), (F.col(quantity) if quantity else null).alias("quantity"), (F.col(price) if price else null).alias("price"))
 
     kinds = [
         nodes("customer", "Customer", "c_custkey", "c_name", "c_mktsegment", "c_acctbal"),
@@ -50,19 +70,16 @@ def load(spark, d) -> graph.Graph:
     ]
     lines = table(spark, d, "lineitem")
     roles = [
-        edges(table(spark, d, "orders"), "placed", key("c", "o_custkey"), key("o", "o_orderkey"), None, "o_totalprice"),
-        edges(lines, "contains", key("o", "l_orderkey"), key("p", "l_partkey"), "l_quantity", "l_extendedprice"),
-        edges(lines.select("l_suppkey", "l_partkey").distinct(), "supplies", key("s", "l_suppkey"), key("p", "l_partkey")),
-        edges(table(spark, d, "customer"), "located_in", key("c", "c_custkey"), key("n", "c_nationkey")),
-        edges(table(spark, d, "supplier"), "located_in", key("s", "s_suppkey"), key("n", "s_nationkey")),
-        edges(table(spark, d, "nation"), "part_of", key("n", "n_nationkey"), key("r", "n_regionkey")),
+        edges(table(spark, d, "orders"), "placed", ("c", "o_custkey"), ("o", "o_orderkey"), None, "o_totalprice"),
+        edges(lines, "contains", ("o", "l_orderkey"), ("p", "l_partkey"), "l_quantity", "l_extendedprice"),
+        edges(lines, "supplies", ("s", "l_suppkey"), ("p", "l_partkey"), once=True),
+        edges(table(spark, d, "customer"), "located_in", ("c", "c_custkey"), ("n", "c_nationkey")),
+        edges(table(spark, d, "supplier"), "located_in", ("s", "s_suppkey"), ("n", "s_nationkey")),
+        edges(table(spark, d, "nation"), "part_of", ("n", "n_nationkey"), ("r", "n_regionkey")),
     ]
 
     def union(parts):
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out
+        return reduce(DataFrame.unionByName, [p for p in parts if p is not None])
 
     return graph.Graph(union(kinds), union(roles))
 
@@ -139,7 +156,7 @@ def graph_none(spark, d):
 @query("SELECT 's' || s_suppkey AS id FROM supplier WHERE s_nationkey = 3 OR s_suppkey IN (SELECT l_suppkey FROM lineitem WHERE l_partkey = 7)")
 def graph_or_edges(spark, d):
     g = load(spark, d)
-    ways = [graph.relation(g, "s", "n", "located_in").filter("n_id = 'n3'"), graph.relation(g, "s", "p", "supplies").filter("p_id = 'p7'")]
+    ways = [graph.relation(load(spark, d, dst="n3"), "s", "n", "located_in"), graph.relation(load(spark, d, dst="p7"), "s", "p", "supplies")]
     return graph.any_of(graph.entity(g, "s", "Supplier"), ways, "s").select(F.col("s_id").alias("id"))
 
 
@@ -249,8 +266,37 @@ def graph_arithmetic(spark, d):
 
 @query("SELECT 'n3' AS id, 'located_in' AS role, 'c' || c_custkey AS other, false AS forward FROM customer WHERE c_nationkey = 3 UNION ALL SELECT 'n3', 'located_in', 's' || s_suppkey, false FROM supplier WHERE s_nationkey = 3 UNION ALL SELECT 'n3', 'part_of', 'r' || n_regionkey, true FROM nation WHERE n_nationkey = 3")
 def graph_describe(spark, d):
+    out, into = load(spark, d, src="n3"), load(spark, d, dst="n3")
+    return graph.leaving(out.edges).unionByName(graph.arriving(into.edges))
+
+
+@query(
+    """SELECT 'n' || n_nationkey AS id, 'located_in' AS role, 'c' || c_custkey AS other, false AS forward FROM nation JOIN customer ON c_nationkey = n_nationkey WHERE n_name LIKE 'I%'
+UNION ALL SELECT 'n' || n_nationkey, 'located_in', 's' || s_suppkey, false FROM nation JOIN supplier ON s_nationkey = n_nationkey WHERE n_name LIKE 'I%' UNION ALL SELECT 'n' || n_nationkey, 'part_of', 'r' || n_regionkey, true FROM nation WHERE n_name LIKE 'I%'"""
+)
+def graph_describe_many(spark, d):
+    """The edges of all nodes that a condition finds."""
+    g = load(spark, d)
+    return graph.described(g, graph.entity(g, "n", "Nation").filter(F.col("n_name").startswith("I")).select(F.col("n_id").alias("id")))
+
+
+@query(
+    """WITH said AS (SELECT DISTINCT 's' || s_suppkey AS src, 'c' || c_custkey AS dst FROM supplier JOIN customer ON s_nationkey = c_nationkey WHERE s_acctbal > 5000 AND c_mktsegment = 'BUILDING'),
+home AS (SELECT 's' || s_suppkey AS src, 'n' || s_nationkey AS dst FROM supplier WHERE s_acctbal >= 0 UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer)
+SELECT 'serves' AS role, src, dst FROM said UNION ALL SELECT 'located_in', src, dst FROM home UNION ALL SELECT DISTINCT 'placed', 'c' || o_custkey, 'o' || o_orderkey FROM orders UNION ALL SELECT 'part_of', 'n' || n_nationkey, 'r' || n_regionkey FROM nation WHERE n_name NOT LIKE 'I%'"""
+)
+def graph_updates(spark, d):
+    """Assertions and retractions: rich suppliers serve the building customers of their nation; suppliers in debt leave it; some nations leave all regions; no supplies and contents are kept. What is asserted twice is there once."""
     g = load(spark, d)
-    return graph.described(g, g.nodes.filter("id = 'n3'").select("id"))
+    by_home = lambda kind, condition: graph.relate(graph.entity(g, "x", kind).filter(condition), g, "x", "n", "located_in").select("n_id", F.col("x_id").alias("id"))
+    said = graph.coordinated(by_home("Supplier", "x_amount > 5000"), "serves", by_home("Customer", "x_label = 'BUILDING'"), ["n_id"])
+    known = graph.relation(g, "c", "o", "placed").select(F.lit("placed").alias("role"), F.col("c_id").alias("src"), F.col("o_id").alias("dst"))
+    nothing = F.lit(None).cast("string")
+    in_debt = graph.entity(g, "s", "Supplier").filter("s_amount < 0").select(F.lit("located_in").alias("role"), F.col("s_id").alias("src"), nothing.alias("dst"))
+    leaving = graph.entity(g, "n", "Nation").filter(F.col("n_name").startswith("I")).select(F.lit("part_of").alias("role"), F.col("n_id").alias("src"), nothing.alias("dst"))
+    roles = spark.range(1).select(F.explode(F.array(F.lit("supplies"), F.lit("contains"))).alias("role"), nothing.alias("src"), nothing.alias("dst"))
+    after = graph.retracted(graph.asserted(g, said.unionByName(known)), in_debt.unionByName(leaving).unionByName(roles))
+    return after.edges.select("role", "src", "dst")
 
 
 @query("SELECT n_name || ' in ' || r_name AS said FROM nation JOIN region ON n_regionkey = r_regionkey WHERE starts_with(r_name, 'A') AND NOT ends_with(n_name, 'A')")
@@ -284,7 +330,7 @@ def graph_top(spark, d):
 
 @query("SELECT 'o' || l_orderkey AS o, l_extendedprice AS price FROM lineitem WHERE l_quantity = 50 AND l_partkey = 7")
 def graph_qualifier(spark, d):
-    e = graph.relation(load(spark, d), "o", "p", "contains", "e").filter("p_id = 'p7' AND e_quantity = 50")
+    e = graph.relation(load(spark, d, dst="p7"), "o", "p", "contains", "e").filter("e_quantity = 50")
     return e.select(F.col("o_id").alias("o"), F.col("e_price").alias("price"))
 
 
