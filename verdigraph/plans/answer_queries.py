@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from verdigraph.functions import stats, text
 from verdigraph.operators import answers, similarity
+from verdigraph.plans.skew import running_total
 from verdigraph.sources.tables import table
 
 QUERIES: dict = {}
@@ -182,10 +183,10 @@ def mcnemar_test(spark, d):
 @query(f"WITH x AS (SELECT round(a - b, 9) AS diff FROM {PAIRS} WHERE a IS NOT NULL AND b IS NOT NULL), r AS (SELECT diff, rank() OVER (ORDER BY abs(diff)) + (count(*) OVER (PARTITION BY abs(diff)) - 1) / 2.0 AS r FROM x WHERE diff <> 0) SELECT count(*) AS n, coalesce(least(coalesce(sum(r) FILTER (diff > 0), 0), coalesce(sum(r) FILTER (diff < 0), 0)), 0)::DOUBLE AS w FROM r")
 def wilcoxon_w(spark, d):
     x = paired(spark, d).dropna().select(F.round(F.col("a") - F.col("b"), 9).alias("diff")).filter("diff <> 0").withColumn("size", F.abs("diff"))
-    # Ranks by the distinct sizes, of which one row each meets in the running count.
+    # Ranks by the distinct sizes, which are at most 1, counted by thousandths first.
     tied = x.groupBy("size").agg(F.count("*").alias("t"), F.count_if(F.col("diff") > 0).alias("up"))
-    before = F.coalesce(F.sum("t").over(Window.orderBy("size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranks = tied.withColumn("r", before + (F.col("t") + 1) / 2)
+    counted = running_total(tied.withColumn("_all", F.lit(1)).withColumn("_part", F.floor(F.col("size") * 1000)), "_all", "_part", [F.col("size")], "t", "_before")
+    ranks = counted.withColumn("r", F.col("_before") + (F.col("t") + 1) / 2)
     return ranks.agg(F.coalesce(F.sum("t"), F.lit(0)).alias("n"), F.coalesce(F.least(F.sum(F.col("r") * F.col("up")), F.sum(F.col("r") * (F.col("t") - F.col("up")))), F.lit(0.0)).alias("w"))
 
 
