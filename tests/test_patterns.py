@@ -164,3 +164,14 @@ def test_completeness_with_late_repeated_and_missing_runs_and_a_restart(spark, t
     end = run(waves[4])
     assert [r for r in end if r[0] == "b"] == [("b", "x", True, 2, 1, 2, False)] and not [r for r in end if r[0] == "d"]
     assert len(end) == len(set(end)) == len(list(itertools.chain(whole_a, after[2:]))) + (0 if any(r[0] == "b" for r in after) else 1)
+
+
+def test_similar_sets_shuffle_no_items_to_rank_them(spark, monkeypatch):
+    written, cut = {}, similarity.cut
+    monkeypatch.setattr(similarity, "cut", lambda df, name, **more: written.setdefault(name, cut(df, name, **more)) if name not in written else cut(df, name, **more))
+    # All items in one cell, so that hashes alone order them.
+    monkeypatch.setattr(similarity, "CELLS", 1, raising=False)
+    rows = [(i, [f"w{(i * 7 + j) % 23}" for j in range(12)]) for i in range(46)]
+    got = {r.id: r.links for r in similarity.linked(spark.createDataFrame(rows, "i long, w array<string>"), "i", "w", 0.6).collect()}
+    assert got == {i: sum(plain_jaccard(set(w), set(v)) >= 0.6 for j, v in rows if j != i) for i, w in rows}
+    assert "similar-ranks" not in written and dict(written["similar-prefixes"].dtypes)["item"] == "bigint"
