@@ -117,3 +117,16 @@ def test_one_id_reads_only_its_kinds(spark):
     assert n == 2 and plan.count("EqualTo(l_partkey,7)") == 2
     n, plan = scans(graph_queries.load(spark, "/root/testdata/sf0.001", node="n3").nodes)
     assert n == 1 and "EqualTo(n_nationkey,3)" in plan
+
+
+def test_coordinated_pairs_are_not_shuffled_again(spark):
+    subjects = spark.createDataFrame([(1, "a"), (2, "a"), (1, "b"), (None, "b"), (2, "c")], "n int, id string")
+    objects = spark.createDataFrame([(1, "x"), (1, "x"), (2, "x"), (2, "y"), (None, "z")], "n int, id string")
+    said = graph.coordinated(subjects, "likes", objects, ["n"])
+    assert rows(said) == [("likes", "a", "x"), ("likes", "a", "y"), ("likes", "b", "x"), ("likes", "c", "x"), ("likes", "c", "y")]
+    nodes = spark.createDataFrame([("a",)], "id string")
+    home = graph.Graph(nodes, spark.createDataFrame([("likes", "a", "x"), ("in", "a", "n")], "role string, src string, dst string"))
+    assert rows(graph.asserted(home, said).edges) == sorted([("in", "a", "n"), *rows(said)])
+    # A role that the graph hasn't: its edges are not read to compare them.
+    new = graph.asserted(home, graph.coordinated(subjects, "hates", objects, ["n"]), fresh=True).edges
+    assert new.count() == 7 and "LeftAnti" not in new._jdf.queryExecution().optimizedPlan().toString()

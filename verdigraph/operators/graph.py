@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from verdigraph.plans.lineage import cut
+from verdigraph.plans.skew import pairs_join
 
 #: Parts of a key whose first values are kept apart.
 SALTS = 16
@@ -214,20 +215,31 @@ def described(g: Graph, ids: DataFrame) -> DataFrame:
 
 
 def coordinated(subjects: DataFrame, role: str, objects: DataFrame, by: Sequence[str]) -> DataFrame:
-    """role, src, dst: an assertion of ``role`` from each of ``subjects(by, id)`` to each of ``objects(by, id)`` that belongs to the same statement ``by``."""
-    pairs = subjects.withColumnRenamed("id", "src").join(objects.withColumnRenamed("id", "dst"), list(by))
-    return pairs.select(F.lit(role).alias("role"), "src", "dst").distinct()
+    """role, src, dst: an assertion of ``role`` from each of ``subjects(by, id)`` to each of ``objects(by, id)`` that belongs to the same statement ``by``, each once.
+
+    Only subjects of several statements can meet an object twice, so only their pairs are made distinct. Rows without a statement or an id make none.
+    """
+    own = lambda df, to: df.select(*by, F.col("id").alias(to)).dropna().distinct()
+    counted = own(subjects, "src").withColumn("_n", F.count("*").over(Window.partitionBy("src")))
+    met = lambda which: pairs_join(own(objects, "dst"), counted.filter(which).drop("_n"), by, F.col("dst")).select(F.lit(role).alias("role"), "src", "dst")
+    return met("_n = 1").unionByName(met("_n > 1").distinct())
 
 
-def asserted(g: Graph, edges: DataFrame) -> Graph:
+def asserted(g: Graph, edges: DataFrame, fresh: bool = False) -> Graph:
     """The graph with the edges ``edges(role, src, dst)`` and any of its edges' attributes: each once, and only if it has no such edge yet. Ends that aren't there become nodes without a type.
 
     An edge that is there stays as it is, whatever attributes are asserted of it. Of several assertions of one edge one is taken. Null ends or roles are no assertion.
+    With ``fresh`` the caller says that no edge is asserted twice and that the graph has none of them, as when their role is new: they are neither grouped nor compared to its edges.
     """
     own = ["role", "src", "dst"]
     more = [c for c in g.edges.columns if c not in own]
-    known = edges.dropna(subset=own).groupBy(*own).agg(F.max(F.struct(*[F.col(c) if c in edges.columns else F.lit(None).cast(g.edges.schema[c].dataType).alias(c) for c in more], F.lit(0).alias("_"))).alias("_more"))
-    new = known.join(g.edges.select(*own).distinct(), own, "left_anti").select(*own, *[F.col(f"_more.{c}").alias(c) for c in more])
+    given = [F.col(c) if c in edges.columns else F.lit(None).cast(g.edges.schema[c].dataType).alias(c) for c in more]
+    known = edges.dropna(subset=own)
+    if fresh:
+        new = known.select(*own, *given)
+    else:
+        known = known.groupBy(*own).agg(F.max(F.struct(*given, F.lit(0).alias("_"))).alias("_more"))
+        new = known.join(g.edges.select(*own).distinct(), own, "left_anti").select(*own, *[F.col(f"_more.{c}").alias(c) for c in more])
     ends = new.select(F.col("src").alias("id")).unionByName(new.select(F.col("dst").alias("id"))).distinct()
     unknown = ends.join(g.nodes.select("id"), "id", "left_anti")
     return Graph(g.nodes.unionByName(unknown, allowMissingColumns=True), g.edges.unionByName(new.select(*g.edges.columns)))

@@ -295,7 +295,7 @@ def graph_updates(spark, d):
     in_debt = graph.entity(g, "s", "Supplier").filter("s_amount < 0").select(F.lit("located_in").alias("role"), F.col("s_id").alias("src"), nothing.alias("dst"))
     leaving = graph.entity(g, "n", "Nation").filter(F.col("n_name").contains("1")).select(F.lit("part_of").alias("role"), F.col("n_id").alias("src"), nothing.alias("dst"))
     roles = spark.range(1).select(F.explode(F.array(F.lit("supplies"), F.lit("contains"))).alias("role"), nothing.alias("src"), nothing.alias("dst"))
-    after = graph.retracted(graph.asserted(g, said.unionByName(known)), in_debt.unionByName(leaving).unionByName(roles))
+    after = graph.retracted(graph.asserted(graph.asserted(g, known), said, fresh=True), in_debt.unionByName(leaving).unionByName(roles))
     return after.edges.select("role", "src", "dst")
 
 

@@ -19,6 +19,19 @@ def spread_join(left: DataFrame, right: DataFrame, keys: Sequence[str], by: Colu
     return many.join(each, [*keys, "_salt"], how).drop("_salt")
 
 
+def pairs_join(left: DataFrame, right: DataFrame, keys: Sequence[str], by: Column, salts: int = 64) -> DataFrame:
+    """Equi-join of which the pairs of one key are many more than its rows.
+
+    Each key of ``left`` is dealt to ``salts`` parts by the hash of ``by`` and ``right`` is repeated that often. The number of tasks is fixed, as few rows come in and many go out,
+    and adaptive execution would put small parts together. Keys must not be null.
+    """
+    spark = left.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8 * spark.sparkContext.defaultParallelism)
+    many = left.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int")).repartition(tasks, *keys, "_salt")
+    each = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).repartition(tasks, *keys, "_salt")
+    return many.join(each, [*keys, "_salt"]).drop("_salt")
+
+
 def running_total(df: DataFrame, key: str, bucket: str, order: Sequence[Column], value: str, to: str) -> DataFrame:
     """Adds ``to``: the sum of ``value`` over the rows of the same ``key`` that stand before this one by (bucket, order).
 
