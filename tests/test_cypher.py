@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from verdigraph.functions import cypher
+from verdigraph.plans import cypher_queries
 
 
 def one(spark, text, column):
@@ -31,3 +32,11 @@ def test_masking_and_items(spark):
 def test_writes(spark):
     assert one(spark, "MATCH (n) detach delete n", cypher.writes) is True
     assert one(spark, "MATCH (n) RETURN n.settings", cypher.writes) is False
+
+
+def test_equal_texts_are_read_once(spark):
+    own = spark.createDataFrame([(1, "RETURN a"), (2, None), (3, "RETURN a"), (4, "RETURN b, c")], "id int, t string")
+    df = cypher_queries.by_text(own, "items", cypher.returned)
+    assert {r.id: r["items"] for r in df.collect()} == {1: ["a"], 2: None, 3: ["a"], 4: ["b", "c"]}
+    plan = cypher_queries.cypher_return_items(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" in plan[plan.index("Join"):]

@@ -45,15 +45,22 @@ def texts(spark, d):
     return table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.replace(template, F.lit("?"), F.col("c_mktsegment")).alias("t"))
 
 
+def by_text(own, to: str, value):
+    """id and ``value(t)`` for each row of ``own(id, t)``. Equal texts, null ones too, are read once."""
+    each = own.select(F.col("t").alias("_t")).distinct().select("_t", value(F.col("_t")).alias(to))
+    return own.join(each, F.col("t").eqNullSafe(F.col("_t"))).select("id", to)
+
+
 @query(f"SELECT id, {TAGS} AS tags FROM {TEXTS}")
 def cypher_constructs(spark, d):
-    return texts(spark, d).select("id", cypher.constructs(F.col("t")).alias("tags"))
+    return by_text(texts(spark, d), "tags", cypher.constructs)
 
 
 @query(f"SELECT tag, count(*) AS n, round_even(100.0 * count(*) / (SELECT count(*) FROM customer), 1)::DOUBLE AS percentage FROM (SELECT unnest({TAGS}) AS tag FROM {TEXTS}) GROUP BY tag")
 def cypher_construct_counts(spark, d):
     """How many texts have each construct, and their share of all texts, which is one row."""
-    counts = texts(spark, d).select(F.explode(cypher.constructs(F.col("t"))).alias("tag")).groupBy("tag").agg(F.count("*").alias("n"))
+    once = texts(spark, d).groupBy("t").agg(F.count("*").alias("n"))
+    counts = once.select(F.explode(cypher.constructs(F.col("t"))).alias("tag"), "n").groupBy("tag").agg(F.sum("n").alias("n"))
     total = table(spark, d, "customer").agg(F.count("*").alias("total")).withColumn("one", F.lit(1))
     return counts.withColumn("one", F.lit(1)).join(F.broadcast(total), "one").select("tag", "n", F.bround(F.col("n") * 100.0 / F.col("total"), 1).alias("percentage"))
 
@@ -68,4 +75,4 @@ def cypher_read_only(spark, d):
 WHEN 2 THEN ['one.name'] WHEN 3 THEN ['n.name AS name', 'coalesce(m.name, '''') AS name'] ELSE ['n'] END AS items FROM customer"""
 )
 def cypher_return_items(spark, d):
-    return texts(spark, d).select("id", cypher.returned(cypher.without_literals(F.col("t"))).alias("items"))
+    return by_text(texts(spark, d), "items", lambda t: cypher.returned(cypher.without_literals(t)))
