@@ -175,3 +175,10 @@ def test_similar_sets_shuffle_no_items_to_rank_them(spark, monkeypatch):
     got = {r.id: r.links for r in similarity.linked(spark.createDataFrame(rows, "i long, w array<string>"), "i", "w", 0.6).collect()}
     assert got == {i: sum(plain_jaccard(set(w), set(v)) >= 0.6 for j, v in rows if j != i) for i, w in rows}
     assert "similar-ranks" not in written and dict(written["similar-prefixes"].dtypes)["item"] == "bigint"
+
+
+def test_populations_of_counted_rows(spark):
+    x = spark.createDataFrame([(["a", "b"], 3), (["a"], 1)], "tags array<string>, n long")
+    y = spark.createDataFrame([(["b"], 2), ([], 6)], "tags array<string>, n long")
+    got = {r.element: (r.n_x, r.n_y, r.share_x, r.share_y, r.side) for r in questions.populations(x, y, spark.createDataFrame([("c",)], "element string"), rows="n").collect()}
+    assert got == {"a": (4, 0, 100.0, 0.0, "x_only"), "b": (3, 2, 75.0, 25.0, "both"), "c": (0, 0, 0.0, 0.0, "neither")}

@@ -68,14 +68,18 @@ def question_tags(function: Column, expression: Column, nodes: Column, edges: Co
     return F.array_sort(F.array_distinct(F.concat(*[F.when(test, F.array(*map(F.lit, names))).otherwise(none) for test, names in tests])))
 
 
-def populations(x: DataFrame, y: DataFrame, elements: DataFrame, tags: str = "tags") -> DataFrame:
+def populations(x: DataFrame, y: DataFrame, elements: DataFrame, tags: str = "tags", rows: str | None = None) -> DataFrame:
     """element, n_x, n_y, share_x, share_y, side: how many rows of two tagged frames have each element, and their share in percent.
 
     ``side`` is ``both``, ``x_only``, ``y_only`` or ``neither``. Elements that one of the frames or ``elements(element)`` has are all there.
+    With ``rows``, a column of both frames, each row stands for that many equal ones.
     """
-    counts = lambda df, n: df.select(F.explode(tags).alias("element")).groupBy("element").agg(F.count("*").alias(n))
+    times = F.col(rows) if rows else F.lit(1).cast("long")
+    x, y = (df.select(tags, times.alias("_rows")) for df in (x, y))
+    counts = lambda df, n: df.select(F.explode(tags).alias("element"), "_rows").groupBy("element").agg(F.sum("_rows").alias(n))
     # One row each.
-    totals = x.agg(F.count("*").alias("_x")).withColumn("_one", F.lit(1)).join(F.broadcast(y.agg(F.count("*").alias("_y")).withColumn("_one", F.lit(1))), "_one")
+    all_rows = F.coalesce(F.sum("_rows"), F.lit(0))
+    totals = x.agg(all_rows.alias("_x")).withColumn("_one", F.lit(1)).join(F.broadcast(y.agg(all_rows.alias("_y")).withColumn("_one", F.lit(1))), "_one")
     found = elements.select("element").distinct().join(counts(x, "n_x"), "element", "full_outer").join(counts(y, "n_y"), "element", "full_outer").na.fill(0, ["n_x", "n_y"])
     found = found.withColumn("_one", F.lit(1)).join(F.broadcast(totals), "_one")
     share = lambda n, of: F.coalesce(F.bround(F.lit(100.0) * F.col(n) / F.nullif(F.col(of), F.lit(0)), 1), F.lit(0.0))

@@ -112,10 +112,11 @@ SELECT element, coalesce(x.n, 0) AS n_x, coalesce(y.n, 0) AS n_y, round_even(100
   CASE WHEN x.n > 0 AND y.n > 0 THEN 'both' WHEN x.n > 0 THEN 'x_only' WHEN y.n > 0 THEN 'y_only' ELSE 'neither' END AS side FROM e LEFT JOIN x USING (element) LEFT JOIN y USING (element)"""
 )
 def element_populations(spark, d):
-    """Cypher texts and graph questions side by side."""
-    x = cypher_queries.texts(spark, d).select(cypher.constructs(F.col("t")).alias("tags"))
+    """Cypher texts and graph questions side by side. Equal texts are tagged once, and equal tags counted before they are taken apart."""
+    x = cypher_queries.texts(spark, d).groupBy("t").agg(F.count("*").alias("n")).select(cypher.constructs(F.col("t")).alias("tags"), "n")
+    y = asked(spark, d).groupBy("tags").agg(F.count("*").alias("n"))
     every = spark.createDataFrame([("PATH",), ("limit",), ("skip",)], "element string")
-    return questions.populations(x, asked(spark, d), every)
+    return questions.populations(x, y, every, rows="n")
 
 
 def json_runs(spark, d):
