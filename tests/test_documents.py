@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from verdigraph.operators import document_tags
 from verdigraph.operators.documents import hypotheses
 from verdigraph.operators.graph import Graph
+from verdigraph.plans.skew import repeated
 
 
 @pytest.fixture(scope="module")
@@ -215,3 +216,48 @@ def test_violations(spark):
     ])
     assert document_tags.tag_counts(spark.createDataFrame([(["a", "b"],), (["a"],)], "tags array<string>"), 2).orderBy("tag").collect() == [("a", 2, False), ("b", 1, True)]
     assert document_tags.violations(docs.limit(0)).count() == 0 and document_tags.tags(docs.limit(0)).withColumn("x", F.lit(1)).count() == 0
+
+
+def hub(spark, left, right):
+    """Suppliers and customers of two nations in one partition, with their amounts; null, equal and signed zero values among them."""
+    nodes = [("n0", "Nation", "N0", None), ("n1", "Nation", "N1", None)] + [(f"s{i}", "Supplier", None, v) for i, v in enumerate(left)] + [(f"c{i}", "Customer", None, v) for i, v in enumerate(right)]
+    edges = [("located_in", n[0], f"n{int(n[0][1:]) % 3 % 2}") for n in nodes[2:]]
+    return Graph(spark.createDataFrame(nodes, "id string, type string, name string, amount double").coalesce(1), spark.createDataFrame(edges, "role string, src string, dst string").coalesce(1))
+
+
+def pairs(g):
+    at, home = {r.id: r.amount for r in g.nodes.collect()}, {}
+    for e in g.edges.collect():
+        home.setdefault(e.dst, []).append(e.src)
+    return [(n, a, b, at[a], at[b]) for n, there in home.items() for a in there for b in there if None not in (at[a], at[b])]
+
+
+NATION = {"id": "e1", "type": "Nation"}
+HOMES = {"entities": [NATION, {"id": "e4", "type": "Supplier"}, {"id": "e2", "type": "Customer"}], "relationships": [{"id": "r3", "role": "located_in", "from": "e4", "to": "e1"}, {"id": "r1", "role": "located_in", "from": "e2", "to": "e1"}]}
+MEETS = {"<": lambda a, b: a < b, "<=": lambda a, b: a <= b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b}
+
+
+@pytest.mark.parametrize("operator", MEETS)
+def test_one_inequality_is_counted_and_not_compared(spark, operator):
+    rng = random.Random(3)
+    value = lambda: rng.choice([None, 0.0, -0.0, 1.0, 2.0, 2.0, rng.uniform(-3, 3)])
+    g = hub(spark, [value() for _ in range(40)], [value() for _ in range(60)])
+    met = [(n, a, b, y) for n, a, b, x, y in pairs(g) if a[0] == "s" and b[0] == "c" and MEETS[operator](x, y)]
+    want = [m[:3] for m in met]
+    query = {"target": ["e1"], **HOMES, "constraint": test(of("e4", "amount"), operator, of("e2", "amount"))}
+    some = {"and_conditions": [query["constraint"], test(of("e2", "amount"), ">", 0), test(of("e4", "id"), "!=", "s3")]}
+    # When both are asked for, pairs are the answer.
+    got = ask(g, query, {**query, "target": ["e2", of("e1")]}, {**query, "target": ["e2", "e4"]}, {**query, "constraint": some})
+    assert got == [sorted((n,) for n, _, _ in want), sorted((b, n.upper()) for n, _, b in want), sorted((b, a) for _, a, b in want), sorted((n,) for n, a, b, y in met if a != "s3" and y > 0)]
+
+
+def test_pairs_of_one_hub_are_many_tasks_work(spark):
+    g = hub(spark, [float(i) for i in range(400)], [float(i) for i in range(400)])
+    (df,) = hypotheses([{"target": [of("e1")], **HOMES, "constraint": test(of("e4", "amount"), ">", of("e2", "amount"))}], g)
+    sizes = [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == sum(n == m and a > b for a in range(400) for b in range(400) for n, m in [(a % 3 % 2, b % 3 % 2)]) and max(sizes) < sum(sizes) / 10
+
+
+def test_repeated_rows(spark):
+    df = spark.createDataFrame([("a", 200_001), ("b", 65_536), ("c", 1), ("d", 0)], "k string, n long")
+    assert {r.k: r["count"] for r in repeated(df, "n").groupBy("k").count().collect()} == {"a": 200_001, "b": 65_536, "c": 1}
