@@ -11,7 +11,7 @@ and their order are left to Catalyst. How variables are scoped:
 - Lists are bags unless distinct. ALL holds for an empty list. Comparisons with a missing attribute are unknown, which a constraint doesn't accept.
 - Targets that nothing connects are answered beside each other: rows of one have nulls for the others, so no cross product arises.
 - What hangs at one entity of the pattern and is only compared to the rest by one inequality isn't joined to it: its values are counted for each row by
-  their order, and the row is repeated that often, so pairs aren't compared.
+  their order, and the row is repeated that often, so pairs aren't compared. A distinct answer needs the least or largest of these values alone.
 """
 
 from __future__ import annotations
@@ -517,14 +517,15 @@ class _Query:
         """A branch of the pattern that only one inequality ties to the rest, but for its hub: hub, branch, its links to the hub, the inequality as (attribute of the
         branch, operator, attribute of the rest), conjuncts of the branch and of the rest. None if there is none, or if lists, paths or relationships as conditions are asked for."""
         plain = all(isinstance(t, str) or isinstance(t, dict) and "attribute_name" in t for t in self.query["target"])
-        if not plain or self.query.get("distinct") or self.paths or self.conditional or self._elements(self.query) or self.query.get("order_by") or any(self._variables(c) - outer for c in self.conjuncts):
+        if not plain or self.paths or self.conditional or self._elements(self.query) or self.query.get("order_by") or any(self._variables(c) - outer for c in self.conjuncts):
             return None
         found = []
         for c in self.conjuncts:
             if not isinstance(c, dict) or c.get("operator") not in MIRRORED or not all(isinstance(c[k], dict) and c[k].get("of") in self.entities for k in ("left", "right")):
                 continue
             for x, operator, y in ((c["left"], c["operator"], c["right"]), (c["right"], MIRRORED[c["operator"]], c["left"])):
-                for hub in [e for e in self.entities if e in outer - {x["of"]}]:
+                # At one of the two that are compared, the branch would hold their pairs.
+                for hub in [e for e in self.entities if e in outer - {x["of"], y["of"]}]:
                     inner = self._closure({x["of"]}, {hub})
                     ties = {i for i, ends in self._links() if i not in inner and ends & inner}
                     own = [o for o in self.conjuncts if self._variables(o) and self._variables(o) <= inner]
@@ -554,6 +555,10 @@ class _Query:
         sub, df = sub.select(f"{hub}_id", theirs.alias("_value")), df.withColumn("_value", mine)
         if dict(sub.dtypes)["_value"] != dict(df.dtypes)["_value"]:
             return None
+        if self.query.get("distinct"):
+            best = sub.groupBy(f"{hub}_id").agg((F.min if operator[0] == "<" else F.max)("_value").alias("_theirs"))
+            met = df.join(best, f"{hub}_id").filter(OPERATORS[operator](F.col("_theirs"), F.col("_value")))
+            return self._selected(met, bound, self.query["target"], [], False)
         counts = count_passed(df, sub, f"{hub}_id", "_value", operator, "_times")
         return self._selected(repeated(df.join(counts, [f"{hub}_id", "_value"]), "_times"), bound, self.query["target"], [], False)
 
