@@ -278,3 +278,14 @@ def test_distinct_answers_join_one_value_a_hub(spark, capsys):
 def test_repeated_rows(spark):
     df = spark.createDataFrame([("a", 200_001), ("b", 65_536), ("c", 1), ("d", 0)], "k string, n long")
     assert {r.k: r["count"] for r in repeated(df, "n").groupBy("k").count().collect()} == {"a": 200_001, "b": 65_536, "c": 1}
+
+
+def test_equal_texts_are_taken_apart_once(spark, monkeypatch):
+    texts = ['[{"target":["e0"],"entities":[],"limit":5}]', '[{"target":["e0"],"entities":[],"note":1}]', "", None]
+    docs = spark.createDataFrame([(i, texts[i % 4]) for i in range(40)], "doc long, text string")
+    seen, parts = [], document_tags.parts
+    monkeypatch.setattr(document_tags, "parts", lambda d: (seen.append(d.count()), parts(d))[1])
+    assert {r.doc: (r.tags, r.hops) for r in document_tags.tags(docs).collect()} == {i: plain_tags(texts[i % 4] or "") for i in range(40)}
+    got = Counter((r.doc % 4, r.problem) for r in document_tags.violations(docs).collect())
+    assert got == {(0, "not declared"): 10, (1, "unknown field"): 10, (1, "not declared"): 10, (2, "not flat"): 10, (3, "not flat"): 10}
+    assert seen == [3, 3]

@@ -1,7 +1,7 @@
 """What query documents are made of: their parts as rows, structural tags, hops from the target, and violations of the format.
 
 Documents are JSON texts of unknown depth. They are taken apart level by level, all documents at once: each round opens the objects and arrays that the
-round before found. Everything after that is grouping and joining of these rows by document.
+round before found. Everything after that is grouping and joining of these rows by document. Equal texts are taken apart once.
 """
 
 from __future__ import annotations
@@ -94,11 +94,26 @@ def hops(found: DataFrame) -> DataFrame:
     return queries.join(far, ["doc", "query"], "left").withColumn("hops", F.coalesce("hops", F.lit(0)))
 
 
+def _texts(docs: DataFrame) -> DataFrame:
+    """doc, text: each different text of ``docs`` under a number of its own; null counts as empty. Written, as another run could number them otherwise."""
+    return cut(docs.select(F.coalesce("text", F.lit("")).alias("text")).distinct().select(F.monotonically_increasing_id().alias("doc"), "text"), "document-texts")
+
+
+def _owners(docs: DataFrame, texts: DataFrame) -> DataFrame:
+    """_owner, doc: each document with the number of its text."""
+    return docs.select(F.col("doc").alias("_owner"), F.coalesce("text", F.lit("")).alias("text")).join(texts, "text").select("_owner", "doc")
+
+
 def tags(docs: DataFrame) -> DataFrame:
     """doc, tags, hops for each row of ``docs(doc, text)``, with different ``doc``: what a document's structure uses, in the order of TAGS, and its largest hops.
 
     A document that is empty or no JSON, or uses nothing of this, has the tag PLAIN alone.
     """
+    texts = _texts(docs)
+    return _owners(docs, texts).join(cut(_tags(texts), "document-tags"), "doc").select(F.col("_owner").alias("doc"), "tags", "hops")
+
+
+def _tags(docs: DataFrame) -> DataFrame:
     found = cut(parts(docs), "document-parts")
     has = lambda *keys: F.col("key").isin(*keys)
     said = lambda key, *names: (F.col("key") == key) & F.col("text").isin(*names)
@@ -129,6 +144,11 @@ def violations(docs: DataFrame) -> DataFrame:
     Faults: ``not flat`` (no array of objects, or no JSON), ``unknown field``, ``missing field`` (of a query or of a declared part), ``declared twice``, ``not declared``
     (an id that is used, but not declared in the same query), ``unknown name`` (of an operator, quantifier, aggregate or direction), ``no number`` (a limit or skip).
     """
+    texts = _texts(docs)
+    return _owners(docs, texts).join(cut(_violations(texts), "document-faults"), "doc").select(F.col("_owner").alias("doc"), "query", "problem", "detail")
+
+
+def _violations(docs: DataFrame) -> DataFrame:
     found = cut(parts(docs), "document-parts")
     none = F.lit(None).cast("string")
     roots = found.filter("node = '$'").select("doc", F.col("kind").alias("root"))
