@@ -85,3 +85,14 @@ def test_round_trip_on_spark(spark):
     assert back.columns == ["doc_id", "text", "doc", "made", "ids", "decoded"]
     for r in back.collect():
         assert r.decoded == (r.text or "").replace(pieces.MARK, " ") and (r.doc, r.made) == ("clash", 7)
+
+
+def test_words_are_walked_once():
+    """The 180,000 words of these texts all stay known, so none is walked twice."""
+    encoder, walked, walk = pieces.Encoder(pieces.model_bytes(PATH)), [], pieces.Encoder.walk
+    encoder.walk = lambda words: (walked.extend(words), walk(encoder, words))[1]
+    made = [" ".join(f"w{i}x{j}" for j in range(50)) for i in range(3600)]
+    for at in range(0, len(made), 300):
+        encoder.encode(made[at : at + 300])
+    encoder.encode(made[2000:2300])
+    assert len(walked) == len(set(walked)) == 180_000

@@ -9,6 +9,7 @@ does: the state of a prefix is then the last piece of its encoding, the one piec
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from functools import cache
 from itertools import chain, pairwise
@@ -25,7 +26,7 @@ from verdigraph.llm.batches import parts
 MARK = "▁"
 #: Words that a task remembers between batches, of which the first ones stay when it begins anew, and texts, or code
 #: points of texts, of which the words are walked together.
-REMEMBERED, STAYING = 120_000, 40_000
+REMEMBERED, STAYING = 300_000, 100_000
 TEXTS, CHARACTERS = 250, 1_000_000
 SHORT = (2, 1)
 NEVER = float("-inf")
@@ -75,12 +76,12 @@ class Encoder:
     def __init__(self, model: bytes, mode: str = VITERBI):
         self.v = load(model, mode)
         self.score = {piece: self.v.scores[i] for piece, i in self.v.pieces.items()}
-        #: Each ending of a piece; (id, score) if it is a piece itself.
-        self.endings: dict[str, tuple[int, float] | None] = {}
+        #: Each ending of a piece; (id, score) if it is a piece itself, else nothing.
+        self.endings: dict[str, tuple[int, float] | tuple[()]] = {}
         self.good, self.lengths = {}, {}
         if self.v.unigram:
             for piece in self.v.pieces:
-                self.endings.update((piece[i:], None) for i in range(1, len(piece)) if piece[i:] not in self.endings)
+                self.endings.update((piece[i:], ()) for i in range(1, len(piece)) if piece[i:] not in self.endings)
                 self.endings[piece] = (self.v.pieces[piece], self.score[piece])
         else:
             # A piece that its own merges don't lead to is never the last one of a prefix.
@@ -125,50 +126,54 @@ class Encoder:
         self.apart[key] = self.merged(a + b) == [a, b]
         return self.apart[key]
 
-    def walk(self, words: list[str]) -> Iterator[tuple[str, tuple[int, ...]]]:
-        """(word, ids) for sorted distinct words. ``last[i]`` is the piece that ends the best way to the prefix of i characters, ``score[i]`` its sum.
+    def walk(self, words: list[str]) -> Iterator[tuple[str, list[int]]]:
+        """(word, ids) for sorted distinct words. ``begin[i]`` is where the piece begins that ends the best way to the prefix of i characters, ``score[i]`` its sum.
 
         ``ident[i]`` is the id of that piece, None for a character that no piece has.
         """
-        last, ident, score, before = [""], [None], [0.0], ""
+        begin, ident, score, before = [0], [None], [0.0], ""
         forward = self._by_score if self.v.unigram else self._by_merges
         for word in words:
             i, n = 0, min(len(word), len(before))
+            if word.startswith(before):
+                i = n
             while i < n and word[i] == before[i]:
                 i += 1
-            del last[i + 1 :], ident[i + 1 :], score[i + 1 :]
-            forward(word, i, last, ident, score)
+            del begin[i + 1 :], ident[i + 1 :], score[i + 1 :]
+            forward(word, i, begin, ident, score)
             before = word
             ids, end = [], len(word)
             while end:
+                start = begin[end]
                 if ident[end] is None:
-                    ids.extend(reversed(self.ids(last[end])))
+                    ids.extend(reversed(self.ids(word[start:end])))
                 else:
                     ids.append(ident[end])
-                end -= len(last[end])
-            yield word, tuple(reversed(ids))
+                end = start
+            ids.reverse()
+            yield word, ids
 
-    def _by_score(self, word: str, done: int, last: list, ident: list, score: list) -> None:
+    def _by_score(self, word: str, done: int, begin: list, ident: list, score: list) -> None:
         """Forward scores of the prefixes of ``word`` with more than ``done`` characters: the best sum over all pieces that end there."""
-        endings = self.endings.get
+        endings, worst = self.endings.get, self.worst
         for end in range(done + 1, len(word) + 1):
-            top, best, found, start = NEVER, end - 1, None, end - 1
-            while start >= 0 and (entry := endings(word[start:end], False)) is not False:
-                if entry is not None and (total := score[start] + entry[1]) >= top:
+            best, found = end - 1, None
+            top = score[best] + worst
+            for start in range(best, -1, -1):
+                if (entry := endings(word[start:end])) is None:
+                    break
+                if entry and (total := score[start] + entry[1]) >= top:
                     top, best, found = total, start, entry[0]
-                start -= 1
-            if (alone := score[end - 1] + self.worst) > top:
-                top, best, found = alone, end - 1, None
-            last.append(word[best:end])
+            begin.append(best)
             ident.append(found)
             score.append(top)
 
-    def _by_merges(self, word: str, done: int, last: list, ident: list, score: list) -> None:
+    def _by_merges(self, word: str, done: int, begin: list, ident: list, score: list) -> None:
         """The last piece of the encoding of each prefix of ``word`` with more than ``done`` characters; scores stay 0."""
         known, good, lengths, apart = self.v.pieces.get, self.good.get, self.lengths.get, self.apart.get
         for end in range(done + 1, len(word) + 1):
-            best = word[end - 1]
-            if (found := known(best)) is not None:
+            best = end - 1
+            if (found := known(word[best])) is not None:
                 for n in lengths(word[end - 3 : end], SHORT) if end > 2 else SHORT:
                     start = end - n
                     if start < 0 or (i := good(piece := word[start:end])) is None:
@@ -176,12 +181,12 @@ class Encoder:
                     if start and (prior := ident[start]) is not None:
                         key = prior << 24 | i
                         if (ok := apart(key)) is None:
-                            ok = self.stay_apart(last[start], piece, key)
+                            ok = self.stay_apart(word[begin[start] : start], piece, key)
                         if not ok:
                             continue
-                    best, found = piece, i
+                    best, found = start, i
                     break
-            last.append(best)
+            begin.append(best)
             ident.append(found)
             score.append(0.0)
 
@@ -211,7 +216,7 @@ class Encoder:
             self.known = dict(self.staying)
         known = self.known
         fresh = set(chain.from_iterable(split)).difference(known)
-        known.update((w, np.array(ids, np.int32).tobytes()) for w, ids in self.walk(sorted(fresh)))
+        known.update((w, array("i", ids).tobytes()) for w, ids in self.walk(sorted(fresh)))
         return [np.frombuffer(b"".join(map(known.__getitem__, units)), np.int32) for units in split]
 
     def decode(self, ids: list[int] | np.ndarray | None) -> str | None:
