@@ -182,3 +182,12 @@ def test_populations_of_counted_rows(spark):
     y = spark.createDataFrame([(["b"], 2), ([], 6)], "tags array<string>, n long")
     got = {r.element: (r.n_x, r.n_y, r.share_x, r.share_y, r.side) for r in questions.populations(x, y, spark.createDataFrame([("c",)], "element string"), rows="n").collect()}
     assert got == {"a": (4, 0, 100.0, 0.0, "x_only"), "b": (3, 2, 75.0, 25.0, "both"), "c": (0, 0, 0.0, 0.0, "neither")}
+
+
+def test_shortest_paths_write_no_last_hop(spark, monkeypatch):
+    edges = spark.createDataFrame([("x", "a", "b"), ("x", "a", "b"), ("w", "a", "c"), ("x", "b", "d"), ("w", "c", "d"), ("w", "b", "d")], "role string, src string, dst string")
+    written, cut = [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df, name: (written.append(name), cut(df, name))[1])
+    found = graph.shortest_paths(graph.Graph(None, edges), spark.createDataFrame([("a",)], "start_id string"), None, 2)
+    assert {r.end_id: (r.hops, r.nodes, r.roles) for r in found.collect()} == {"b": (1, ["a", "b"], ["x"]), "c": (1, ["a", "c"], ["w"]), "d": (2, ["a", "b", "d"], ["x", "w"])}
+    assert len(written) == 2

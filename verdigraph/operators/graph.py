@@ -158,31 +158,32 @@ def reach(g: Graph, starts: DataFrame, longest: int | None = None, shortest: int
 def shortest_paths(g: Graph, starts: DataFrame, ends: DataFrame | None = None, longest: int | None = None, roles: Sequence[str] = ()) -> DataFrame:
     """start_id, end_id, hops, nodes, roles: one shortest path of at least one hop from each of ``starts(start_id)`` to each end in reach, or to ``ends(end_id)`` alone.
 
-    The search keeps one row for each start and end, with the node and the role by which it was reached first; of several the least node, then the least role. Paths are then read
-    backwards from the wanted ends, all at once, one join a hop. Ties are so decided at the last hop first.
+    The search keeps one row for each start and end, with its path; of several that reach an end first the one over the least node, then the least role, is taken. Ties are so decided at the
+    last hop first. Paths grow as the search goes, so nothing is read backwards, and parallel edges meet in the grouping. What the last of ``longest`` hops adds isn't written.
     """
-    edges = (g.edges.filter(F.col("role").isin(*roles)) if roles else g.edges).select(F.col("src").alias("at"), "role", F.col("dst").alias("to")).distinct()
+    edges = (g.edges.filter(F.col("role").isin(*roles)) if roles else g.edges).select(F.col("src").alias("at"), "role", F.col("dst").alias("to"))
+    kind = dict(edges.dtypes)
     level = cut(starts.select("start_id", F.col("start_id").alias("at")).distinct(), "shortest")
+    level = level.select("*", F.array().cast(f"array<{kind['at']}>").alias("nodes"), F.array().cast(f"array<{kind['role']}>").alias("roles"))
     found, hop = [], 0
     while longest is None or hop < longest:
         hop += 1
-        new = level.join(edges, "at").groupBy("start_id", "to").agg(F.min(F.struct("at", "role")).alias("by"))
+        new = level.join(edges, "at").groupBy("start_id", "to").agg(F.min(F.struct("at", "role", "nodes", "roles")).alias("by"))
         if found:
             new = new.join(reduce(DataFrame.unionByName, found).select("start_id", "to"), ["start_id", "to"], "left_anti")
-        new = cut(new.select("start_id", "to", F.lit(hop).alias("hops"), F.col("by.at").alias("via"), F.col("by.role").alias("role")), "shortest")
+        new = new.select("start_id", "to", F.lit(hop).alias("hops"), F.array_append("by.nodes", F.col("by.at")).alias("nodes"), F.array_append("by.roles", F.col("by.role")).alias("roles"))
+        found.append(new)
+        if hop == longest:
+            break
+        found[-1] = new = cut(new, "shortest")
         if new.isEmpty():
             break
-        found.append(new)
-        level = new.select("start_id", F.col("to").alias("at"))
-    every = reduce(DataFrame.unionByName, found) if found else new
+        level = new.select("start_id", F.col("to").alias("at"), "nodes", "roles")
+    if not found:
+        found = [level.select("start_id", F.col("at").alias("to"), F.lit(0).alias("hops"), "nodes", "roles").limit(0)]
+    every = reduce(DataFrame.unionByName, found)
     wanted = every if ends is None else every.join(ends.select(F.col("end_id").alias("to")).distinct(), "to", "left_semi")
-    open_ = wanted.select("start_id", F.col("to").alias("end_id"), "hops", F.array("to").alias("nodes"), F.array().cast("array<string>").alias("roles"), F.col("to").alias("at"), F.col("hops").alias("left"))
-    steps = every.select("start_id", F.col("to").alias("at"), F.col("hops").alias("left"), "via", "role")
-    for _ in range(len(found)):
-        more = open_.filter("left > 0").join(steps, ["start_id", "at", "left"])
-        more = more.select("start_id", "end_id", "hops", F.concat(F.array("via"), "nodes").alias("nodes"), F.concat(F.array("role"), "roles").alias("roles"), F.col("via").alias("at"), (F.col("left") - 1).alias("left"))
-        open_ = open_.filter("left = 0").unionByName(more)
-    return open_.select("start_id", "end_id", "hops", "nodes", "roles")
+    return wanted.select("start_id", F.col("to").alias("end_id"), "hops", F.array_append("nodes", F.col("to")).alias("nodes"), "roles")
 
 
 def along(df: DataFrame, nodes: str, var: str, place: str | None = None) -> DataFrame:
