@@ -191,3 +191,10 @@ def test_shortest_paths_write_no_last_hop(spark, monkeypatch):
     found = graph.shortest_paths(graph.Graph(None, edges), spark.createDataFrame([("a",)], "start_id string"), None, 2)
     assert {r.end_id: (r.hops, r.nodes, r.roles) for r in found.collect()} == {"b": (1, ["a", "b"], ["x"]), "c": (1, ["a", "c"], ["w"]), "d": (2, ["a", "b", "d"], ["x", "w"])}
     assert len(written) == 2
+
+
+def test_rows_across_graphs(spark):
+    seen = [("a", 1, "x"), ("a", 1, "x"), ("a", 1, "z"), ("a", 1, "y"), ("b", 1, "x"), ("b", 2, "y"), ("c", 1, None), ("c", 1, "x")]
+    got = graph.across(spark.createDataFrame(seen, "c_id string, p_id int, g_graph string"), "g", "h")
+    assert got.columns == ["c_id", "p_id", "g_graph", "h_graph"]
+    assert sorted(map(tuple, got.collect())) == [("a", 1, "x", "y"), ("a", 1, "x", "z"), ("a", 1, "y", "z")]

@@ -200,6 +200,17 @@ def named(g: Graph, var: str) -> Graph:
     return Graph(g.nodes, g.edges.withColumnRenamed("graph", f"{var}_graph"))
 
 
+def across(pattern: DataFrame, first: str, second: str) -> DataFrame:
+    """``pattern`` over one named graph, bound by ``<first>_graph``, as pairs of graphs in which the same of its rows stand, each once: the lesser graph is ``<first>_graph``, the other ``<second>_graph``.
+
+    The graphs of a row meet in one group, so the pattern is found once and not joined to itself.
+    """
+    own = [c for c in pattern.columns if c != f"{first}_graph"]
+    graphs = pattern.filter(" AND ".join(f"`{c}` IS NOT NULL" for c in pattern.columns)).groupBy(*own).agg(F.collect_set(f"{first}_graph").alias("_graphs")).filter(F.size("_graphs") > 1)
+    one = graphs.select(*own, "_graphs", F.explode("_graphs").alias(f"{first}_graph"))
+    return one.select(*own, f"{first}_graph", F.explode("_graphs").alias(f"{second}_graph")).filter(F.col(f"{first}_graph") < F.col(f"{second}_graph"))
+
+
 def leaving(edges: DataFrame) -> DataFrame:
     """id, role, other, forward for each edge, seen from its source."""
     return edges.select(F.col("src").alias("id"), "role", F.col("dst").alias("other"), F.lit(True).alias("forward"))

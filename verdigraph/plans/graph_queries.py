@@ -384,6 +384,6 @@ def graph_in_named(spark, d):
 @query("WITH x AS (SELECT DISTINCT o_custkey, l_partkey, o_orderstatus AS s FROM orders JOIN lineitem ON l_orderkey = o_orderkey) SELECT 'c' || a.o_custkey AS c, 'p' || a.l_partkey AS p, a.s AS g_graph, b.s AS h_graph FROM x a JOIN x b ON a.o_custkey = b.o_custkey AND a.l_partkey = b.l_partkey AND a.s < b.s")
 def graph_across_named(spark, d):
     """Customers that have ordered a part in two graphs."""
-    first, second = (graph.named(by_status(spark, d), var) for var in "gh")
-    bought = lambda g, o: graph.relate(graph.relation(g, "c", o, "placed"), g, o, "p", "contains").drop(f"{o}_id").distinct()
-    return bought(first, "o").join(bought(second, "q"), ["c_id", "p_id"]).filter("g_graph < h_graph").select(F.col("c_id").alias("c"), F.col("p_id").alias("p"), "g_graph", "h_graph")
+    g = graph.named(by_status(spark, d), "g")
+    bought = graph.relate(graph.relation(g, "c", "o", "placed"), g, "o", "p", "contains").drop("o_id")
+    return graph.across(bought, "g", "h").select(F.col("c_id").alias("c"), F.col("p_id").alias("p"), "g_graph", "h_graph")
