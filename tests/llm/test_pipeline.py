@@ -118,3 +118,9 @@ def test_a_missing_language_is_filled_in(spark):
     docs = spark.createDataFrame(rows, SCHEMA)
     after = {r.doc_id: r.lang for r in corpus_pipeline.identify_language(spark, docs, "").collect()}
     assert after == {i: ("en", "de")[i % 3 % 2] for i in range(120)}
+
+
+def test_a_language_is_found_once_a_text(spark):
+    docs = spark.createDataFrame(made(), SCHEMA)
+    plan = corpus_pipeline.identify_language(spark, docs, "")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython [") == 1

@@ -190,7 +190,8 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
         for texts in parts(batches):
             yield pd.DataFrame([model.predict(t) for t in texts], columns=["lang_pred", "score"])
 
-    found = F.pandas_udf(predict, "lang_pred string, score double")("text")
+    # A filter on what it finds must not make it run a second time beside itself.
+    found = F.pandas_udf(predict, "lang_pred string, score double").asNondeterministic()("text")
     rest = [c for c in docs.columns if c not in ("lang_pred", "score")]
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("doc"), found.alias("found")).select("doc.*", "found.*")
 
