@@ -198,3 +198,23 @@ def test_rows_across_graphs(spark):
     got = graph.across(spark.createDataFrame(seen, "c_id string, p_id int, g_graph string"), "g", "h")
     assert got.columns == ["c_id", "p_id", "g_graph", "h_graph"]
     assert sorted(map(tuple, got.collect())) == [("a", 1, "x", "y"), ("a", 1, "x", "z"), ("a", 1, "y", "z")]
+
+
+def test_pairs_of_near_copies_are_one_row_each_and_meet_in_blocks(spark, monkeypatch):
+    written, cut = {}, similarity.cut
+    monkeypatch.setattr(similarity, "cut", lambda df, name, **more: written.setdefault(name, cut(df, name, **more)) if name not in written else cut(df, name, **more))
+    kept = []
+    monkeypatch.setattr(similarity, "drop", kept.append)
+    # Small limits, so that few sets are a large cluster and short ones need several items.
+    for name, value in (("LARGE", 16), ("BLOCK", 200), ("MEMBER", 8)):
+        monkeypatch.setattr(similarity, name, value, raising=False)
+    rng = random.Random(4)
+    near = [(i, [f"c{j}" for j in range(40) if j != i % 41]) for i in range(50)]
+    apart = [(100 + i, [f"s{i % 15}", *[f"r{rng.randint(0, 400)}" for _ in range(rng.randint(3, 30))]]) for i in range(60)]
+    rows = [*near, *apart, (200, [*apart[0][1], "more"]), (201, near[0][1])]
+    got = {r.id: (r.copies, r.links) for r in similarity.linked(spark.createDataFrame(rows, "i long, w array<string>"), "i", "w", 0.8).collect()}
+    sets = {i: set(w) for i, w in rows}
+    assert got == {i: (sum(t == s for t in sets.values()), sum(j != i and plain_jaccard(s, t) >= 0.8 for j, t in sets.items())) for i, s in sets.items()}
+    different = {frozenset(s) for s in sets.values()}
+    alike = sum(plain_jaccard(s, t) >= 0.8 for s, t in itertools.combinations(different, 2))
+    assert alike <= written["similar-candidates"].count() <= alike + 5 and not written.keys() & {"similar-wanted", "similar-pairs"}
