@@ -200,13 +200,14 @@ def test_rows_across_graphs(spark):
     assert sorted(map(tuple, got.collect())) == [("a", 1, "x", "y"), ("a", 1, "x", "z"), ("a", 1, "y", "z")]
 
 
-def test_pairs_of_near_copies_are_one_row_each_and_meet_in_blocks(spark, monkeypatch):
+@pytest.mark.parametrize("large", [4, 16, 64])
+def test_pairs_of_near_copies_are_one_row_each_and_meet_in_blocks(spark, monkeypatch, large):
     written, cut = {}, similarity.cut
     monkeypatch.setattr(similarity, "cut", lambda df, name, **more: written.setdefault(name, cut(df, name, **more)) if name not in written else cut(df, name, **more))
     kept = []
     monkeypatch.setattr(similarity, "drop", kept.append)
     # Small limits, so that few sets are a large cluster and short ones need several items.
-    for name, value in (("LARGE", 16), ("BLOCK", 200), ("MEMBER", 8)):
+    for name, value in (("LARGE", large), ("BLOCK", 200), ("MEMBER", 8)):
         monkeypatch.setattr(similarity, name, value, raising=False)
     rng = random.Random(4)
     near = [(i, [f"c{j}" for j in range(40) if j != i % 41]) for i in range(50)]
